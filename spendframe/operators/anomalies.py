@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spendframe.functions.numbers import nan_to_null, percent_change
+from spendframe.operators.forecast.numeric import smoothing_levels_column
 from spendframe.params import ANOMALY_PERIODS, iso_date
 
 DEFAULT_THRESHOLD = 20.0
-_CHUNK = 256
 
 
 def rolling_mean(
@@ -23,31 +23,6 @@ def rolling_mean(
     return df.select(*series_cols, date_col, F.avg(value_col).over(w).alias("value"))
 
 
-def running_levels(values: Column, alpha: float) -> Column:
-    """The smoothing level after each element of an array.
-
-    The fold appends to an array, and an append copies it.  Folding chunk by chunk keeps the
-    copied arrays short; each chunk starts from the last level of the one before.
-    """
-
-    def smooth(chunk: Column, start: Column) -> Column:
-        def step(levels: Column, v: Column) -> Column:
-            return F.array_append(levels, F.lit(alpha) * v + F.lit(1.0 - alpha) * F.element_at(levels, -1))
-
-        return F.aggregate(chunk, F.array(start), step)
-
-    def add_chunk(done: Column, at: Column) -> Column:
-        start = F.element_at(F.element_at(done, -1), -1)
-        return F.array_append(done, smooth(F.slice(values, at, _CHUNK), start))
-
-    starts = F.sequence(F.lit(1), F.size(values), F.lit(_CHUNK))
-    # the seed chunk holds the first value; smoothing the first value against itself gives itself
-    chunks = F.aggregate(starts, F.array(F.array(F.get(values, F.lit(0)))), add_chunk)
-    # every later chunk begins with its start level, which is not one of its own
-    own = F.transform(F.slice(chunks, 2, F.size(chunks)), lambda c: F.slice(c, 2, F.size(c)))
-    return F.flatten(own)
-
-
 def rolling_smoothing(
     df: DataFrame, *, series_cols: Sequence[str] = (), date_col: str, value_col: str, alpha: float = 0.5
 ) -> DataFrame:
@@ -56,9 +31,9 @@ def rolling_smoothing(
     The array holds one element per period of a series, so its length is set by the calendar and
     not by the number of usage lines.
     """
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(date_col).alias("d"), F.col(value_col).alias("v"))))
+    ordered = F.sort_array(F.collect_list(F.struct(F.col(date_col).alias("d"), F.col(value_col).alias("v"))))
     series = df.groupBy(*series_cols).agg(ordered.alias("_rows")).filter(F.size("_rows") > 0)
-    levels = running_levels(F.transform("_rows", lambda r: r["v"]), alpha)
+    levels = smoothing_levels_column(F.transform("_rows", lambda r: r["v"]), alpha)
     zipped = F.arrays_zip(F.transform("_rows", lambda r: r["d"]).alias(date_col), levels.alias("value"))
     return series.select(*series_cols, F.inline(zipped))
 

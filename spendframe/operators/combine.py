@@ -40,16 +40,19 @@ def milestone_summary(
 ) -> DataFrame:
     """Sum of each method's forecasts up to and including each milestone; nothing to sum is 0.
 
-    ``rows`` are ``forecast_rows`` (they carry ``last_date``).  Each forecast row is read once
-    and feeds the five sums it is early enough for; no join with the milestones and no copies.
+    ``rows`` are ``forecast_rows`` (they carry ``last_date``).  Milestones are month ends, so days
+    are summed to months first and each month feeds the sums it is early enough for: no join with
+    the milestones, no copies, and both aggregates keep the partitioning by series.
     """
     ends = milestone_days(F.col(LAST))
+    month = F.trunc(date_col, "month").alias("_month")
+    months = rows.groupBy(*series_cols, LAST, month).agg(*[F.sum(m).alias(m) for m in methods])
     sums = [
-        F.sum(F.when(F.col(date_col) <= day, F.col(method))).alias(f"{method}__{label}")
+        F.sum(F.when(F.col("_month") <= day, F.col(method))).alias(f"{method}__{label}")
         for label, day in ends
         for method in methods
     ]
-    totals = rows.groupBy(*series_cols, LAST).agg(*sums)
+    totals = months.groupBy(*series_cols, LAST).agg(*sums)
     unfolded = F.array(
         *[
             F.struct(

@@ -74,11 +74,11 @@ def fit(
 
 
 def _model_columns(rows, options, *, series_cols, date_col, value_col) -> dict[str, Column]:
-    """Columns computed from the value array: the Holt-Winters fold and the array forecasts."""
+    """Columns computed from the value array: Holt-Winters state and the array forecasts."""
     values, steps = F.col(VALUES), F.col(HORIZON)
     columns: dict[str, Column] = {}
     if _uses(options, "hw"):
-        columns["hw_state"] = cf.holt_winters_state(
+        columns["hw_state"] = numeric.holt_winters_column(
             values, options.hw_alpha, options.hw_beta, options.hw_gamma, options.hw_seasonal_periods
         )
     if "arima" in options.methods:

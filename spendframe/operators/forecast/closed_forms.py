@@ -7,8 +7,9 @@ aggregate fit all of these methods together:
 * moving average      mean of the rows with ``age < window``
 * smoothing           ``sum(alpha (1-alpha)^age v) + (1-alpha)^n v_first``, the recursion unrolled
 * theta               least-squares line against ``-age``: its intercept is the line at the last row
-* Holt-Winters        an ordered fold over the series' values (level and season divide each other,
-                      so it has no closed form)
+
+Holt-Winters divides level and season by each other, so it has no closed form: ``numeric`` runs
+that recursion, and only its forecast expression is here.
 """
 
 from __future__ import annotations
@@ -37,12 +38,12 @@ def number_from_newest(df: DataFrame, *, series_cols: Sequence[str], date_col: s
 
 def values_oldest_first(value: Column) -> Column:
     """Aggregate: the series as an array.  Its length is the number of periods in the series."""
-    ordered = F.array_sort(F.collect_list(F.struct((-F.col(AGE)).alias("k"), value.alias("v"))))
+    ordered = F.sort_array(F.collect_list(F.struct((-F.col(AGE)).alias("k"), value.alias("v"))))
     return F.transform(ordered, lambda row: row["v"])
 
 
 def days_oldest_first(date: Column) -> Column:
-    ordered = F.array_sort(F.collect_list(F.struct((-F.col(AGE)).alias("k"), F.unix_date(date).alias("d"))))
+    ordered = F.sort_array(F.collect_list(F.struct((-F.col(AGE)).alias("k"), F.unix_date(date).alias("d"))))
     return F.transform(ordered, lambda row: row["d"])
 
 
@@ -96,49 +97,7 @@ def theta_value(theta: float, step: Column) -> Column:
     return F.coalesce(forecast, F.when(F.col("prev_value").isNull(), F.col("last_value")))
 
 
-# -- Holt-Winters -----------------------------------------------------------------------------
-
-
-def holt_winters_state(values: Column, alpha: float, beta: float, gamma: float, period: int) -> Column:
-    """``struct(level, trend, season)`` after the last value; NULL for fewer than two seasons.
-
-    The season array holds the last ``period`` factors, oldest first: each step takes the head
-    and puts its own factor at the tail.
-    """
-    m = F.lit(period)
-
-    def bind(expression: Column, use) -> Column:
-        """``use(x)`` with ``x`` evaluated once, however often ``use`` mentions it."""
-        return F.transform(F.array(expression), use)[0]
-
-    def mean(part: Column) -> Column:
-        return F.aggregate(part, F.lit(0.0), lambda total, v: total + v) / period
-
-    def state(level: Column, trend: Column, season: Column) -> Column:
-        return F.struct(level.alias("level"), trend.alias("trend"), season.alias("season"))
-
-    first_season = F.slice(values, 1, period)
-    second_mean = mean(F.slice(values, period + 1, period))
-    start = bind(
-        mean(first_season),
-        lambda level: state(
-            level, (second_mean - level) / period, F.transform(first_season, lambda v: ratio(v, level))
-        ),
-    )
-
-    def step(acc: Column, v: Column) -> Column:
-        oldest = acc["season"][0]
-        level = F.lit(alpha) * ratio(v, oldest) + F.lit(1.0 - alpha) * (acc["level"] + acc["trend"])
-
-        def rest(new: Column) -> Column:
-            trend = F.lit(beta) * (new - acc["level"]) + F.lit(1.0 - beta) * acc["trend"]
-            factor = F.lit(gamma) * ratio(v, new) + F.lit(1.0 - gamma) * oldest
-            return state(new, trend, F.concat(F.slice(acc["season"], 2, period - 1), F.array(factor)))
-
-        return bind(level, rest)
-
-    remaining = F.slice(values, m + 1, F.greatest(F.size(values) - m, F.lit(0)))
-    return F.when(F.size(values) >= 2 * m, F.aggregate(remaining, start, step))
+# -- Holt-Winters (state from ``numeric``) -------------------------------------------------------
 
 
 def holt_winters_value(state: Column, fallback: Column, period: int, step: Column) -> Column:

@@ -27,6 +27,7 @@ def build_session(app_name: str = "spendframe", master: str | None = None, **con
         defaults.update(
             {
                 "spark.ui.enabled": "false",
+                "spark.ui.showConsoleProgress": "false",
                 "spark.sql.shuffle.partitions": "8",
                 "spark.driver.memory": os.environ.get("SPENDFRAME_DRIVER_MEMORY", "8g"),
             }

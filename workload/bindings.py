@@ -47,6 +47,16 @@ def line_daily(spark, sf_dir) -> DataFrame:
     )
 
 
+def supplier_daily(spark, sf_dir) -> DataFrame:
+    """One daily series per supplier: the number of series grows with the tables."""
+    return cost_by_period(
+        table(spark, sf_dir, "lineitem"),
+        ts_col="l_shipdate",
+        amount=F.col("l_extendedprice") * (1 - F.col("l_discount")),
+        group=dimension("l_suppkey", "service"),
+    )
+
+
 def priority_monthly(spark, sf_dir) -> DataFrame:
     """80 months, one series per order priority."""
     return cost_by_period(

@@ -15,6 +15,8 @@ ACCOUNT_DAILY = """SELECT user_id AS account, event_type AS service, CAST(ts AS
 round(sum(value), 6) AS cost FROM events GROUP BY 1, 2, 3"""
 LINE_DAILY = f"""SELECT l_returnflag AS service, CAST(l_shipdate AS DATE) AS period_start,
 round(sum({NET}), 6) AS cost FROM lineitem GROUP BY 1, 2"""
+SUPPLIER_DAILY = f"""SELECT l_suppkey AS service, CAST(l_shipdate AS DATE) AS period_start,
+round(sum({NET}), 6) AS cost FROM lineitem GROUP BY 1, 2"""
 MONTHLY = """SELECT o_orderpriority AS service, CAST(date_trunc('month', o_orderdate) AS DATE) AS period_start,
 round(sum(o_totalprice), 6) AS cost FROM orders GROUP BY 1, 2"""
 MIXED = f"""SELECT 'daily' AS kind, service, period_start, cost FROM ({SERVICE_DAILY})
@@ -91,15 +93,15 @@ f AS (SELECT *, (coalesce(sma, 0) + coalesce(es, 0) + coalesce(hw, 0) + coalesce
 ON = ("sma", "es", "hw", "theta", "ensemble")
 
 
-def column_list(value=lambda c: f"round({c}, 4)") -> str:
-    return ", ".join(f"{value(c) if c in ON else 'CAST(NULL AS DOUBLE)'} AS {c}" for c in FORECAST_COLUMNS)
+def column_list(digits: int = 4) -> str:
+    return ", ".join(f"{f'round({c}, {digits})' if c in ON else 'CAST(NULL AS DOUBLE)'} AS {c}" for c in FORECAST_COLUMNS)
 
 
-def table_of(series: str, steps: str, step_date: str) -> str:
+def table_of(series: str, steps: str, step_date: str, digits: int = 4) -> str:
     empty = ", ".join(f"CAST(NULL AS DOUBLE) AS {c}" for c in FORECAST_COLUMNS)
     return f"""{all_methods(series, steps, step_date)}
 SELECT service, period_start, cost, {empty} FROM k WHERE n >= 10
-UNION ALL SELECT service, period_start, NULL, {column_list()} FROM f"""
+UNION ALL SELECT service, period_start, NULL, {column_list(digits)} FROM f"""
 
 
 # -- budgets ----------------------------------------------------------------------------------
@@ -297,7 +299,7 @@ def oracle_sql() -> dict[str, str]:
               regr_slope(cost, period_start - DATE '1995-01-01') AS a,
               regr_intercept(cost, period_start - DATE '1995-01-01') AS b FROM s GROUP BY 1),
             x AS (SELECT *, {DAYS} FROM f)
-            SELECT service, {DAILY_STEP} AS period_start, round(b + a * ({DAILY_STEP} - DATE '1995-01-01'), 4) AS value FROM x""",
+            SELECT service, {DAILY_STEP} AS period_start, round(b + a * ({DAILY_STEP} - DATE '1995-01-01'), 2) AS value FROM x""",
         "lag_features": f"""SELECT * FROM (SELECT service, period_start, cost, {", ".join(
             f"lag(cost, {i}) OVER (PARTITION BY service ORDER BY period_start, cost) AS lag_{i}" for i in range(1, 13)
         )} FROM ({LINE_DAILY})) WHERE lag_12 IS NOT NULL""",
@@ -307,11 +309,12 @@ def oracle_sql() -> dict[str, str]:
               regr_intercept(cost, p) AS b FROM l GROUP BY 1), x AS (SELECT *, {DAYS} FROM f)
             SELECT service, {DAILY_STEP} AS period_start,
               round(pow(a, h) * v + b * (1 - pow(a, h)) / (1 - a), 4) AS value FROM x""",
-        "rolling_sma": f"""WITH k AS ({LINE_DAILY}), v AS ({ROLLING_SMA})
-            SELECT service, period_start, round(value, 4) AS value FROM v""",
-        "rolling_es": f"""{es_ctes(LINE_DAILY)} SELECT service, period_start, round(level, 4) AS value FROM esr""",
+        "rolling_sma": f"""SELECT account, service, period_start, round(avg(cost) OVER (PARTITION BY account, service
+            ORDER BY period_start ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 4) AS value FROM ({ACCOUNT_DAILY})""",
+        "rolling_es": f"""{es_ctes(LINE_DAILY)} SELECT service, period_start, round(level, 2) AS value FROM esr""",
         "forecast_table": table_of(*daily),
         "forecast_table_monthly": table_of(*monthly),
+        "forecast_table_suppliers": table_of(SUPPLIER_DAILY, DAYS, DAILY_STEP, digits=2),
         "forecast_ensemble": f"{all_methods(*monthly)} SELECT service, period_start, round(ensemble, 4) AS value FROM f",
         "forecast_long": f"""SELECT service, period_start, m.method, CASE m.method {" ".join(
             f"WHEN '{c}' THEN {c}" for c in FORECAST_COLUMNS)} END AS value

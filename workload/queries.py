@@ -31,6 +31,7 @@ from workload.bindings import (
     report_pages,
     rounded,
     service_daily,
+    supplier_daily,
     table,
     tag_daily,
     total_daily,
@@ -193,10 +194,10 @@ def anomaly_dates(spark, sf):
 # -- forecasts --------------------------------------------------------------------------------
 
 
-def one_method(series: DataFrame, method: str, names=None, **settings) -> DataFrame:
+def one_method(series: DataFrame, method: str, names=None, digits: int = 4, **settings) -> DataFrame:
     names = names or SERIES
     rows = forecast_rows(series, only(method, **settings), **names)
-    value = F.round(method, 4).alias("value")
+    value = F.round(method, digits).alias("value")
     return rows.select(*names["series_cols"], names["date_col"], value)
 
 
@@ -282,9 +283,8 @@ def forecast_sarima(spark, sf):
 
 @query
 def forecast_trend_line(spark, sf):
-    return one_method(
-        line_daily(spark, sf), "prophet", yearly=False, changepoint_scale=float("inf"), season_scale=float("inf")
-    )
+    unpenalised = {"changepoint_scale": float("inf"), "season_scale": float("inf")}
+    return one_method(line_daily(spark, sf), "prophet", digits=2, yearly=False, **unpenalised)
 
 
 @query
@@ -324,12 +324,13 @@ def forecast_auto_order(spark, sf):
 
 @query
 def rolling_sma(spark, sf):
-    return rounded(anomalies.rolling_mean(line_daily(spark, sf), **SERIES), "value")
+    names = {**SERIES, "series_cols": ["account", "service"]}
+    return rounded(anomalies.rolling_mean(account_service_daily(spark, sf), **names), "value")
 
 
 @query
 def rolling_es(spark, sf):
-    return rounded(anomalies.rolling_smoothing(line_daily(spark, sf), **SERIES), "value")
+    return rounded(anomalies.rolling_smoothing(line_daily(spark, sf), **SERIES), "value", digits=2)
 
 
 # -- combining --------------------------------------------------------------------------------
@@ -347,6 +348,12 @@ def forecast_table_monthly(spark, sf):
     return rounded(actuals_and_forecasts(priority_monthly(spark, sf), BLEND, **SERIES), *FORECAST_COLUMNS)
 
 
+@query
+def forecast_table_suppliers(spark, sf):
+    table_ = actuals_and_forecasts(supplier_daily(spark, sf), BLEND, **SERIES)
+    return rounded(table_, *FORECAST_COLUMNS, digits=2)
+
+
 @query
 def forecast_ensemble(spark, sf):
     rows = forecast_rows(priority_monthly(spark, sf), BLEND, **SERIES)
