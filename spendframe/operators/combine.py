@@ -41,31 +41,29 @@ def milestone_summary(
     """Sum of each method's forecasts up to and including each milestone; nothing to sum is 0.
 
     ``rows`` are ``forecast_rows`` (they carry ``last_date``).  Milestones are month ends, so days
-    are summed to months first and each month feeds the sums it is early enough for: no join with
-    the milestones, no copies, and both aggregates keep the partitioning by series.
+    are summed to months first, and each month feeds the sums it is early enough for: no join with
+    the milestones, and at most 13 rows per series are shuffled.
     """
-    ends = milestone_days(F.col(LAST))
+    names = [*series_cols, LAST]
     month = F.trunc(date_col, "month").alias("_month")
-    months = rows.groupBy(*series_cols, LAST, month).agg(*[F.sum(m).alias(m) for m in methods])
-    sums = [
-        F.sum(F.when(F.col("_month") <= day, F.col(method))).alias(f"{method}__{label}")
-        for label, day in ends
-        for method in methods
-    ]
-    totals = months.groupBy(*series_cols, LAST).agg(*sums)
+    months = rows.groupBy(*names, month).agg(*[F.sum(m).alias(m) for m in methods])
+    by_method = F.array(*[F.struct(F.lit(m).alias("method"), F.col(m).alias("_sum")) for m in methods])
+    long = months.select(*names, "_month", F.inline(by_method))
+    ends = milestone_days(F.col(LAST))
+    totals = long.groupBy(*names, "method").agg(
+        *[F.sum(F.when(F.col("_month") <= day, F.col("_sum"))).alias(label) for label, day in ends]
+    )
     unfolded = F.array(
         *[
             F.struct(
                 F.lit(label).alias("label"),
                 day.alias("milestone_date"),
-                F.lit(method).alias("method"),
-                F.coalesce(F.col(f"{method}__{label}"), F.lit(0.0)).alias("total"),
+                F.coalesce(F.col(label), F.lit(0.0)).alias("total"),
             )
             for label, day in ends
-            for method in methods
         ]
     )
-    return totals.select(*series_cols, F.inline(unfolded))
+    return totals.select(*series_cols, "method", F.inline(unfolded))
 
 
 def milestone_lines(summary: DataFrame, *, series_cols: Sequence[str] = ()) -> DataFrame:

@@ -15,16 +15,21 @@ gives NULL, as a failed model run does.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _DOUBLES = T.ArrayType(T.DoubleType())
 
+# Send these functions with the task: executors then need NumPy and pandas, but not this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _per_series(model: Callable[..., np.ndarray | None]) -> Callable[..., Column]:
     """Wrap ``model(values, *rest) -> forecasts`` as an Arrow UDF over array columns."""

@@ -10,6 +10,7 @@ data size), so they travel inside an Arrow UDF that steps a whole batch of serie
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
 import numpy as np
@@ -17,6 +18,7 @@ import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,6 +26,9 @@ from spendframe.functions.numbers import ratio
 
 TREES, DEPTH, SEED = 20, 5, 42
 
+# Send these functions with the task: executors then need NumPy and pandas, but not this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def lag_features(
     df: DataFrame, *, series_cols: Sequence[str], date_col: str, value_col: str, lags: int = 12

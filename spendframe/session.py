@@ -22,6 +22,8 @@ def build_session(app_name: str = "spendframe", master: str | None = None, **con
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # a call-site capture per expression costs more than building the plan
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
     if master and master.startswith("local"):
         defaults.update(
