@@ -4,6 +4,6 @@ Every operator is a function from DataFrame to DataFrame.  A *series* is one row
 ``(series_cols, period)``; ``series_cols=[]`` means the table is a single series.
 """
 
-from spendframe.session import build_session
+from spendframe.session import build_session, settle
 
-__all__ = ["build_session"]
+__all__ = ["build_session", "settle"]

@@ -20,10 +20,12 @@ from spendframe.operators.forecast import numeric, trees
 from spendframe.operators.forecast.options import ForecastOptions
 from spendframe.operators.spine import GRAIN, LAST, grain_of, horizon
 from spendframe.params import FORECAST_COLUMNS, FORECAST_METHODS, require_columns
+from spendframe.session import settle
 
 STEP, HORIZON, VALUES, DAYS = "step", "_horizon", "_values", "_days"
 _ARRAY_METHODS = ("arima", "sarima", "prophet")
-_MODEL_FAMILIES = ("arima", "auto_order", "lag_linear", "lag_forest", "lag_gbt")
+_TRAINED_FAMILIES = ("lag_forest", "lag_gbt")
+_MODEL_FAMILIES = ("arima", "auto_order", "lag_linear", *_TRAINED_FAMILIES)
 
 
 def _uses(options: ForecastOptions, *names: str) -> bool:
@@ -45,6 +47,8 @@ def fit(
     """One row per series with at least ``min_points`` rows: grain, last date and model state."""
     require_columns(df, [*series_cols, date_col, value_col])
     rows = df.select(*series_cols, date_col, value_col)
+    if options.darts_family in _TRAINED_FAMILIES:
+        rows = settle(rows)  # training reads the series several times, and the fit once more
     numbered = cf.number_from_newest(rows, series_cols=series_cols, date_col=date_col, value_col=value_col)
     date, value = F.col(date_col), F.col(value_col)
     state: dict[str, Column] = {
@@ -108,7 +112,7 @@ def _model_columns(rows, options, *, series_cols, date_col, value_col) -> dict[s
         columns["_darts"] = numeric.auto_order_column(values, steps)
     elif family == "lag_linear":
         columns["_darts"] = numeric.lag_regression_column(values, steps, options.lags)
-    elif family in ("lag_forest", "lag_gbt"):
+    elif family in _TRAINED_FAMILIES:
         names = {"series_cols": series_cols, "date_col": date_col, "value_col": value_col}
         pool = long_enough(rows, series_cols=series_cols, min_points=max(options.min_points, options.lags + 1))
         forest = trees.train(pool, family, lags=options.lags, **names)

@@ -1,5 +1,5 @@
 """Whole reports: operators chained into one lazy plan."""
 
-from spendframe.plans.reports import anomaly_report, budget_report, forecast_report, what_if
+from spendframe.plans.reports import anomaly_report, budget_report, cost_report, forecast_report, what_if
 
-__all__ = ["anomaly_report", "budget_report", "forecast_report", "what_if"]
+__all__ = ["anomaly_report", "budget_report", "cost_report", "forecast_report", "what_if"]

@@ -8,13 +8,14 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spendframe.functions.dates import report_range
 from spendframe.operators import anomalies
 from spendframe.operators.budgets import budget_by_name, compare_with_budgets
 from spendframe.operators.clean import clean_series, long_enough
 from spendframe.operators.combine import milestone_summary, summary_methods
 from spendframe.operators.forecast import ForecastOptions, forecast_rows, forecast_table
-from spendframe.params import MIN_POINTS, choice
-from spendframe.sources.usage import Group, cost_by_period, everything, report_bounds
+from spendframe.params import MIN_POINTS, choice, iso_date, metric_name
+from spendframe.sources.usage import Group, cost_by_period, report_bounds
 
 
 def forecast_report(
@@ -78,32 +79,67 @@ def fitted_values(
     return table
 
 
-def anomaly_report(
+def cost_report(
     usage: DataFrame,
     *,
     ts_col: str,
     amount: str | Column,
     as_of: str | dt.date,
+    grain: str = "daily",
+    interval: str | None = None,
+    include_today: bool = False,
     group: Group | None = None,
     start: str | dt.date | None = None,
     end: str | dt.date | None = None,
+    metric: str | None = None,
+) -> DataFrame:
+    """``PeriodStart, <group>, <metric>`` over the range seen from ``as_of``.
+
+    An explicit ``start`` and ``end`` replace the range.
+    """
+    today = F.lit(str(iso_date(as_of))).cast("date")
+    first, last = report_bounds(start, end, report_range(today, grain, interval, include_today))
+    return cost_by_period(
+        usage,
+        ts_col=ts_col,
+        amount=amount,
+        grain=grain,
+        group=group,
+        start=first,
+        end=last,
+        period_col="PeriodStart",
+        cost_col=metric_name(metric),
+    )
+
+
+def anomaly_report(
+    usage: DataFrame,
+    *,
+    ts_col: str,
+    amount: str | Column,
+    as_of: str | dt.date,
+    grain: str = "daily",
+    group: Group | None = None,
     methods: Sequence[str] = ("sma", "es"),
     threshold: float = anomalies.DEFAULT_THRESHOLD,
     min_points: int = MIN_POINTS,
+    margin: int = 10,
 ) -> DataFrame:
-    """Usage lines -> daily cost per group -> values at each date -> change against earlier dates.
+    """Usage lines -> cost per period and group -> values at each date -> change against earlier dates.
 
-    All groups run in the same job; groups with too short a history are left out.
+    Reads from three months and ``margin`` days before ``as_of`` up to ``as_of``.  All groups run
+    in the same job; groups with too short a history are left out.
     """
-    group = group or everything()
-    today = F.lit(str(as_of)).cast("date")
+    today = F.lit(str(iso_date(as_of))).cast("date")
     costs = cost_by_period(
-        usage if start is not None else _lookback(usage, ts_col, today),
+        usage,
         ts_col=ts_col,
         amount=amount,
+        grain=grain,
         group=group,
         group_col="group_key",
-        **dict(zip(("start", "end"), report_bounds(start, end, (None, as_of)), strict=True)),
+        start=F.date_sub(F.add_months(today, -3), margin),
+        end=today,
     )
     costs = costs.filter(F.col("group_key").isNotNull())
     names = {"series_cols": ["group_key"], "date_col": "period_start", "value_col": "cost"}
@@ -114,12 +150,6 @@ def anomaly_report(
     )
 
 
-def _lookback(usage: DataFrame, ts_col: str, today: Column, margin: int = 10) -> DataFrame:
-    """Lines from three months and ``margin`` days before ``today`` on, as a pushable filter."""
-    first = F.date_sub(F.add_months(today, -3), margin).cast(usage.schema[ts_col].dataType)
-    return usage.filter(F.col(ts_col) >= first)
-
-
 def what_if(series: DataFrame, *changes: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Apply event functions one after the other, e.g. ``partial(spike, start=..., ...)``."""
     for change in changes:

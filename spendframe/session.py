@@ -1,10 +1,11 @@
-"""Session defaults for running outside a cluster that already sets them."""
+"""Session defaults, and cutting a plan where several jobs would repeat it."""
 
 from __future__ import annotations
 
 import os
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app_name: str = "spendframe", master: str | None = None, **conf: str) -> SparkSession:
@@ -37,3 +38,23 @@ def build_session(app_name: str = "spendframe", master: str | None = None, **con
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Compute a table once for several later jobs, and cut its lineage.
+
+    Meant for a cost series, which is small next to the usage lines behind it.  The copy goes to
+    the folder the session names in ``spark.checkpoint.dir``, which all executors share, so it
+    outlives a lost executor.  Without that setting a local session gets a temporary folder; a
+    cluster keeps the lineage and only caches, because a machine-local folder would not do there.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and context.master.startswith("local"):
+        folder = context.getCheckpointDir() or tempfile.mkdtemp(prefix="spendframe-checkpoint-")
+    if folder is None:
+        return df.persist()
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
+    return df.checkpoint()

@@ -59,13 +59,21 @@ def everything() -> Group:
     return Group("Group")
 
 
-def within(df: DataFrame, ts_col: str, start: dt.date | str | None, end: dt.date | str | None) -> DataFrame:
-    """Rows in ``[start, end)``.  Literals take the column's own type, so the filter is pushed down."""
+Bound = dt.date | str | Column | None
+
+
+def within(df: DataFrame, ts_col: str, start: Bound, end: Bound) -> DataFrame:
+    """Rows in ``[start, end)``.  Bounds take the column's own type, so the filter is pushed down
+    (a constant expression folds to a literal first)."""
     kind = df.schema[ts_col].dataType
+
+    def typed(bound: Bound) -> Column:
+        return (bound if isinstance(bound, Column) else F.lit(str(bound))).cast(kind)
+
     if start is not None:
-        df = df.filter(F.col(ts_col) >= F.lit(str(start)).cast(kind))
+        df = df.filter(F.col(ts_col) >= typed(start))
     if end is not None:
-        df = df.filter(F.col(ts_col) < F.lit(str(end)).cast(kind))
+        df = df.filter(F.col(ts_col) < typed(end))
     return df
 
 
@@ -83,8 +91,8 @@ def cost_by_period(
     amount: str | Column,
     grain: str = "daily",
     group: Group | None = None,
-    start: dt.date | str | None = None,
-    end: dt.date | str | None = None,
+    start: Bound = None,
+    end: Bound = None,
     period_col: str = "period_start",
     group_col: str | None = None,
     cost_col: str = "cost",

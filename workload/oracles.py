@@ -245,6 +245,9 @@ def oracle_sql() -> dict[str, str]:
         "cost_by_priority_monthly": MONTHLY,
         "cost_year_to_date": f"""SELECT * FROM ({LINE_DAILY})
             WHERE period_start >= DATE '2001-01-01' AND period_start < DATE '{AS_OF}'""",
+        "cost_report_semester": """SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS "PeriodStart",
+            o_orderpriority AS "Service", round(sum(o_totalprice), 6) AS "UnblendedCost" FROM orders
+            WHERE o_orderdate >= DATE '2000-07-01' AND o_orderdate < DATE '2000-11-21' GROUP BY 1, 2""",
         "report_json_grouped": report_sql(SERVICE_DAILY),
         "report_json_total": report_sql(TOTAL_DAILY, name="Group"),
         "report_pages_union": f"{report_sql(SERVICE_DAILY)} UNION ALL {report_sql(MONTHLY)}",

@@ -14,7 +14,7 @@ from spendframe.operators.forecast import forecast_rows, trees
 from spendframe.operators.forecast import forecast_table as actuals_and_forecasts
 from spendframe.operators.forecast.options import ForecastOptions
 from spendframe.params import FORECAST_COLUMNS
-from spendframe.plans import anomaly_report, what_if
+from spendframe.plans import anomaly_report, cost_report, what_if
 from spendframe.plans.reports import fitted_values
 from spendframe.sources import reports
 from spendframe.sources.budgets import parse_budgets
@@ -100,6 +100,20 @@ def cost_year_to_date(spark, sf):
     )
 
 
+@query
+def cost_report_semester(spark, sf):
+    return cost_report(
+        table(spark, sf, "orders"),
+        ts_col="o_orderdate",
+        amount="o_totalprice",
+        as_of="2000-11-20",
+        grain="monthly",
+        interval="semester",
+        include_today=True,
+        group=dimension("o_orderpriority", "Service"),
+    )
+
+
 @query
 def report_json_grouped(spark, sf):
     return reports.grouped_rows(report_pages(service_daily(spark, sf)), "UnblendedCost", "Service")
