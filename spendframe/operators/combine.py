@@ -84,7 +84,10 @@ def forecast_horizon(
     if not methods:
         raise ValueError("no forecast columns in the table")
     forecast_day = F.when(F.coalesce(*methods).isNotNull(), F.col(date_col))
-    first = F.min(forecast_day).over(Window.partitionBy(*series_cols))
+    if series_cols:
+        first = F.min(forecast_day).over(Window.partitionBy(*series_cols))
+    else:
+        first = table.agg(F.min(forecast_day)).scalar()  # a window without keys would be one task
     marked = table.withColumn("_first", first)
     inside = (F.col(date_col) >= F.col("_first")) & (F.col(date_col) < F.date_add("_first", days))
     return marked.filter(inside).drop("_first")

@@ -1,4 +1,8 @@
-"""What-if events on a series: step changes, spikes, dips, seasons, random spikes, notes."""
+"""What-if events on a series: step changes, spikes, dips, seasons, random spikes, notes.
+
+Events that count rows number them within a series.  A series is one row per period (aggregate
+usage lines first), so that numbering is bounded by the calendar however many lines a group has.
+"""
 
 from __future__ import annotations
 

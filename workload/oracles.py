@@ -360,11 +360,11 @@ def oracle_sql() -> dict[str, str]:
         "spike_value": event_sql(MONTHLY, "1998-03-15", "later AND r <= 5", "cost + CAST(1234.5 AS DOUBLE)"),
         "deep_pct": event_sql(LINE_DAILY, "1999-12-25", "later AND r <= 10", "cost * CAST(0.7 AS DOUBLE)"),
         "deep_value_clamped": event_sql(
-            """SELECT c_mktsegment AS service, DATE '2000-01-01' + CAST(c_custkey AS INTEGER) AS period_start,
-            c_acctbal AS cost FROM customer""",
-            "2001-01-01",
+            """SELECT l_returnflag AS service, CAST(l_shipdate AS DATE) AS period_start,
+            round(sum(l_extendedprice - 38000), 6) AS cost FROM lineitem GROUP BY 1, 2""",
+            "1998-01-01",
             "later AND r <= 30",
-            "cost - 2500",
+            "cost - 50000",
         ),
         "event_note": f"""SELECT service, period_start, round(cost * CASE WHEN r BETWEEN 1 AND 3 THEN CAST(1.5 AS DOUBLE)
             ELSE 1 END, 6) AS cost, CASE WHEN r = 1 THEN 'launch' ELSE '' END AS note FROM (SELECT *,

@@ -528,12 +528,14 @@ def deep_pct(spark, sf):
 
 @query
 def deep_value_clamped(spark, sf):
-    balances = table(spark, sf, "customer").select(
-        F.col("c_mktsegment").alias("service"),
-        F.date_add(F.lit("2000-01-01").cast("date"), F.col("c_custkey").cast("int")).alias("period_start"),
-        F.col("c_acctbal").alias("cost"),
+    """Net of a fixed credit per line, so that some days are below zero before the change."""
+    net = cost_by_period(
+        table(spark, sf, "lineitem"),
+        ts_col="l_shipdate",
+        amount=F.col("l_extendedprice") - 38000.0,
+        group=dimension("l_returnflag", "service"),
     )
-    return rounded(events.dip(balances, start="2001-01-01", length=30, value=2500.0, **SERIES), "cost", digits=6)
+    return rounded(events.dip(net, start="1998-01-01", length=30, value=50000.0, **SERIES), "cost", digits=6)
 
 
 @query
