@@ -64,3 +64,12 @@ def long_enough(df: DataFrame, *, series_cols: Sequence[str], min_points: int =
 def skipped_series(df: DataFrame, *, series_cols: Sequence[str], min_points: int = MIN_POINTS) -> DataFrame:
     """The series the gate leaves out, with their row counts."""
     return series_lengths(df, series_cols=series_cols).filter(F.col("row_count") < min_points)
+
+
+def share_source(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The first side of a union of two views of one table, ready to share its exchanges.
+
+    The optimizer drops same-name aliases from a union's later sides but keeps those the first
+    side passes through, and then the two no longer look alike.  Fresh names on top free them.
+    """
+    return df.select(*[F.col(f"`{c}`").alias(c) for c in columns])

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from spendframe.functions.dates import forecast_day
 from spendframe.functions.numbers import mean_of_present, nan_to_null
-from spendframe.operators.clean import long_enough
+from spendframe.operators.clean import long_enough, share_source
 from spendframe.operators.forecast import closed_forms as cf
 from spendframe.operators.forecast import numeric, trees
 from spendframe.operators.forecast.options import ForecastOptions
@@ -207,10 +207,8 @@ def forecast_table(
         df.select(*series_cols, date_col, value_col), series_cols=series_cols, min_points=options.min_points
     )
     missing = {name: F.lit(None).cast("double") for name in FORECAST_COLUMNS}
-    columns = [*series_cols, date_col, value_col, *FORECAST_COLUMNS]
-    value_type = df.schema[value_col].dataType
-    return (
-        past.withColumns(missing)
-        .select(*columns)
-        .unionByName(future.withColumn(value_col, F.lit(None).cast(value_type)).select(*columns))
+    names = [*series_cols, date_col, value_col]
+    future = future.withColumn(value_col, F.lit(None).cast(df.schema[value_col].dataType))
+    return share_source(past.withColumns(missing), [*names, *FORECAST_COLUMNS]).unionByName(
+        future.select(*names, *FORECAST_COLUMNS)
     )

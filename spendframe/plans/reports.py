@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from spendframe.functions.dates import report_range
 from spendframe.operators import anomalies
 from spendframe.operators.budgets import budget_by_name, compare_with_budgets
-from spendframe.operators.clean import clean_series, long_enough
+from spendframe.operators.clean import clean_series, long_enough, share_source
 from spendframe.operators.combine import milestone_summary, summary_methods
 from spendframe.operators.forecast import ForecastOptions, forecast_rows, forecast_table
 from spendframe.params import MIN_POINTS, choice, iso_date, metric_name
@@ -73,7 +73,7 @@ def fitted_values(
         else:
             values = anomalies.rolling_smoothing(series, alpha=alpha, **names)
         parts.append(values.select(*series_cols, date_col, F.lit(method).alias("method"), "value"))
-    table = parts[0]
+    table = share_source(parts[0], parts[0].columns) if len(parts) > 1 else parts[0]
     for part in parts[1:]:
         table = table.unionByName(part)
     return table

@@ -57,6 +57,25 @@ def test_forecast_table_reads_the_usage_once(spark, sf_dir):
     assert text.count("FileScan") == 1 and "ReusedExchange" in text and "SinglePartition" not in text
 
 
+@pytest.mark.parametrize("kind", ["forecast", "fitted"])
+def test_same_named_columns_still_share_the_scan(spark, tmp_path, kind):
+    """Usage whose columns already carry the series' names: no rename tells the two sides apart."""
+    from spendframe.plans.reports import fitted_values
+
+    rows = [(d, g, 1.0 + i % 5) for i, d in enumerate(days_from("2025-01-01", 40)) for g in ("a", "b")]
+    path = str(tmp_path / "usage")
+    spark.createDataFrame(rows, "period_start date, service string, cost double").write.parquet(path)
+    costs = cost_by_period(
+        spark.read.parquet(path), ts_col="period_start", amount="cost", group=dimension("service")
+    )
+    if kind == "forecast":
+        df = forecast_table(costs, ForecastOptions(ensemble=True), **SERIES)
+    else:
+        df = fitted_values(long_enough(costs, series_cols=["service"]), **SERIES)
+    text = plan(df, run=True)
+    assert text.count("FileScan") == 1 and "ReusedExchange" in text
+
+
 def test_row_wise_operators_do_not_shuffle(spark):
     df = spark.createDataFrame([(d, "x", 1.0) for d in days_from("2025-01-01", 3)], "d date, g string, v double")
     names = {"date_col": "d", "value_col": "v"}
