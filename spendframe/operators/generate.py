@@ -18,7 +18,7 @@ DEFAULTS = {
     "trend": 1.0,
     "step_size": 50.0,
     "spike_size": 100.0,
-    "noise": 0.0,
+    "noise": 0.05,
 }
 _INDEX = "_i"
 
@@ -123,7 +123,7 @@ def generate_series(
         None if step_index is None else F.lit(step_index),
         None if spike_index is None else F.lit(spike_index),
     )
-    if noise or (noise is None and "noise" in specs.columns):
+    if noise != 0:
         keys = [F.col(c) for c in (*series_cols, _INDEX)]
         level = level * (F.lit(1.0) + _setting(specs, "noise", noise) * standard_normal(keys, seed, "noise"))
     return rows.select(*series_cols, date_col, floor_at_zero(level).alias(value_col))

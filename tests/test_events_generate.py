@@ -130,7 +130,7 @@ def made(spec, pattern, **settings):
 
 def test_patterns(spec):
     def values(pattern, **settings):
-        return [v for _, v in made(spec, pattern, periods=6, **settings)]
+        return [v for _, v in made(spec, pattern, periods=6, noise=0.0, **settings)]
 
     assert values("flat") == [10] * 6
     assert values("upward_trend", trend=-2.0) == [10, 12, 14, 16, 18, 20]
@@ -147,7 +147,8 @@ def test_flat_generator(spark):
     one = spark.createDataFrame([("s",)], "series string")
     rows = made(one, "flat", periods=10, baseline=100.0, noise=0.0)
     assert rows == list(zip(days_from("2025-01-01", 10), [100.0] * 10))
-    assert len(made(one, "flat")) == 36
+    noisy = [v for _, v in made(one, "flat")]  # defaults: 36 periods around 100 with 5 % noise
+    assert len(noisy) == 36 and len(set(noisy)) == 36 and all(75 < v < 125 for v in noisy)
 
 
 def test_generated_dates(spec):

@@ -593,9 +593,11 @@ def specs(spark, sf) -> DataFrame:
     )
 
 
-def generated(spark, sf, pattern: str, **settings) -> DataFrame:
+def generated(spark, sf, pattern: str, noise: float = 0.0, **settings) -> DataFrame:
     start = F.lit("2024-01-15").cast("date")
-    made = generate.generate_series(specs(spark, sf), series_cols=["series"], pattern=pattern, start=start, **settings)
+    made = generate.generate_series(
+        specs(spark, sf), series_cols=["series"], pattern=pattern, start=start, noise=noise, **settings
+    )
     return rounded(made, "cost")
 
 
