@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spendframe.functions.numbers import nan_to_null, percent_change
-from spendframe.operators.forecast.numeric import smoothing_levels_column
+from spendframe.operators.forecast.numeric import fourier_column, smoothing_levels_column
 from spendframe.params import ANOMALY_PERIODS, iso_date
 
-DEFAULT_THRESHOLD = 20.0
 
 
 def rolling_mean(
@@ -23,19 +22,63 @@ def rolling_mean(
     return df.select(*series_cols, date_col, F.avg(value_col).over(w).alias("value"))
 
 
-def rolling_smoothing(
-    df: DataFrame, *, series_cols: Sequence[str] = (), date_col: str, value_col: str, alpha: float = 0.5
+def _at_each_date(
+    df: DataFrame,
+    values_at: Callable[[Column, Column], Column],
+    *,
+    series_cols: Sequence[str],
+    date_col: str,
+    value_col: str,
 ) -> DataFrame:
-    """``series, date, value``: the exponential smoothing level at each date.
+    """``series, date, value`` from a function of a series' value and date arrays.
 
-    The array holds one element per period of a series, so its length is set by the calendar and
-    not by the number of usage lines.
+    The arrays hold one element per period of a series, so their length is set by the calendar
+    and not by the number of usage lines.
     """
     ordered = F.sort_array(F.collect_list(F.struct(F.col(date_col).alias("d"), F.col(value_col).alias("v"))))
     series = df.groupBy(*series_cols).agg(ordered.alias("_rows")).filter(F.size("_rows") > 0)
-    levels = smoothing_levels_column(F.transform("_rows", lambda r: r["v"]), alpha)
-    zipped = F.arrays_zip(F.transform("_rows", lambda r: r["d"]).alias(date_col), levels.alias("value"))
-    return series.select(*series_cols, F.inline(zipped))
+    dates = F.transform("_rows", lambda r: r["d"])
+    fitted = values_at(F.transform("_rows", lambda r: r["v"]), dates)
+    # a failed fit is an empty array here, which the zip pads with NULL values
+    filled = F.coalesce(fitted, F.array().cast("array<double>"))
+    return series.select(*series_cols, F.inline(F.arrays_zip(dates.alias(date_col), filled.alias("value"))))
+
+
+def rolling_smoothing(
+    df: DataFrame, *, series_cols: Sequence[str] = (), date_col: str, value_col: str, alpha: float = 0.5
+) -> DataFrame:
+    """``series, date, value``: the exponential smoothing level at each date."""
+    names = {"series_cols": series_cols, "date_col": date_col, "value_col": value_col}
+    return _at_each_date(df, lambda values, _: smoothing_levels_column(values, alpha), **names)
+
+
+def fitted_trend(
+    df: DataFrame,
+    *,
+    series_cols: Sequence[str] = (),
+    date_col: str,
+    value_col: str,
+    yearly: bool = True,
+    weekly: bool = False,
+    changepoint_scale: float = 0.05,
+    season_scale: float = 10.0,
+) -> DataFrame:
+    """``series, date, value``: the trend-and-seasons model of the whole series at each date."""
+
+    def model(values: Column, dates: Column) -> Column:
+        days = F.transform(dates, lambda d: F.unix_date(d.cast("date")))
+        return fourier_column(
+            values,
+            F.size(values),
+            days,
+            days,
+            yearly=yearly,
+            weekly=weekly,
+            changepoint_scale=changepoint_scale,
+            season_scale=season_scale,
+        )
+
+    return _at_each_date(df, model, series_cols=series_cols, date_col=date_col, value_col=value_col)
 
 
 def history(df: DataFrame, *, date_col: str, as_of: str | dt.date, margin: int = 10) -> DataFrame:
@@ -55,10 +98,10 @@ def compare_periods(
     as_of: str | dt.date,
     group_cols: Sequence[str],
     date_col: str,
+    threshold: float,
     value_col: str = "value",
     method_col: str = "method",
     methods: Sequence[str] | None = None,
-    threshold: float = DEFAULT_THRESHOLD,
 ) -> DataFrame:
     """Yesterday's value against 2, 7, 30 and 90 days before it, per group and method.
 

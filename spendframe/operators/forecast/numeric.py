@@ -5,8 +5,8 @@ the values as an array.  Spark has already partitioned, ordered and gated the se
 add no shuffle and no join.
 
 The ordered recursions could be folds (``aggregate``) in the JVM, but a fold is interpreted and
-copies its arrays at every element: about 20 microseconds per value, measured, against well under
-one here.
+copies its arrays at every element.  On 4,000 series of 730 days and 8 cores, fitting the four
+standard methods took 9.0 s with a fold and 5.1 s this way; smoothing at each date 8.2 s and 3.1 s.
 
 The regressions are least-squares stand-ins for maximum-likelihood or sampled fits and will not
 give those libraries' digits.  A fit that is not possible (too few rows, singular, not finite)

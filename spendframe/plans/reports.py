@@ -67,9 +67,11 @@ def fitted_values(
     names = {"series_cols": series_cols, "date_col": date_col, "value_col": value_col}
     parts = []
     for method in methods:
-        choice(method, ("sma", "es"), "per-date method")
+        choice(method, ("sma", "es", "prophet"), "per-date method")
         if method == "sma":
             values = anomalies.rolling_mean(series, window=window, **names)
+        elif method == "prophet":
+            values = anomalies.fitted_trend(series, **names)
         else:
             values = anomalies.rolling_smoothing(series, alpha=alpha, **names)
         parts.append(values.select(*series_cols, date_col, F.lit(method).alias("method"), "value"))
@@ -118,10 +120,10 @@ def anomaly_report(
     ts_col: str,
     amount: str | Column,
     as_of: str | dt.date,
+    threshold: float,
     grain: str = "daily",
     group: Group | None = None,
     methods: Sequence[str] = ("sma", "es"),
-    threshold: float = anomalies.DEFAULT_THRESHOLD,
     min_points: int = MIN_POINTS,
     margin: int = 10,
 ) -> DataFrame:

@@ -122,12 +122,12 @@ def test_report_from_usage_lines(spark):
     lines = [(d, g, 10.0 if d < day("2025-05-31") else 30.0) for d in days_from("2025-01-01", 151) for g in ("x", "y")]
     lines += [(day("2025-05-30"), "short", 1.0), (day("2025-06-02"), "x", 1e9), (day("2025-05-01"), None, 5.0)]
     usage = spark.createDataFrame(lines, "ts date, g string, v double")
-    out = anomaly_report(usage, ts_col="ts", amount="v", as_of="2025-06-01", group=dimension("g", "g"))
+    out = anomaly_report(usage, ts_col="ts", amount="v", as_of="2025-06-01", threshold=20, group=dimension("g", "g"))
     rows = out.collect()
     assert {r.group_key for r in rows} == {"x", "y"} and len(rows) == 2 * 2 * 4
     es = {r.period: r.change_pct for r in rows if r.method == "es" and r.group_key == "x"}
     assert es["Week Ago"] == pytest.approx(100.0) and es["Quarter Ago"] == pytest.approx(100.0)
-    whole = anomaly_report(usage, ts_col="ts", amount="v", as_of="2025-06-01", methods=["sma"])
+    whole = anomaly_report(usage, ts_col="ts", amount="v", as_of="2025-06-01", threshold=20, methods=["sma"])
     assert {r.group_key for r in whole.collect()} == {"Total"}
 
 
@@ -135,3 +135,12 @@ def test_history_window(spark):
     df = spark.createDataFrame([(d,) for d in days_from("2025-01-01", 200)], "d date")
     got = anomalies.history(df, date_col="d", as_of="2025-06-15").agg(F.min("d"), F.max("d")).first()
     assert tuple(got) == (day("2025-03-05"), day("2025-06-14"))
+
+
+def test_fitted_trend_recovers_a_wave(spark):
+    days = days_from("2023-01-01", 800)
+    wave = [20 + 3 * np.sin(2 * np.pi * d.toordinal() / 365.25) for d in days]
+    df = spark.createDataFrame([("g", d, float(v)) for d, v in zip(days, wave)], "g string, d date, v double")
+    free = {"changepoint_scale": float("inf"), "season_scale": float("inf")}
+    got = anomalies.fitted_trend(df, **free, **NAMES).orderBy("d").collect()
+    assert [r.d for r in got] == days and [r.value for r in got] == pytest.approx(wave, abs=1e-6)

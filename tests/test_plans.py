@@ -39,7 +39,7 @@ def test_anomaly_lookback_is_pushed_down(spark, sf_dir):
     from spendframe.plans import anomaly_report
 
     report = anomaly_report(
-        table(spark, sf_dir, "lineitem"), ts_col="l_shipdate", amount="l_tax", as_of="2001-08-01", methods=["sma"]
+        table(spark, sf_dir, "lineitem"), ts_col="l_shipdate", amount="l_tax", as_of="2001-08-01", threshold=20, methods=["sma"]
     )
     text = plan(report)
     # the plan text cuts the filter list after 100 characters

@@ -7,6 +7,7 @@ from workload.oracles import oracle_sql
 from workload.queries import REGISTRY
 
 ROWS_ONLY = {
+    "anomaly_fitted_trend",
     "forecast_arima",
     "forecast_sarima",
     "forecast_fourier_trend",

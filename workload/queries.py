@@ -463,7 +463,9 @@ def budget_json_rows(spark, sf):
 def compared(spark, sf, methods) -> DataFrame:
     names = {"series_cols": ["service"], "date_col": "period_start", "value_col": "cost"}
     values = fitted_values(line_daily(spark, sf), methods=methods, **names)
-    rows = anomalies.compare_periods(values, as_of=AS_OF, group_cols=["service"], date_col="period_start")
+    rows = anomalies.compare_periods(
+        values, as_of=AS_OF, group_cols=["service"], date_col="period_start", threshold=20.0
+    )
     return rounded(rows, "change_pct")
 
 
@@ -477,6 +479,11 @@ def anomaly_rolling_es(spark, sf):
     return compared(spark, sf, ["es"])
 
 
+@query
+def anomaly_fitted_trend(spark, sf):
+    return compared(spark, sf, ["prophet"])
+
+
 @query
 def anomaly_periods(spark, sf):
     report = anomaly_report(
@@ -484,6 +491,7 @@ def anomaly_periods(spark, sf):
         ts_col="l_shipdate",
         amount=F.col("l_extendedprice") * (1 - F.col("l_discount")),
         as_of=AS_OF,
+        threshold=20.0,
         group=dimension("l_returnflag", "service"),
     )
     return rounded(report, "change_pct")
