@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spendframe.llm.base import pick, words
+from spendframe.llm.base import blanks, pick, words
 
 SYMBOLS = "[#*$%&|<>]+"
 
@@ -38,21 +38,23 @@ class LineLimits:
     repeated: int = 50
 
 
-def _lines(text: Column) -> Column:
-    """Normalised lines that hold a word.  The text is normalised as a whole, touching only white space
-    that is not already one blank; new lines are left to split at."""
-    blanks = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x09\x0B-\x0D][\x20\x09\x0B-\x0D]*|\x20[\x20\x09\x0B-\x0D]+", " ")
-    return F.filter(F.transform(F.split(F.lower(blanks), "\n"), F.trim), lambda x: x != "")
+def _lines(frame: DataFrame) -> DataFrame:
+    """Adds ``_lines``: the normalised lines of ``text`` that hold a word.  The text is normalised as a whole."""
+    frame = frame.withColumn("_text", F.lower(blanks(F.col("text"), keep="\n")))
+    double = F.instr("_text", "  ") > 0
+    frame = frame.withColumn("_text", F.when(double, F.regexp_replace("_text", " {2,}", " ")).otherwise(F.col("_text")))
+    return frame.withColumn("_lines", F.filter(F.transform(F.split("_text", "\n"), lambda x: F.trim(x)), lambda x: x != "")).drop("_text")
 
 
 def _repeated_words(frame: DataFrame) -> DataFrame:
     """Adds n_repeat_words from ``w``: words inside any 3-word window that occurs twice or more.
 
-    The windows' hashes are sorted with their positions; equal neighbours mark repeated windows.  Texts
-    whose windows all differ, as most do, skip the sort: the count is 0 there."""
+    Words are hashed once, windows from three hashes.  The windows' hashes are sorted with their
+    positions; equal neighbours mark repeated windows.  Texts whose windows all differ skip the sort."""
+    frame = frame.withColumn("_w", F.transform("w", lambda x: F.xxhash64(x)))
     frame = frame.withColumn(
         "_hashes",
-        F.expr("CASE WHEN size(w) > 3 THEN transform(sequence(0, size(w) - 3), i -> xxhash64(w[i], w[i + 1], w[i + 2])) END"),
+        F.expr("CASE WHEN size(_w) > 3 THEN transform(sequence(0, size(_w) - 3), i -> xxhash64(_w[i], _w[i + 1], _w[i + 2])) END"),
     )
     frame = frame.withColumn(
         "_windows",
@@ -70,7 +72,7 @@ def _repeated_words(frame: DataFrame) -> DataFrame:
     )
     return frame.withColumn(
         "n_repeat_words", F.expr("CASE WHEN _windows IS NULL THEN 0 ELSE size(array_distinct(flatten(_repeats))) END").cast("long")
-    )
+    ).drop("_w", "_hashes", "_windows", "_repeats")
 
 
 def measures(docs: DataFrame, limits: LineLimits = LineLimits()) -> DataFrame:
@@ -89,15 +91,18 @@ def measures(docs: DataFrame, limits: LineLimits = LineLimits()) -> DataFrame:
             | (100 * F.col("n_repeat_words") > limits.repeated * F.col("n_words")),
         }
     )
-    return frame.drop("w", "_hashes", "_windows", "_repeats", "_lines")
+    return frame.drop("w", "_lines")
 
 
 def document_lines(docs: DataFrame) -> DataFrame:
     """One row per line: host, line hash, and the hash of the document's longest line, which copies share."""
-    frame = docs.select("host", _lines(F.col("text")).alias("_lines"))
+    frame = _lines(docs.select("host", "text")).drop("text")
     longest = F.array_max(F.transform("_lines", lambda x: F.struct(F.length(x).alias("n"), x.alias("line"))))["line"]
     hashes = F.array_distinct(F.transform("_lines", lambda x: F.xxhash64(x)))
-    return frame.select("host", F.xxhash64(longest).alias("same"), F.explode(hashes).alias("line"))
+    # in two steps: beside the explode, the longest line would be looked for once for each line.  A plain
+    # explode would add a filter on the array's size below, and so build the lines twice
+    frame = frame.select("host", F.xxhash64(longest).alias("same"), hashes.alias("_hashes"))
+    return frame.select("host", "same", F.explode_outer("_hashes").alias("line")).where("line IS NOT NULL")
 
 
 def common_lines(lines: DataFrame, limits: LineLimits = LineLimits()) -> DataFrame:
@@ -120,10 +125,10 @@ def common_lines(lines: DataFrame, limits: LineLimits = LineLimits()) -> DataFra
 def removed_words(docs: DataFrame, common: DataFrame) -> DataFrame:
     """(key, n_removed_words): words of each document in the common lines; repeated rows count once."""
     each = F.transform(
-        _lines(F.col("text")),
+        "_lines",
         lambda x: F.struct(F.xxhash64(x).alias("line"), F.size(F.split(x, " ")).alias("n")),
     )
-    lines = docs.select("host", "key", F.posexplode(each).alias("place", "x")).select("host", "key", "place", "x.line", "x.n")
+    lines = _lines(docs).select("host", "key", F.posexplode_outer(each).alias("place", "x")).where("x IS NOT NULL").select("host", "key", "place", "x.line", "x.n")
     found = common.select(F.col("host").alias("_host"), F.col("line").alias("_line"))
     return (
         lines.join(found, (F.col("line") == F.col("_line")) & F.col("host").eqNullSafe(F.col("_host")), "left_semi")
