@@ -48,5 +48,30 @@ FROM failed
 """
 
 
+OP10 = r"""
+WITH turns AS (
+  SELECT conv_id, turn, replace(coalesce(role, 'unknown'), '<|', '< |') AS role, replace(coalesce(text, ''), '<|', '< |') AS text,
+         floor(coalesce(turn, 0) / 256)::BIGINT AS part
+  FROM conversations
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, part ORDER BY turn NULLS FIRST, role, text) AS n FROM turns
+), speakers AS (
+  SELECT DISTINCT conv_id, role AS speaker FROM turns WHERE role <> 'system'
+), pieces AS (
+  SELECT t.conv_id, part, speaker, n, text, role = speaker AS own,
+         CASE WHEN role = speaker THEN '<|assistant|>' WHEN role = 'system' THEN '<|system|>'
+              ELSE '<|user:' || role || '|>' END || chr(10) AS head, '<|end|>' || chr(10) AS tail
+  FROM numbered t JOIN speakers s ON t.conv_id IS NOT DISTINCT FROM s.conv_id
+), placed AS (
+  SELECT *, sum(length(head) + length(text) + length(tail)) OVER (PARTITION BY conv_id, part, speaker ORDER BY n)
+            - length(tail) AS stop
+  FROM pieces
+)
+SELECT conv_id, part, speaker, count(*) AS n_turns, string_agg(head || text || tail, '' ORDER BY n) AS text,
+       coalesce(string_agg((stop - length(text))::BIGINT || ':' || stop::BIGINT, ',' ORDER BY n) FILTER (own), '') AS mask
+FROM placed GROUP BY conv_id, part, speaker
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_quality": OP8}
+    return {"op8_line_quality": OP8, "op10_perspectives": OP10}

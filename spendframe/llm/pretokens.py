@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import functools
 import re
-import sys
 import unicodedata
 from collections.abc import Callable
 
@@ -22,19 +21,15 @@ FAST = {r"\p{L}": r"[^\W\d_]", r"\p{N}": r"\d", r"[^\s\p{L}\p{N}]": r"(?:[^\s\w]
 
 @functools.lru_cache(1)
 def _unlike() -> re.Pattern:
-    """Characters on which the two engines may differ."""
-    odd = [
-        c
-        for c in range(sys.maxunicode + 1)
-        if unicodedata.category(chr(c)) in ("No", "Nl", "Cn", "Mn", "Mc", "Me") or 0x1C <= c <= 0x1F or (chr(c).isnumeric() and not chr(c).isdecimal())
-    ]
-    ranges: list[list[int]] = []
-    for c in odd:
-        if ranges and c == ranges[-1][1] + 1:
-            ranges[-1][1] = c
-        else:
-            ranges.append([c, c])
-    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges) + "]")
+    """Characters of the basic plane on which the two engines may differ (one table in ``re``, so fast)."""
+    odd = [c for c in range(0x10000) if unicodedata.category(chr(c)) in ("No", "Nl", "Cn", "Cs") or 0x1C <= c <= 0x1F]
+    odd += [c for c in range(0x10000) if chr(c).isnumeric() and not chr(c).isdecimal() and not chr(c).isalpha()]
+    return re.compile("[" + "".join(f"\\u{c:04x}" for c in sorted(set(odd))) + "]")
+
+
+def unlike(text: str) -> bool:
+    """Whether the text holds a character on which engines may differ; those beyond the basic plane all count."""
+    return bool(text) and (_unlike().search(text) is not None or (not text.isascii() and max(text) > "\uffff"))
 
 
 @functools.lru_cache(8)
@@ -44,7 +39,7 @@ def splitter(pattern: str) -> Callable[[str], list[str]]:
     fast = plain
     for own in sorted(FAST, key=len, reverse=True):
         fast = fast.replace(own, FAST[own])
-    slow_find, fast_find, unlike = regex.compile(plain).findall, re.compile(fast).findall, _unlike().search
+    slow_find, fast_find = regex.compile(plain).findall, re.compile(fast).findall
 
     def split(text: str) -> list[str]:
         return slow_find(text) if unlike(text) else fast_find(text)

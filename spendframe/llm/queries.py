@@ -6,10 +6,30 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendframe.llm import byte_bpe, decontaminate, line_quality, simhash
+from spendframe.llm import byte_bpe, decontaminate, line_quality, perspectives, pii, simhash, token_files
 from spendframe.llm.base import table
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = token_files.new_folder(spark)
+    manifest = token_files.write(table(spark, sf_dir, "documents"), folder, vocabulary=public_tokenizers.path("word_bpe_49k.json"))
+    return token_files.read(spark, folder, manifest)
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = pii.find(docs, pii.fit(docs))
+
+    def listed(column: str):
+        each = F.transform(column, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
+        return F.array_join(each, ",")
+
+    def count(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -34,4 +54,12 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-REGISTRY = {f.__name__: f for f in (op1_byte_bpe, op2_simhash, op7_decontaminate, op8_line_quality)}
+def op10_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seats = perspectives.rotate(table(spark, sf_dir, "conversations"))
+    spans = F.transform("mask", lambda s: F.concat_ws(":", s["start"], s["end"]))
+    return seats.withColumn("mask", F.array_join(spans, ","))
+
+
+REGISTRY = {f.__name__: f for f in (
+    op1_byte_bpe, op2_simhash, op5_token_files, op6_pii, op7_decontaminate, op8_line_quality, op10_perspectives
+)}
