@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spendframe.llm.base import blanks, pick, words
+from spendframe.llm.base import blanks, cut, pick, words
 
 SYMBOLS = "[#*$%&|<>]+"
 
@@ -145,7 +145,8 @@ def judge(
     """One row per input row: ``doc_id``, the measures, ``n_removed_words``, ``base_failed``, ``kept``.
 
     Null text: no words, base_failed.  Null host: a host of its own.  Null id: kept as null.  Repeated
-    rows: the same verdict for each.  Empty table: no rows.  Other columns are ignored.
+    rows: the same verdict for each.  Empty table: no rows.  Other columns are ignored.  The result is
+    computed and written to the shared folder (a few numbers a document).
     """
     plain = pick(docs, doc_id=id_col, text=text_col, host=host_col)
     plain = plain.withColumn("key", F.xxhash64("doc_id", "host", "text"))
@@ -153,7 +154,7 @@ def judge(
     judged = measures(plain, limits).drop("text", "host")
     joined = judged.join(removed, judged["key"] == removed["_key"], "left").drop("key", "_key")
     lost = F.coalesce(F.col("n_removed_words"), F.lit(0)).cast("long")
-    return joined.select(
+    verdicts = joined.select(
         "doc_id",
         "n_words",
         "word_chars",
@@ -164,3 +165,6 @@ def judge(
         (~F.col("base_failed") & (100 * lost <= limits.depleted * F.col("n_words"))).alias("kept"),
         lost.alias("n_removed_words"),
     )
+    # computed here: a filter on the verdict would otherwise be pushed below the measures, and their
+    # array expressions be put into one another and evaluated once for each element
+    return cut(verdicts)
