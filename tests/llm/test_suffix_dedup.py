@@ -1,0 +1,108 @@
+"""Suffix arrays against sorting, and removal against a brute-force version."""
+
+import hashlib
+import random
+
+import numpy as np
+import pytest
+
+from spendframe.llm import suffix_array as sa
+from spendframe.llm import suffix_dedup as d
+from spendframe.llm.base import table
+from spendframe.llm.queries import op3_suffix_dedup
+
+
+def brute_force(blobs, width):
+    """(removed bytes, left) of each blob when every byte under a repeated string of ``width`` bytes goes."""
+    places = {}
+    for blob in blobs:
+        for i in range(len(blob) - width + 1):
+            places[blob[i : i + width]] = places.get(blob[i : i + width], 0) + 1
+    out = []
+    for blob in blobs:
+        gone = bytearray(len(blob))
+        for i in range(len(blob) - width + 1):
+            if places[blob[i : i + width]] > 1:
+                gone[i : i + width] = b"\1" * width
+        spans = sum(1 for i, g in enumerate(gone) if g and (i == 0 or not gone[i - 1]))
+        out.append((sum(gone), spans, hashlib.sha256(bytes(b for b, g in zip(blob, gone) if not g)).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_arrays(seed):
+    rng = random.Random(seed)
+    pieces = [bytes(rng.choices(b"ab" if seed % 2 else b"abcdefgh", k=rng.randint(1, 400))) for _ in range(12)] + [b"a" * 300, b"ab" * 200]
+    pieces.append(pieces[0])
+    data = b"".join(p + b"\xff" for p in pieces)
+    text = np.frombuffer(data + b"\xff" * sa.DEPTH, np.uint8)
+    order = sa.suffix_array(text)
+    whole = bytes(text)
+    assert sorted(order) == list(range(len(data)))
+    tails = [whole[i:] + b"\xff\xff" for i in order]
+    assert all(a[: sa.DEPTH] <= b[: sa.DEPTH] and a[: len(b)] <= b[: len(a)] for a, b in zip(tails, tails[1:]))
+    common = sa.common_prefixes(text, order, lanes=7)
+    for k in range(1, len(order)):
+        a, b = whole[order[k - 1] :], whole[order[k] :]
+        want = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        assert common[k] == min(want, sa.DEPTH)
+    hits = sa.locate(text, order, text, np.arange(0, len(data) - 20, 5), 20)
+    assert all(whole[order[h] : order[h] + 20] == whole[p : p + 20] for h, p in zip(hits, range(0, len(data) - 20, 5)))
+    assert sa.locate(text, order, np.frombuffer(b"zz" * 20, np.uint8), np.arange(3), 20).tolist() == [-1] * 3
+
+
+def odd_texts():
+    rng = random.Random(9)
+    words = ["alpha", "bêta", "gamma", "delta", "épsilon", "zeta", "eta", "theta"]
+    prose = [" ".join(rng.choices(words, k=rng.randint(1, 300))) for _ in range(25)]
+    passage = " ".join(rng.choices(words, k=60))
+    edges = [f"{p[:150]} {k} {passage} {k} {p[-150:]}" for k, p in enumerate(prose)]
+    near = [prose[0].replace("eta", f"x{k}", 1) for k in range(5)]
+    odd = ["", None, "a" * 1000, "a" * 199, "a" * 200, "a" * 201, "ab" * 400, "\0" * 500, "é" * 300, passage, passage, "y" * 5000 + passage]
+    return [*prose, *edges, *near, *odd, prose[3], prose[3], prose[4]]
+
+
+@pytest.mark.parametrize(("width", "gram", "most", "shard"), [(200, 32, 20_000, 2 << 20), (200, 32, 3, 2 << 20), (200, 32, 20_000, 3000), (64, 16, 20_000, 2 << 20)])
+def test_removal(spark, texts, monkeypatch, width, gram, most, shard):
+    monkeypatch.setattr(d, "SHARD_BYTES", shard)
+    rows = [(None if k == 5 else k, t) for k, t in enumerate(odd_texts())]
+    got = d.repeats(texts(rows, content=1, copies=2), width=width, gram=gram, anchor_places=most).collect()
+    want = brute_force([(t or "").encode() for _, t in rows], width)
+    found = sorted((str(r.doc_id), r.n_bytes, r.n_removed, len(r.removed), r.kept_sha256) for r in got)
+    assert found == sorted((str(doc), len((t or "").encode()), *w) for (doc, t), w in zip(rows, want))
+
+
+def test_prefixes_of_long_repeats_are_not_overrated():
+    """Pieces that share more than DEPTH bytes and then differ, in every order."""
+    rng = random.Random(5)
+    core = bytes(rng.choices(b"abc", k=700))
+    pieces = [core[rng.randint(0, 300) : rng.randint(500, 700)] + bytes(rng.choices(b"abc", k=9)) for _ in range(40)]
+    whole = b"".join(p + b"\xff" for p in pieces) + b"\xff" * sa.DEPTH
+    text = np.frombuffer(whole, np.uint8)
+    order = sa.suffix_array(text)
+    common = sa.common_prefixes(text, order, lanes=50)
+    for k in range(1, len(order)):
+        a, b = order[k - 1], order[k]
+        n = common[k]
+        assert whole[a : a + n] == whole[b : b + n] and (n == sa.DEPTH or whole[a + n] != whole[b + n])
+
+
+def test_shards_of_one_anchor_are_merged(monkeypatch):
+    monkeypatch.setattr(d, "SHARD_BYTES", 900)
+    rng = random.Random(2)
+    core = bytes(rng.choices(b"abcdefghij", k=60))
+    pieces = [bytes(rng.choices(b"ab", k=9)) + core + bytes(rng.choices(b"ab", k=9)) for _ in range(60)]
+    marks = d._marked(pieces, np.arange(60) * 1000, np.zeros(60, np.int64), 62)
+    counts = {}
+    for piece in pieces:
+        for i in range(len(piece) - 61):
+            counts[piece[i : i + 62]] = counts.get(piece[i : i + 62], 0) + 1
+    assert [m.tolist() for m in marks] == [[i for i in range(len(p) - 61) if counts[p[i : i + 62]] > 1] for p in pieces]
+
+
+def test_query(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").collect()
+    want = dict(zip((r.doc_id for r in rows), brute_force([(r.text or "").encode() for r in rows], 200)))
+    got = {r.doc_id: (r.n_removed, r.n_spans, r.kept_sha256) for r in op3_suffix_dedup(spark, sf_dir).collect()}
+    assert got == want
+    assert d.repeats(table(spark, sf_dir, "documents").limit(0)).collect() == []
