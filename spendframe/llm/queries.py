@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendframe.llm import byte_bpe, decontaminate, line_quality, perspectives, pii, simhash, suffix_dedup, token_files
+from spendframe.llm import byte_bpe, decontaminate, line_quality, perspectives, pii, quality_pu, simhash, suffix_dedup, token_files
 from spendframe.llm.base import table
 
 
@@ -15,6 +15,10 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
 
 
+def op4_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_pu.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = token_files.new_folder(spark)
     manifest = token_files.write(table(spark, sf_dir, "documents"), folder, vocabulary=public_tokenizers.path("word_bpe_49k.json"))
@@ -66,5 +70,5 @@ def op10_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRY = {f.__name__: f for f in (
-    op1_byte_bpe, op2_simhash, op3_suffix_dedup, op5_token_files, op6_pii, op7_decontaminate, op8_line_quality, op10_perspectives
+    op1_byte_bpe, op2_simhash, op3_suffix_dedup, op4_quality_pu, op5_token_files, op6_pii, op7_decontaminate, op8_line_quality, op10_perspectives
 )}
