@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendframe.llm import byte_bpe, decontaminate, line_quality, perspectives, pii, quality_pu, simhash, suffix_dedup, token_files
+from spendframe.llm import byte_bpe, decontaminate, licenses, line_quality, perspectives, pii, quality_pu, simhash, suffix_dedup, token_files
 from spendframe.llm.base import table
 
 
@@ -63,6 +63,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     seats = perspectives.rotate(table(spark, sf_dir, "conversations"))
     spans = F.transform("mask", lambda s: F.concat_ws(":", s["start"], s["end"]))
@@ -70,5 +74,5 @@ def op10_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRY = {f.__name__: f for f in (
-    op1_byte_bpe, op2_simhash, op3_suffix_dedup, op4_quality_pu, op5_token_files, op6_pii, op7_decontaminate, op8_line_quality, op10_perspectives
+    op1_byte_bpe, op2_simhash, op3_suffix_dedup, op4_quality_pu, op5_token_files, op6_pii, op7_decontaminate, op8_line_quality, op9_license_scan, op10_perspectives
 )}
