@@ -30,6 +30,8 @@ HEADLINE = (
     "forecast_arima",
     "forecast_fourier_trend",
     "forecast_lag_linear",
+    "forecast_lag_forest",
+    "forecast_sarima",
     "rolling_sma",
     "rolling_es",
     "anomaly_periods",

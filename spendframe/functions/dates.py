@@ -5,6 +5,8 @@ All of them are plain expressions on DATE columns, so they fold away when the in
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,14 +14,32 @@ from pyspark.sql import types as T
 from spendframe.params import GRAINS, INTERVALS, MILESTONES, choice
 
 
-def to_day(value: Column, data_type: T.DataType) -> Column:
+# Spellings of a date that are read besides ISO, in this order; the month comes before the day in
+# purely numeric ones.  A bare year is its first of January.
+DATE_FORMATS = (
+    "M/d/yyyy",
+    "M/d/yyyy H:mm[:ss]",
+    "yyyy/M/d",
+    "yyyyMMdd",
+    "MMM d, yyyy",
+    "MMMM d, yyyy",
+    "d MMM yyyy",
+    "d-MMM-yyyy",
+)
+
+
+def to_day(value: Column, data_type: T.DataType, formats: Sequence[str] = DATE_FORMATS) -> Column:
     """Any date-like column as DATE; text that is not a date becomes NULL.
 
-    Text goes through TIMESTAMP_NTZ: that refuses trailing junk (a direct cast to DATE accepts
-    it) and takes the calendar day as written, whatever the session time zone.
+    ISO text goes through TIMESTAMP_NTZ: that refuses trailing junk (a direct cast to DATE accepts
+    it) and takes the calendar day as written, whatever the session time zone.  Other text is tried
+    with each of ``formats``.
     """
     if isinstance(data_type, T.StringType):
-        return value.try_cast("timestamp_ntz").cast("date")
+        text = F.trim(value)
+        return F.coalesce(
+            text.try_cast("timestamp_ntz").cast("date"), *(F.try_to_timestamp(text, F.lit(f)).cast("date") for f in formats)
+        )
     return value.cast("date")
 
 

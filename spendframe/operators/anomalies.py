@@ -92,6 +92,14 @@ def with_change(df: DataFrame, *, value_col: str, baseline_col: str, name: str =
     return df.withColumn(name, percent_change(F.col(value_col), F.col(baseline_col)))
 
 
+def change_since(
+    df: DataFrame, days: int, *, series_cols: Sequence[str] = (), date_col: str, value_col: str, name: str = "change_pct"
+) -> DataFrame:
+    """Adds the change in percent against the value ``days`` days before, in one window by series (no self-join)."""
+    window = Window.partitionBy(*series_cols).orderBy(F.unix_date(date_col)).rangeBetween(-days, -days)
+    return df.withColumn(name, percent_change(F.col(value_col), F.first(value_col).over(window)))
+
+
 def compare_periods(
     values: DataFrame,
     *,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spendframe.functions.dates import period_start
 from spendframe.functions.numbers import nan_to_null, ratio
 from spendframe.params import require_columns
 
@@ -16,8 +17,8 @@ NO_BUDGET, OVER_BUDGET, THRESHOLD_BREACH, UNDER_BUDGET = (
     "THRESHOLD_BREACH",
     "UNDER_BUDGET",
 )
-# Budgets carried inside each task; beyond it the shuffle form below is used.
-INLINE_BUDGETS = 10_000
+# Parts that cost rows are spread over; each is joined with all budgets.
+LANES = 64
 
 
 def variance_amount(actual: Column, budget: Column) -> Column:
@@ -47,22 +48,16 @@ def budget_by_name(budgets: DataFrame, name: str) -> DataFrame:
     return found
 
 
-def _pair_inline(costs: DataFrame, budgets: DataFrame) -> DataFrame:
-    """Every cost row carries the (size-checked) budget list and unfolds it: no shuffle of costs."""
-    listed = budgets.agg(F.collect_list(F.struct("BudgetName", "BudgetAmount")).alias("b")).scalar()
-    return costs.select("*", F.inline(listed))
+def _pair(costs: DataFrame, budgets: DataFrame, lanes: int) -> DataFrame:
+    """Cost rows spread over lanes by a hash of the row, and joined with a copy of the budgets per lane.
 
-
-def _pair_by_lane(costs: DataFrame, budgets: DataFrame, lanes: int) -> DataFrame:
-    """Too many budgets to inline: spread the cost rows over lanes and give each lane the budgets.
-
-    An equi-join on the lane.  Costs are shuffled once and not copied.  The lane hashes the whole
-    row, so a hot day or group is spread; equal rows share a lane, which adaptive execution
-    splits if it grows.
+    Both sides are shuffled by the lane and neither is broadcast: the hint keeps the optimizer from
+    judging the copies by the size of one.  A hot day or group is spread; equal rows share a lane,
+    which adaptive execution splits if it grows.
     """
     spread = costs.withColumn("_lane", F.pmod(F.xxhash64(*costs.columns), F.lit(lanes)).cast("int"))
     copies = budgets.withColumn("_lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
-    return spread.join(copies, "_lane").drop("_lane")
+    return spread.join(copies.hint("shuffle_hash"), "_lane").drop("_lane")
 
 
 def compare_with_budgets(
@@ -73,13 +68,12 @@ def compare_with_budgets(
     cost_col: str = "UnblendedCost",
     keep: tuple[str, ...] = (),
     threshold: float = DEFAULT_THRESHOLD,
-    inline_limit: int = INLINE_BUDGETS,
+    lanes: int = LANES,
 ) -> DataFrame:
     """Hold every cost row against every budget.
 
-    The budget table is counted (never past ``inline_limit + 1`` rows) to choose how the two
-    meet; both ways give all rows.  Aggregate costs first if a budget is meant for a longer
-    period than one row.
+    That is a product by its meaning: ``lanes`` is how many tasks share it.  ``compare_by_dimension``
+    is the form for budgets that are meant for one group and a whole period.
     """
     require_columns(costs, [date_col, cost_col, *keep])
     require_columns(budgets, ["BudgetName", "BudgetAmount"])
@@ -89,11 +83,37 @@ def compare_with_budgets(
         nan_to_null(F.col(cost_col).cast("double")).alias("ActualCost"),
     )
     budgets = budgets.select("BudgetName", "BudgetAmount")
-    if budgets.limit(inline_limit + 1).count() <= inline_limit:
-        paired = _pair_inline(rows, budgets)
-    else:
-        lanes = int(costs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        paired = _pair_by_lane(rows, budgets, lanes)
+    paired = _pair(rows, budgets, lanes)
+    return _compared(paired, keep, threshold)
+
+
+def compare_by_dimension(
+    costs: DataFrame,
+    budgets: DataFrame,
+    *,
+    dimension_col: str,
+    date_col: str = "PeriodStart",
+    cost_col: str = "UnblendedCost",
+    budget_col: str = "BudgetName",
+    grain: str = "monthly",
+    threshold: float = DEFAULT_THRESHOLD,
+) -> DataFrame:
+    """Costs summed to the budget's period and group, against the budget of that group only.
+
+    The sums combine on the map side; the join is on the group's name.  Groups without a budget and
+    budgets without costs have no rows.
+    """
+    require_columns(costs, [date_col, cost_col, dimension_col])
+    require_columns(budgets, [budget_col, "BudgetAmount"])
+    cost = nan_to_null(F.col(cost_col).cast("double"))
+    totals = costs.groupBy(period_start(F.col(date_col), grain).alias("PeriodStart"), F.col(dimension_col).alias("_group")).agg(
+        F.sum(cost).alias("ActualCost")
+    )
+    named = budgets.select(F.col(budget_col).alias("BudgetName"), "BudgetAmount")
+    return _compared(totals.join(named, F.col("_group") == F.col("BudgetName")), (), threshold)
+
+
+def _compared(paired: DataFrame, keep: tuple[str, ...], threshold: float) -> DataFrame:
     actual, amount = F.col("ActualCost"), F.col("BudgetAmount")
     return paired.select(
         "PeriodStart",

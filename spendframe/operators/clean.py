@@ -28,6 +28,29 @@ def clean_series(df: DataFrame, *, series_cols: Sequence[str] = (), date_col: st
     ).dropna(subset=[date_col, value_col])
 
 
+def dropped_rows(df: DataFrame, *, series_cols: Sequence[str] = (), date_col: str, value_col: str) -> DataFrame:
+    """One row: how many rows ``clean_series`` keeps and how many it drops, by cause (the date goes first)."""
+    require_columns(df, [*series_cols, date_col, value_col])
+    types = {field.name: field.dataType for field in df.schema}
+    raw_date, raw_value = F.col(date_col), F.col(value_col)
+    day, value = to_day(raw_date, types[date_col]), to_number(raw_value, types[value_col])
+    causes = {
+        "missing_date": raw_date.isNull(),
+        "bad_date": raw_date.isNotNull() & day.isNull(),
+        "missing_value": day.isNotNull() & raw_value.isNull(),
+        "bad_value": day.isNotNull() & raw_value.isNotNull() & value.isNull(),
+        "kept": day.isNotNull() & value.isNotNull(),
+    }
+    return df.agg(*[F.count_if(rule).alias(name) for name, rule in causes.items()])
+
+
+def ensure_rows(df: DataFrame, what: str = "rows to forecast") -> DataFrame:
+    """Raise when the table is empty.  Runs a job, so it is a call of its own."""
+    if df.limit(1).isEmpty():
+        raise ValueError(f"no {what}")
+    return df
+
+
 def strict_dates(df: DataFrame, *, date_col: str) -> DataFrame:
     """Cast the date column to DATE; a row with a bad date fails the query."""
     require_columns(df, [date_col])
@@ -57,6 +80,8 @@ def long_enough(df: DataFrame, *, series_cols: Sequence[str], min_points: int =
 
     A window, because what follows is partitioned by series as well and shares its exchange.
     """
+    if not series_cols:  # one series: a window without keys would be one task
+        return df.filter(df.agg(F.count(F.lit(1))).scalar() >= min_points)
     width = F.count(F.lit(1)).over(Window.partitionBy(*series_cols))
     return df.withColumn("_rows", width).filter(F.col("_rows") >= min_points).drop("_rows")
 

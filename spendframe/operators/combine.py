@@ -40,30 +40,30 @@ def milestone_summary(
 ) -> DataFrame:
     """Sum of each method's forecasts up to and including each milestone; nothing to sum is 0.
 
-    ``rows`` are ``forecast_rows`` (they carry ``last_date``).  Milestones are month ends, so days
-    are summed to months first, and each month feeds the sums it is early enough for: no join with
-    the milestones, and at most 13 rows per series are shuffled.
+    ``rows`` are ``forecast_rows`` (they carry ``last_date``).  One conditional aggregate takes all
+    sums: no join with the milestones, one exchange, and one row per series and task in it.
     """
     names = [*series_cols, LAST]
-    month = F.trunc(date_col, "month").alias("_month")
-    months = rows.groupBy(*names, month).agg(*[F.sum(m).alias(m) for m in methods])
-    by_method = F.array(*[F.struct(F.lit(m).alias("method"), F.col(m).alias("_sum")) for m in methods])
-    long = months.select(*names, "_month", F.inline(by_method))
     ends = milestone_days(F.col(LAST))
-    totals = long.groupBy(*names, "method").agg(
-        *[F.sum(F.when(F.col("_month") <= day, F.col("_sum"))).alias(label) for label, day in ends]
-    )
+    sums = {
+        (method, label): F.sum(F.when(F.col(date_col) <= day, F.col(method))).alias(f"{method}:{label}")
+        for method in methods
+        for label, day in ends
+    }
+    totals = rows.groupBy(*names).agg(*sums.values())
     unfolded = F.array(
         *[
             F.struct(
+                F.lit(method).alias("method"),
                 F.lit(label).alias("label"),
                 day.alias("milestone_date"),
-                F.coalesce(F.col(label), F.lit(0.0)).alias("total"),
+                F.coalesce(F.col(f"`{method}:{label}`"), F.lit(0.0)).alias("total"),
             )
+            for method in methods
             for label, day in ends
         ]
     )
-    return totals.select(*series_cols, "method", F.inline(unfolded))
+    return totals.select(*series_cols, F.inline(unfolded))
 
 
 def milestone_lines(summary: DataFrame, *, series_cols: Sequence[str] = ()) -> DataFrame:
@@ -80,6 +80,8 @@ def forecast_horizon(
     The first forecast date is the first with any forecast column present, per series.  A series
     without one has no rows in the result.
     """
+    if days < 1:
+        raise ValueError("days must be at least 1")
     methods = [m for m in FORECAST_COLUMNS if m in table.columns]
     if not methods:
         raise ValueError("no forecast columns in the table")
@@ -91,3 +93,11 @@ def forecast_horizon(
     marked = table.withColumn("_first", first)
     inside = (F.col(date_col) >= F.col("_first")) & (F.col(date_col) < F.date_add("_first", days))
     return marked.filter(inside).drop("_first")
+
+
+def ensure_forecasts(table: DataFrame) -> DataFrame:
+    """Raise when no forecast column has a value.  Runs a job, so it is a call of its own."""
+    methods = [m for m in FORECAST_COLUMNS if m in table.columns]
+    if not methods or table.filter(F.coalesce(*methods).isNotNull()).limit(1).isEmpty():
+        raise ValueError("no forecast in the table")
+    return table

@@ -31,12 +31,12 @@ def _ranked(df: DataFrame, date_col: str, start, series_cols: Sequence[str]) ->
 
     The other plain columns break ties, so that a re-run numbers equal dates the same way.
     """
-    eligible = from_start(date_col, start)
+    eligible = F.coalesce(from_start(date_col, start), F.lit(False))
     plain = [f.name for f in df.schema if isinstance(f.dataType, T.AtomicType) and f.name not in series_cols]
     ties = [c for c in plain if c != date_col]
-    w = Window.partitionBy(*series_cols, "_eligible").orderBy(date_col, *ties)
-    ranked = df.withColumn("_eligible", eligible).withColumn(_RANK, F.row_number().over(w))
-    return ranked.withColumn(_RANK, F.when(F.col("_eligible"), F.col(_RANK))).drop("_eligible")
+    # by series alone, rows before the start last: a chain of events, and a forecast behind it, share one exchange
+    w = Window.partitionBy(*series_cols).orderBy((~eligible).asc(), date_col, *ties)
+    return df.withColumn(_RANK, F.when(eligible, F.row_number().over(w)))
 
 
 def _changed(value_col: str, inside: Column, pct: float | None, value: float | None, clamp: bool) -> Column:

@@ -20,7 +20,7 @@ from spendframe.operators.forecast import numeric, trees
 from spendframe.operators.forecast.options import ForecastOptions
 from spendframe.operators.spine import GRAIN, LAST, grain_of, horizon
 from spendframe.params import FORECAST_COLUMNS, FORECAST_METHODS, require_columns
-from spendframe.session import settle
+from spendframe.session import settle, shared_folder
 
 STEP, HORIZON, VALUES, DAYS = "step", "_horizon", "_values", "_days"
 _ARRAY_METHODS = ("arima", "sarima", "prophet")
@@ -47,7 +47,7 @@ def fit(
     """One row per series with at least ``min_points`` rows: grain, last date and model state."""
     require_columns(df, [*series_cols, date_col, value_col])
     rows = df.select(*series_cols, date_col, value_col)
-    if options.darts_family in _TRAINED_FAMILIES:
+    if options.darts_family in _TRAINED_FAMILIES and shared_folder(df.sparkSession):
         rows = settle(rows)  # training reads the series several times, and the fit once more
     numbered = cf.number_from_newest(rows, series_cols=series_cols, date_col=date_col, value_col=value_col)
     date, value = F.col(date_col), F.col(value_col)
@@ -86,10 +86,10 @@ def _model_columns(rows, options, *, series_cols, date_col, value_col) -> dict[s
             values, options.hw_alpha, options.hw_beta, options.hw_gamma, options.hw_seasonal_periods
         )
     if "arima" in options.methods:
-        columns["_arima"] = numeric.arima_column(values, steps, options.arima_order)
+        columns["_arima"] = numeric.arima_column(values, steps, options.arima_order, options.first_stage_lags)
     if "sarima" in options.methods:
         columns["_sarima"] = numeric.sarima_column(
-            values, steps, options.sarima_order, options.sarima_seasonal_order
+            values, steps, options.sarima_order, options.sarima_seasonal_order, options.first_stage_lags
         )
     if "prophet" in options.methods:
         future = F.transform(
@@ -102,21 +102,22 @@ def _model_columns(rows, options, *, series_cols, date_col, value_col) -> dict[s
             future,
             yearly=options.yearly,
             weekly=options.weekly,
+            daily=options.daily,
             changepoint_scale=options.changepoint_scale,
             season_scale=options.season_scale,
         )
     family = options.darts_family
     if family == "arima":
-        columns["_darts"] = numeric.arima_column(values, steps, (1, 1, 1))
+        columns["_darts"] = numeric.arima_column(values, steps, (1, 1, 1), options.first_stage_lags)
     elif family == "auto_order":
-        columns["_darts"] = numeric.auto_order_column(values, steps)
+        columns["_darts"] = numeric.auto_order_column(values, steps, options.max_order, options.max_differences, options.first_stage_lags)
     elif family == "lag_linear":
         columns["_darts"] = numeric.lag_regression_column(values, steps, options.lags)
     elif family in _TRAINED_FAMILIES:
         names = {"series_cols": series_cols, "date_col": date_col, "value_col": value_col}
         pool = long_enough(rows, series_cols=series_cols, min_points=max(options.min_points, options.lags + 1))
-        forest = trees.train(pool, family, lags=options.lags, **names)
-        columns["_darts"] = trees.forest_column(forest, values, steps, options.lags)
+        forest = trees.train(pool, family, lags=options.lags, trees=options.trees, depth=options.tree_depth, **names)
+        columns["_darts"] = trees.forest_column(forest, values, steps, options.lags, options.tree_depth)
     return columns
 
 
@@ -203,6 +204,19 @@ def forecast_table(
     both onto a spine of dates would give.
     """
     future = forecast_rows(df, options, series_cols=series_cols, date_col=date_col, value_col=value_col)
+    return with_actuals(df, future, options, series_cols=series_cols, date_col=date_col, value_col=value_col)
+
+
+def with_actuals(
+    df: DataFrame,
+    future: DataFrame,
+    options: ForecastOptions = ForecastOptions(),
+    *,
+    series_cols: Sequence[str] = (),
+    date_col: str,
+    value_col: str,
+) -> DataFrame:
+    """The actual rows of ``df`` above the forecast rows made from them."""
     past = long_enough(
         df.select(*series_cols, date_col, value_col), series_cols=series_cols, min_points=options.min_points
     )

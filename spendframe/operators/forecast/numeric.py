@@ -117,11 +117,30 @@ def holt_winters_column(values: Column, alpha: float, beta: float, gamma: float,
     return F.when(F.size(values) >= 2 * period, fitted)
 
 
+def _levels(series: list[np.ndarray], alpha: float) -> np.ndarray:
+    """Smoothing levels of series, longest first, in a padded matrix; one step in time for all of them."""
+    lengths = np.array([len(v) for v in series])
+    padded = np.zeros((len(series), lengths.max()))
+    for row, v in enumerate(series):
+        padded[row, : len(v)] = v
+    for k in range(1, padded.shape[1]):
+        on = slice(0, int((lengths > k).sum()))
+        padded[on, k] = alpha * padded[on, k] + (1 - alpha) * padded[on, k - 1]
+    return padded
+
+
 def smoothing_levels_column(values: Column, alpha: float) -> Column:
     """The exponential smoothing level after each element of an array."""
 
     def run(column: pd.Series) -> pd.Series:
-        return pd.Series([pd.Series(v).ewm(alpha=alpha, adjust=False).mean().to_numpy() for v in column], dtype=object)
+        arrays = [np.asarray(v, dtype=float) for v in column]
+        levels: list[np.ndarray] = list(arrays)
+        for block in _blocks([v for v in arrays]):
+            at = [i for i in block if len(arrays[i])]
+            if at:
+                for i, row in zip(at, _levels([arrays[i] for i in at], alpha)):
+                    levels[i] = row[: len(arrays[i])]
+        return pd.Series(levels, dtype=object)
 
     return F.pandas_udf(run, _DOUBLES)(values)
 
@@ -136,17 +155,17 @@ def _lagged(x: np.ndarray, lags: list[int], start: int) -> np.ndarray:
     return np.column_stack([x[start - lag : len(x) - lag] for lag in lags])
 
 
-def _arma_fit(x: np.ndarray, ar: list[int], ma: list[int]):
+def _arma_fit(x: np.ndarray, ar: list[int], ma: list[int], extra: int = 1):
     """Hannan-Rissanen: shocks from a long autoregression, then one regression on lags and shocks.
 
-    Returns coefficients, shocks, residual variance and the number of rows used; None when there
-    are fewer rows than coefficients.
+    The long autoregression has ``extra`` lags more than the model.  Returns coefficients, shocks,
+    residual variance and the number of rows used; None when there are fewer rows than coefficients.
     """
     shocks = np.zeros(len(x))
     start = max([0, *ar, *ma])
     if ma:
-        depth = min(max([*ar, *ma]) + 4, (len(x) - 1) // 3)
-        if depth < 1:
+        depth = max([*ar, *ma]) + extra
+        if len(x) <= 2 * depth:
             return None
         early = list(range(1, depth + 1))
         design = _lagged(x, early, depth)
@@ -191,8 +210,13 @@ def _undo(levels: list[np.ndarray], gaps: list[int], forecast: np.ndarray) -> np
     return forecast
 
 
-def seasonal_arima(values, steps: int, order, seasonal) -> np.ndarray | None:
-    """(p,d,q)(P,D,Q,s) with additive seasonal lags; a mean is kept only without differencing."""
+def _product_lags(own: int, seasonal: int, s: int) -> list[int]:
+    """Lags of the product of a plain and a seasonal lag polynomial, cross lags included."""
+    return sorted({i + s * j for i in range(own + 1) for j in range(seasonal + 1)} - {0})
+
+
+def seasonal_arima(values, steps: int, order, seasonal, extra: int = 1) -> np.ndarray | None:
+    """(p,d,q)(P,D,Q,s) on the product's lags, each with a free coefficient; a mean is kept only without differencing."""
     (p, d, q), (sp, sd, sq, s) = order, seasonal
     gaps = [1] * d + [s] * sd
     if len(values) <= sum(gaps):
@@ -200,25 +224,25 @@ def seasonal_arima(values, steps: int, order, seasonal) -> np.ndarray | None:
     levels = _difference(values, gaps)
     x = levels[-1]
     mean = 0.0 if gaps else float(x.mean())
-    ar = sorted({*range(1, p + 1), *(s * i for i in range(1, sp + 1))})
-    ma = sorted({*range(1, q + 1), *(s * i for i in range(1, sq + 1))})
-    fitted = _arma_fit(x - mean, ar, ma)
+    ar, ma = _product_lags(p, sp, s), _product_lags(q, sq, s)
+    fitted = _arma_fit(x - mean, ar, ma, extra)
     if fitted is None:
         return None
     coefficients, shocks, _, _ = fitted
     return _undo(levels, gaps, _arma_extend(x - mean, shocks, ar, ma, coefficients, steps) + mean)
 
 
-def auto_order(values, steps: int, max_order: int = 2) -> np.ndarray | None:
-    """Difference as often as it lowers the spread (twice at most), then lowest AIC over p and q."""
-    spreads = [float(np.std(np.diff(values, d))) for d in range(3)]
+def auto_order(values, steps: int, max_order: int = 2, max_differences: int = 2, extra: int = 1) -> np.ndarray | None:
+    """Difference as often as it lowers the spread (``max_differences`` at most), then lowest AIC over
+    p and q up to ``max_order``."""
+    spreads = [float(np.std(np.diff(values, d))) for d in range(max_differences + 1)]
     d = int(np.argmin(spreads))
     x = np.diff(values, d)
     x = x - (0.0 if d else x.mean())
     best = None
     for p in range(max_order + 1):
         for q in range(max_order + 1):
-            fitted = _arma_fit(x, list(range(1, p + 1)), list(range(1, q + 1)))
+            fitted = _arma_fit(x, list(range(1, p + 1)), list(range(1, q + 1)), extra)
             if fitted is None:
                 continue
             score = fitted[3] * np.log(max(fitted[2], 1e-12)) + 2 * (p + q + 1)
@@ -226,23 +250,26 @@ def auto_order(values, steps: int, max_order: int = 2) -> np.ndarray | None:
                 best = (score / fitted[3], p, q)
     if best is None:
         return None
-    return seasonal_arima(values, steps, (best[1], d, best[2]), (0, 0, 0, 1))
+    return seasonal_arima(values, steps, (best[1], d, best[2]), (0, 0, 0, 1), extra)
 
 
 # -- trend plus Fourier seasons ---------------------------------------------------------------
 
 
-def fourier_trend(values, steps, days, future, *, yearly, weekly, changepoint_scale, season_scale) -> np.ndarray:
+def fourier_trend(
+    values, steps, days, future, *, yearly, weekly, changepoint_scale, season_scale, daily=False
+) -> np.ndarray:
     """Ridge regression on a line, hinges over the first 80 % of the history, and Fourier pairs.
 
     Scales act as prior deviations: a smaller one means a heavier penalty; ``inf`` means none.
-    Yearly terms need a year of history.
+    There are at most 25 hinges, evenly spread, and two fewer than values.
     """
     days, future = np.asarray(days, dtype=float), np.asarray(future, dtype=float)
     span = max(days[-1] - days[0], 1.0)
-    hinges = np.linspace(0.0, 0.8, 27)[1:-1] if np.isfinite(changepoint_scale) else np.empty(0)
-    hinges = hinges[: max(len(values) - 2, 0)]
-    seasons = ([(365.25, 10)] if yearly and span >= 365 else []) + ([(7.0, 3)] if weekly else [])
+    count = min(25, max(len(values) - 2, 0)) if np.isfinite(changepoint_scale) else 0
+    hinges = np.linspace(0.0, 0.8, count + 2)[1:-1]
+    chosen = ((yearly, 365.25, 10), (weekly, 7.0, 3), (daily, 1.0, 4))
+    seasons = [(length, pairs) for on, length, pairs in chosen if on]
 
     def design(at: np.ndarray) -> np.ndarray:
         t = (at - days[0]) / span
@@ -288,16 +315,16 @@ def lag_regression(values, steps: int, lags: int) -> np.ndarray | None:
 # -- columns ----------------------------------------------------------------------------------
 
 
-def arima_column(values: Column, steps: Column, order) -> Column:
-    return _per_series(lambda v, h: seasonal_arima(v, h, order, (0, 0, 0, 1)))(values, steps)
+def arima_column(values: Column, steps: Column, order, extra: int = 1) -> Column:
+    return _per_series(lambda v, h: seasonal_arima(v, h, order, (0, 0, 0, 1), extra))(values, steps)
 
 
-def sarima_column(values: Column, steps: Column, order, seasonal) -> Column:
-    return _per_series(lambda v, h: seasonal_arima(v, h, order, seasonal))(values, steps)
+def sarima_column(values: Column, steps: Column, order, seasonal, extra: int = 1) -> Column:
+    return _per_series(lambda v, h: seasonal_arima(v, h, order, seasonal, extra))(values, steps)
 
 
-def auto_order_column(values: Column, steps: Column) -> Column:
-    return _per_series(auto_order)(values, steps)
+def auto_order_column(values: Column, steps: Column, max_order: int = 2, max_differences: int = 2, extra: int = 1) -> Column:
+    return _per_series(lambda v, h: auto_order(v, h, max_order, max_differences, extra))(values, steps)
 
 
 def fourier_column(values: Column, steps: Column, days: Column, future: Column, **settings) -> Column:

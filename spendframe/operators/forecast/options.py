@@ -21,11 +21,17 @@ ALWAYS_ON = ("sma", "es", "hw", "theta")
 
 
 @dataclass(frozen=True)
-class ForecastOptions:
+class ForecastOptions:  # default values are fixed values
     """Defaults give the four closed-form methods; other columns exist but stay missing.
 
     ``darts_algorithm`` switches the ``darts`` column on and picks its model family; an unknown
     name falls back to exponential smoothing with a warning.
+
+    ``first_stage_lags``: lags beyond the model's own in the autoregression that estimates the shocks
+    of an ARMA; a series too short for it has no forecast.  ``max_order`` and ``max_differences`` bound
+    the automatic order.  ``yearly``, ``weekly`` and ``daily`` are obeyed whatever the history's length
+    (daily terms are constant on daily series).  ``trees`` and ``tree_depth`` shape both tree families,
+    which are one model over all series: adding a series changes the others' forecasts.
     """
 
     methods: tuple[str, ...] = ALWAYS_ON
@@ -42,11 +48,17 @@ class ForecastOptions:
     arima_order: tuple[int, ...] | str = (1, 1, 1)
     sarima_order: tuple[int, ...] | str = (1, 1, 1)
     sarima_seasonal_order: tuple[int, ...] | str = (1, 1, 1, 12)
+    first_stage_lags: int = 1
+    max_order: int = 2
+    max_differences: int = 2
     yearly: bool = True
     weekly: bool = False
+    daily: bool = False
     changepoint_scale: float = 0.05
     season_scale: float = 10.0
     lags: int = 12
+    trees: int = 20
+    tree_depth: int = 5
 
     def __post_init__(self):
         for method in self.methods:
@@ -56,7 +68,7 @@ class ForecastOptions:
         for name in ("es_alpha", "hw_alpha", "hw_beta", "hw_gamma"):
             if not 0.0 <= getattr(self, name) <= 1.0:
                 raise ValueError(f"{name} must lie between 0 and 1")
-        for name in ("sma_window", "hw_seasonal_periods", "min_points", "lags"):
+        for name in ("sma_window", "hw_seasonal_periods", "min_points", "lags", "trees", "tree_depth"):
             if getattr(self, name) < 1:
                 raise ValueError(f"{name} must be at least 1")
         if self.darts_algorithm is not None:

@@ -24,7 +24,9 @@ from pyspark.sql import types as T
 
 from spendframe.functions.numbers import ratio
 
-TREES, DEPTH, SEED = 20, 5, 42
+SEED = 42
+# Parts of the training rows: the bootstrap draws by part, so the count must not follow the cluster
+TRAINING_PARTS = 32
 
 # Send these functions with the task: executors then need NumPy and pandas, but not this package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -40,19 +42,25 @@ def lag_features(
 
 
 def train(
-    df: DataFrame, family: str, *, series_cols: Sequence[str], date_col: str, value_col: str, lags: int
+    df: DataFrame, family: str, *, series_cols: Sequence[str], date_col: str, value_col: str, lags: int, trees: int, depth: int
 ) -> list[tuple[float, dict[str, np.ndarray]]]:
-    """Fit the pooled model; returns ``(weight, nodes)`` per tree."""
+    """Fit the pooled model; returns ``(weight, nodes)`` per tree.
+
+    Rows are dealt by a hash of their series and date into a fixed number of parts and sorted within,
+    so the model is a function of the data alone, whatever the shuffle width.
+    """
     level = F.avg(F.abs(value_col)).over(Window.partitionBy(*series_cols))
     scaled = df.withColumn(value_col, F.coalesce(ratio(F.col(value_col), level), F.lit(0.0)))
     rows = lag_features(scaled, series_cols=series_cols, date_col=date_col, value_col=value_col, lags=lags)
     assembler = VectorAssembler(inputCols=[f"lag_{i}" for i in range(1, lags + 1)], outputCol="features")
-    frame = assembler.transform(rows).select("features", F.col(value_col).alias("label"))
+    keys = [*series_cols, date_col]
+    dealt = rows.repartition(TRAINING_PARTS, F.xxhash64(*keys)).sortWithinPartitions(*keys, value_col)
+    frame = assembler.transform(dealt).select("features", F.col(value_col).alias("label"))
     if family == "lag_forest":
-        model = RandomForestRegressor(numTrees=TREES, maxDepth=DEPTH, seed=SEED).fit(frame)
-        weights = [1.0 / TREES] * TREES
+        model = RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=SEED).fit(frame)
+        weights = [1.0 / trees] * trees
     else:
-        model = GBTRegressor(maxIter=TREES, maxDepth=DEPTH, seed=SEED).fit(frame)
+        model = GBTRegressor(maxIter=trees, maxDepth=depth, seed=SEED).fit(frame)
         weights = list(model.treeWeights)
     return [(weight, _nodes(tree)) for weight, tree in zip(weights, model.trees, strict=True)]
 
@@ -79,19 +87,19 @@ def _nodes(tree) -> dict[str, np.ndarray]:
     return {name: np.array(items) for name, items in arrays.items()}
 
 
-def _predict(forest, x: np.ndarray) -> np.ndarray:
+def _predict(forest, x: np.ndarray, depth: int) -> np.ndarray:
     rows = np.arange(len(x))
     total = np.zeros(len(x))
     for weight, nodes in forest:
         at = np.zeros(len(x), dtype=int)
-        for _ in range(DEPTH):
+        for _ in range(depth):
             goes_left = x[rows, nodes["feature"][at]] <= nodes["threshold"][at]
             at = np.where(goes_left, nodes["left"][at], nodes["right"][at])
         total += weight * nodes["value"][at]
     return total
 
 
-def forest_column(forest, values: Column, steps: Column, lags: int) -> Column:
+def forest_column(forest, values: Column, steps: Column, lags: int, depth: int) -> Column:
     """Forecast arrays from the trained trees; NULL for a series without enough lags."""
 
     def walk(series: pd.Series, horizon: pd.Series) -> pd.Series:
@@ -104,7 +112,7 @@ def forest_column(forest, values: Column, steps: Column, lags: int) -> Column:
             wanted = horizon.iloc[usable].to_numpy()
             out = np.empty((len(usable), int(wanted.max())))
             for step in range(out.shape[1]):
-                out[:, step] = _predict(forest, recent)
+                out[:, step] = _predict(forest, recent, depth)
                 recent = np.column_stack([out[:, step], recent[:, :-1]])
             for row, i in enumerate(usable):
                 results[i] = out[row, : wanted[row]] * level[row]

@@ -13,7 +13,8 @@ from spendframe.operators import anomalies
 from spendframe.operators.budgets import budget_by_name, compare_with_budgets
 from spendframe.operators.clean import clean_series, long_enough, share_source
 from spendframe.operators.combine import milestone_summary, summary_methods
-from spendframe.operators.forecast import ForecastOptions, forecast_rows, forecast_table
+from spendframe.operators.forecast import ForecastOptions, forecast_rows
+from spendframe.operators.forecast.api import with_actuals
 from spendframe.params import MIN_POINTS, choice, iso_date, metric_name
 from spendframe.sources.usage import Group, cost_by_period, report_bounds
 
@@ -30,10 +31,10 @@ def forecast_report(
     """Clean the input, forecast every series, and sum up to the milestones when asked."""
     names = {"series_cols": series_cols, "date_col": date_col, "value_col": value_col}
     series = clean_series(costs, **names)
-    table = forecast_table(series, options, **names)
+    rows = forecast_rows(series, options, **names)  # fitted, and where needed trained, once for both results
+    table = with_actuals(series, rows, options, **names)
     if not milestones:
         return table, None
-    rows = forecast_rows(series, options, **names)
     sums = milestone_summary(rows, series_cols=series_cols, date_col=date_col, methods=summary_methods(options))
     return table, sums
 
@@ -132,6 +133,7 @@ def anomaly_report(
     Reads from three months and ``margin`` days before ``as_of`` up to ``as_of``.  All groups run
     in the same job; groups with too short a history are left out.
     """
+    choice(grain, ("daily",), "grain of a comparison by days")
     today = F.lit(str(iso_date(as_of))).cast("date")
     costs = cost_by_period(
         usage,

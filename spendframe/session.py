@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,21 +39,23 @@ def build_session(app_name: str = "spendframe", master: str | None = None, **con
     return builder.getOrCreate()
 
 
-def settle(df: DataFrame) -> DataFrame:
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder for intermediate tables: ``spark.checkpoint.dir``, or the one set on the context."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+
+
+def settle(df: DataFrame, folder: str | None = None) -> DataFrame:
     """Compute a table once for several later jobs, and cut its lineage.
 
     Meant for a cost series, which is small next to the usage lines behind it.  The copy goes to
-    the folder the session names in ``spark.checkpoint.dir``, which all executors share, so it
-    outlives a lost executor.  Without that setting a local session gets a temporary folder; a
-    cluster keeps the lineage and only caches, because a machine-local folder would not do there.
+    ``folder``, or else to the one the session names in ``spark.checkpoint.dir``; all executors must
+    share it, so that the copy outlives a lost one.  Without either this raises: a folder of one
+    machine would not do.  ``spark.cleaner.referenceTracking.cleanCheckpoints`` releases copies.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None and context.master.startswith("local"):
-        folder = context.getCheckpointDir() or tempfile.mkdtemp(prefix="spendframe-checkpoint-")
+    folder = folder or shared_folder(df.sparkSession)
     if folder is None:
-        return df.persist()
+        raise ValueError("set spark.checkpoint.dir, or give a folder that all executors share")
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return df.checkpoint()

@@ -16,13 +16,16 @@ BUDGETS_SCHEMA = (
 UNNAMED = "Unknown"
 
 
-def read_budgets(spark: SparkSession, path: str) -> DataFrame:
-    docs = spark.read.schema(BUDGETS_SCHEMA).option("multiLine", True).json(path)
+def read_budgets(spark: SparkSession, path: str, *, lines: bool = False) -> DataFrame:
+    """Budget files, one document each or, with ``lines``, one a line; a document that does not parse
+    fails the query."""
+    docs = spark.read.schema(BUDGETS_SCHEMA).option("multiLine", not lines).option("mode", "FAILFAST").json(path)
     return budget_rows(docs)
 
 
 def parse_budgets(df: DataFrame, json_col: str) -> DataFrame:
-    docs = df.select(F.from_json(F.col(json_col), BUDGETS_SCHEMA).alias("_doc")).select("_doc.*")
+    doc = F.from_json(F.col(json_col), BUDGETS_SCHEMA, {"mode": "FAILFAST"})
+    docs = df.select(doc.alias("_doc")).select("_doc.*")
     return budget_rows(docs)
 
 

@@ -18,12 +18,12 @@ def csv_schema(columns: Sequence[str]) -> T.StructType:
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | Sequence[str] | None = None) -> DataFrame:
     """A CSV file or a directory of them.
 
-    With a schema the read is lazy.  Without one only the header is looked at; every column is
-    text.
+    With a schema the read is lazy.  Without one the first header is looked at; every column is
+    text.  Either way each file's header is held against the schema when it is read.
     """
     reader = spark.read.option("header", True)
     if schema is None:
-        return reader.option("inferSchema", False).csv(path)
+        schema = csv_schema(reader.option("inferSchema", False).csv(path).columns)
     if not isinstance(schema, T.StructType):
         schema = csv_schema(schema)
     # a given schema is matched by position; a header that disagrees is an error, not a shift

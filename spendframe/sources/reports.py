@@ -22,15 +22,17 @@ PAGE_SCHEMA = (
 TOTAL_KEY = "Total"
 
 
-def read_report_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Report files, one JSON document each.  A directory or glob reads all pages of a report
-    at once, which is the union of the pages."""
-    return spark.read.schema(PAGE_SCHEMA).option("multiLine", True).json(path)
+def read_report_pages(spark: SparkSession, path: str, *, lines: bool = False) -> DataFrame:
+    """Report files, one JSON document each, or with ``lines`` one document a line (such files are
+    read in splits).  A directory or glob reads all pages of a report at once, which is the union of
+    the pages.  A page that does not parse fails the query: dropping it would lose costs."""
+    return spark.read.schema(PAGE_SCHEMA).option("multiLine", not lines).option("mode", "FAILFAST").json(path)
 
 
 def parse_report_pages(df: DataFrame, json_col: str) -> DataFrame:
-    """The same table from a text column that holds one page per row."""
-    return df.select(F.from_json(F.col(json_col), PAGE_SCHEMA).alias("_page")).select("_page.*")
+    """The same table from a text column that holds one page per row; a bad page fails the query."""
+    page = F.from_json(F.col(json_col), PAGE_SCHEMA, {"mode": "FAILFAST"})
+    return df.select(page.alias("_page")).select("_page.*")
 
 
 def union_pages(first: DataFrame, *rest: DataFrame) -> DataFrame:

@@ -41,17 +41,26 @@ def test_every_row_meets_every_budget(costs, limits):
     assert {(r.Status, r.Variance, r.VariancePercent) for r in none} == {("NO_BUDGET", 0.0, 0.0)}
 
 
-def test_shuffled_pairing_equals_inline(spark, costs):
+def test_pairing_is_neither_broadcast_nor_a_product(spark, costs):
     many = spark.range(37).select(
         F.format_string("b%d", "id").alias("BudgetName"), (F.col("id") * 100.0).alias("BudgetAmount")
     )
-    inline = budgets.compare_with_budgets(costs, many)
-    shuffled = budgets.compare_with_budgets(costs, many, inline_limit=5)
+    few, wide = budgets.compare_with_budgets(costs, many, lanes=1), budgets.compare_with_budgets(costs, many)
     order = lambda df: sorted(map(str, df.collect()))
-    assert order(inline) == order(shuffled) and inline.count() == 148
-    for df in (inline, shuffled):
+    assert order(few) == order(wide) and few.count() == 148
+    for df in (few, wide):
         plan = df._jdf.queryExecution().executedPlan().toString()
-        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+        assert "CartesianProduct" not in plan and "Broadcast" not in plan and "ShuffledHashJoin" in plan
+
+
+def test_budget_of_its_own_group_and_month(spark):
+    rows = [("a", "2025-01-03", 60.0), ("a", "2025-01-20", 30.0), ("a", "2025-02-01", 5.0), ("b", "2025-01-01", 9.0), ("c", "2025-01-01", 1.0)]
+    costs = spark.createDataFrame(rows, "team string, d string, cost double").withColumn("d", F.col("d").cast("date"))
+    limits = spark.createDataFrame([("a", 100.0), ("b", 5.0), ("z", 1.0)], "BudgetName string, BudgetAmount double")
+    got = budgets.compare_by_dimension(costs, limits, dimension_col="team", date_col="d", cost_col="cost").collect()
+    assert sorted((str(r.PeriodStart), r.BudgetName, r.ActualCost, r.Status) for r in got) == [
+        ("2025-01-01", "a", 90.0, "THRESHOLD_BREACH"), ("2025-01-01", "b", 9.0, "OVER_BUDGET"), ("2025-02-01", "a", 5.0, "UNDER_BUDGET"),
+    ]
 
 
 def test_threshold_is_a_parameter(costs, limits):

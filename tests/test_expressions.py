@@ -28,6 +28,14 @@ def test_to_day_refuses_junk_and_keeps_written_day(spark):
     assert [r.x for r in df.collect()] == [day("2024-12-01"), day("2024-12-01"), None, None, None, None]
 
 
+def test_to_day_reads_other_spellings(spark):
+    spellings = ["01/15/2025", "1/15/2025 13:05", "2025/01/15", "20250115", "Jan 15, 2025", "January 15, 2025", "15 Jan 2025", " 2025-01-15 "]
+    df = spark.createDataFrame([(s,) for s in spellings], "t string").select(dates.to_day(F.col("t"), T.StringType()).alias("x"))
+    assert {r.x for r in df.collect()} == {day("2025-01-15")}
+    bad = spark.createDataFrame([("13/45/2025",), ("2025011",), ("Foo 1, 2025",)], "t string")
+    assert {r.x for r in bad.select(dates.to_day(F.col("t"), T.StringType()).alias("x")).collect()} == {None}
+
+
 def test_floor_keeps_missing(spark):
     assert one(spark, *[numbers.floor_at_zero(F.lit(v).cast("double")) for v in (-1, 2, None)]) == (0.0, 2.0, None)
 

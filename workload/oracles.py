@@ -233,7 +233,7 @@ def oracle_sql() -> dict[str, str]:
         f"period_start >= CAST(DATE '{AS_OF}' - INTERVAL 3 MONTH AS DATE) - 10 AND period_start < DATE '{AS_OF}'"
     )
     recent = f"SELECT * FROM ({LINE_DAILY}) WHERE {in_history}"
-    return {
+    queries = {
         "cost_by_service_daily": SERVICE_DAILY,
         "cost_by_account_daily": """SELECT user_id AS account, CAST(ts AS DATE) AS period_start,
             round(sum(value), 6) AS cost FROM events GROUP BY 1, 2""",
@@ -343,7 +343,18 @@ def oracle_sql() -> dict[str, str]:
         "budget_all": budget_sql(),
         "budget_single": budget_sql(where="BudgetName = 'ASIA'"),
         "budget_status_counts": f"""SELECT "BudgetName", "Status", count(*) AS row_count FROM ({budget_sql()}) GROUP BY 1, 2""",
-        "budget_alerts": f"""SELECT * FROM ({budget_sql()}) WHERE "Status" IN ('THRESHOLD_BREACH', 'OVER_BUDGET')""",
+        "budget_alerts": f"""SELECT *, printf('  - %s: %.2f vs %.2f (%.1f%% variance)', "BudgetName", "ActualCost",
+            "BudgetAmount", "VariancePercent") AS alert FROM ({budget_sql()}) WHERE "Status" IN ('THRESHOLD_BREACH', 'OVER_BUDGET')""",
+        "budget_by_dimension": f"""WITH m AS (SELECT date_trunc('month', period_start)::DATE AS d, service, sum(cost) AS c
+              FROM ({SERVICE_DAILY}) GROUP BY 1, 2), b AS (SELECT *, length(service) * 5000.0::DOUBLE AS a FROM m)
+            SELECT d AS "PeriodStart", service AS "BudgetName", a AS "BudgetAmount", round(c, 4) AS "ActualCost",
+              round(a - c, 6) AS "Variance", round((c - a) / a * 100, 6) AS "VariancePercent",
+              CASE WHEN c / a * 100 >= 100 THEN 'OVER_BUDGET' WHEN c / a * 100 >= 80 THEN 'THRESHOLD_BREACH'
+              ELSE 'UNDER_BUDGET' END AS "Status" FROM b""",
+        "budget_many_status": f"""WITH b AS (SELECT (p_retailprice * k * 2)::DOUBLE AS a FROM part, unnest(range(6)) AS u(k))
+            SELECT period_start AS "PeriodStart", CASE WHEN a = 0 THEN 'NO_BUDGET' WHEN cost / nullif(a, 0) * 100 >= 100 THEN
+              'OVER_BUDGET' WHEN cost / nullif(a, 0) * 100 >= 80 THEN 'THRESHOLD_BREACH' ELSE 'UNDER_BUDGET' END AS "Status",
+              count(*) AS row_count FROM ({SERVICE_DAILY}) CROSS JOIN b GROUP BY 1, 2""",
         "budget_missing_cost": budget_sql(
             f"""SELECT service, period_start, CASE WHEN service <> 'error' THEN cost END AS cost FROM ({SERVICE_DAILY})"""
         ),
@@ -394,3 +405,9 @@ def oracle_sql() -> dict[str, str]:
         "gen_flat": generated("baseline"),
         "gen_noise": generated(f"baseline * (1 + CAST(0.1 AS DOUBLE) * {noise})"),
     }
+    queries["milestone_text"] = f"""SELECT service, label, milestone_date, method,
+        printf('%s (%s): %s: %.2f', label, CAST(milestone_date AS VARCHAR), method, total) AS line
+        FROM ({queries["milestone_summary"]}) WHERE method = 'sma'"""
+    queries["anomaly_text"] = f"""SELECT group_key AS "Group", method AS "Method", period AS "Period",
+        coalesce(CAST(change_pct AS VARCHAR), 'N/A') AS "Change (%)", anomaly AS "Anomaly" FROM ({queries["anomaly_periods"]})"""
+    return queries

@@ -385,6 +385,13 @@ def milestone_summary(spark, sf):
     return rounded(combine.milestone_summary(rows, **DATES), "total", digits=3)
 
 
+@query
+def milestone_text(spark, sf):
+    rows = forecast_rows(service_daily(spark, sf), only("sma"), **SERIES)
+    sums = combine.milestone_summary(rows, methods=("sma",), **DATES)
+    return combine.milestone_lines(sums, series_cols=["service"])
+
+
 @query
 def forecast_horizon_30(spark, sf):
     cut = combine.forecast_horizon(actuals_and_forecasts(service_daily(spark, sf), BLEND, **SERIES), 30, **DATES)
@@ -438,7 +445,29 @@ def budget_status_counts(spark, sf):
 @query
 def budget_alerts(spark, sf):
     lines = budgets.alert_lines(budget_rows(spark, sf))
-    return rounded_budget(lines.drop("alert"))
+    return rounded_budget(lines)
+
+
+@query
+def budget_by_dimension(spark, sf):
+    """Event types as teams: each has a budget of its own, held against its month."""
+    named = table(spark, sf, "events").select(F.col("event_type").alias("BudgetName")).distinct()
+    limits = named.withColumn("BudgetAmount", F.length("BudgetName") * 5000.0)
+    rows = budgets.compare_by_dimension(
+        service_daily(spark, sf), limits, dimension_col="service", date_col="period_start", cost_col="cost"
+    )
+    return rounded(rounded_budget(rows), "ActualCost", digits=4)
+
+
+@query
+def budget_many_status(spark, sf):
+    """Six budgets for each part against daily costs, counted by day and status."""
+    steps = F.array(*[F.lit(k) for k in range(6)])
+    many = table(spark, sf, "part").select("p_partkey", "p_retailprice", F.explode(steps).alias("k"))
+    limits = many.select(
+        F.concat_ws("-", "p_partkey", "k").alias("BudgetName"), (F.col("p_retailprice") * F.col("k") * 2).alias("BudgetAmount")
+    )
+    return budget_rows(spark, sf, chosen=limits).groupBy("PeriodStart", "Status").agg(F.count(F.lit(1)).alias("row_count"))
 
 
 @query
@@ -497,12 +526,15 @@ def anomaly_periods(spark, sf):
     return rounded(report, "change_pct")
 
 
+@query
+def anomaly_text(spark, sf):
+    return anomalies.summary_text(anomaly_periods(spark, sf), group_col="group_key")
+
+
 @query
 def percent_diff(spark, sf):
     series = line_daily(spark, sf)
-    earlier = series.select("service", F.date_add("period_start", 7).alias("period_start"), F.col("cost").alias("before"))
-    pairs = series.join(earlier, ["service", "period_start"], "left")
-    change = anomalies.with_change(pairs, value_col="cost", baseline_col="before")
+    change = anomalies.change_since(series, 7, series_cols=["service"], date_col="period_start", value_col="cost")
     return rounded(change, "change_pct").select("service", "period_start", "change_pct")
 
 
