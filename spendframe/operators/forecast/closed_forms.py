@@ -116,7 +116,7 @@ def constant_or_null(value: Column) -> Column:
     return F.when(spread <= F.lit(1e-8) + F.lit(1e-5) * F.abs(first), at_age(value, 0))
 
 
-# -- first-difference autoregression, seasonal naive ------------------------------------------
+# -- first-difference autoregression ----------------------------------------------------------
 
 
 def ar1_difference_state(df: DataFrame, *, series_cols: Sequence[str], date_col: str, value_col: str) -> DataFrame:
@@ -140,8 +140,3 @@ def ar1_difference_value(step: Column) -> Column:
     phi = F.col("phi")
     total = F.when(phi == 1, step.cast("double")).otherwise(ratio(phi * (1 - F.pow(phi, step)), 1 - phi))
     return F.col("last_value") + F.col("last_step") * total
-
-
-def seasonal_naive_value(values: Column, period: int, step: Column) -> Column:
-    """The value one season before, repeated: the exact case (0,0,0)(0,1,0,s)."""
-    return F.get(values, F.size(values) - period + F.pmod(step - 1, F.lit(period)))
