@@ -11,7 +11,8 @@
    a 128-bit digest in an aggregate that combines on the map side.
 5. Marked ranges return to their texts.
 
-Texts move once, by digest; everything else is anchors, one in about eighty bytes.
+Texts move once, by digest (all later steps share that exchange); everything else is anchors, one in
+about eighty bytes.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendframe.llm.base import by_bytes, cut, pick, texts_of
+from spendframe.llm.base import by_bytes, pick, texts_of
 from spendframe.llm.suffix_array import DEPTH, SEPARATOR, common_prefixes, locate, suffix_array
 
 BLOCK_BYTES, SHARD_BYTES = 4 << 20, 2 << 20
@@ -300,19 +301,20 @@ def repeats(
     an empty table gives no rows.  ``gram`` is a multiple of 8 and less than ``width``.
     """
     plain = pick(docs, doc_id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
-    plain = plain.withColumn("content", F.md5(F.encode("text", "UTF-8")))
-    texts = cut(plain.groupBy("content").agg(F.first("text").alias("text"), F.count("*").alias("copies")))
-    found = texts.select("content", "text").mapInArrow(_anchor_rows(width, gram), "content string, place bigint, key bigint")
+    plain = plain.withColumn("content", F.coalesce(F.md5(F.encode("text", "UTF-8")), F.lit("")))
+    # the same three columns wherever the texts are used, so that all uses share one exchange of them
+    texts = plain.groupBy("content").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    found = texts.mapInArrow(_anchor_rows(width, gram), "content string, place bigint, key bigint")
     at = F.xxhash64("content", "place")
     counted = found.groupBy(F.col("key").alias("_key")).agg(F.min(at).alias("low"), F.max(at).alias("high"), F.count("*").alias("places"))
     repeated = counted.where("low <> high").select("_key", "places")
     wanted = found.join(repeated, F.col("key") == F.col("_key")).select("content", "place", "key", "places")
-    wanted = cut(wanted.groupBy("content").agg(F.collect_list(F.struct("place", "key", "places")).alias("wanted")))
-    surround = texts.select("content", "text").join(wanted.withColumnRenamed("content", "_content"), F.col("content") == F.col("_content"))
+    wanted = wanted.groupBy(F.col("content").alias("_content")).agg(F.collect_list(F.struct("place", "key", "places")).alias("wanted"))
+    surround = texts.join(wanted, F.col("content") == F.col("_content"), "left")
 
     def around(condition: str) -> DataFrame:
         chosen = F.expr(f"filter(wanted, w -> w.places {condition} {anchor_places})")
-        return surround.select("content", "text", chosen.alias("wanted")).mapInArrow(
+        return surround.select("content", "text", "copies", chosen.alias("wanted")).mapInArrow(
             _surroundings(width, gram), "key bigint, content string, start bigint, piece binary"
         )
 
