@@ -161,15 +161,14 @@ def training_windows(texts: list[str], options: Training) -> tuple[np.ndarray, n
 def fit(docs: DataFrame, options: Training = Training()) -> char_tagger.Tagger | None:
     """A tagger learnt from a bounded sample of ``docs`` (column ``text``); None where no span is found.
 
-    The sample is the ``documents`` texts with the lowest hashes among those with a digit or @ and at
-    most ``longest`` bytes: the same for any partitioning."""
-    sample = (
-        docs.where((F.octet_length("text") <= options.longest) & F.col("text").rlike("[0-9@]"))
-        .select("text", F.xxhash64("text").alias("at"))
-        .orderBy("at", "text")
-        .limit(options.documents)
-        .collect()
-    )
+    The sample is the ``documents`` different texts with the lowest hashes among those with a digit or @
+    and at most ``longest`` bytes: the same for any partitioning.  The hashes are chosen first, so that
+    tasks send the driver numbers and then only the chosen texts."""
+    usable = docs.where((F.octet_length("text") <= options.longest) & F.col("text").rlike("[0-9@]"))
+    hashed = usable.select(F.xxhash64("text").alias("at"), "text")
+    lowest = hashed.select("at").distinct().orderBy("at").limit(options.documents).agg(F.max("at")).first()[0]
+    chosen = hashed.where(F.col("at") <= F.lit(lowest)).groupBy("at").agg(F.first("text").alias("text")) if lowest is not None else None
+    sample = sorted(chosen.collect()) if chosen is not None else []
     codes, tags = training_windows([row.text for row in sample], options) if sample else (None, np.zeros(0))
     if not tags.any():
         return None
