@@ -139,11 +139,16 @@ def learn(measured: DataFrame, labels: DataFrame, options: PuOptions = PuOptions
 
     ``labels`` has doc_id and quality; null labels teach nothing, of repeated labels the highest counts."""
     known = labels.where("quality IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.max("quality").alias("quality"))
-    rows = measured.where(~held_out(options)).join(known, F.col("doc_id") == F.col("_id"), "left")
+    rows = measured.where(~held_out(options) & F.col("doc_id").isNotNull()).join(known, F.col("doc_id") == F.col("_id"), "left")
 
     def drawn(part: DataFrame) -> np.ndarray:
-        chosen = part.select("x", F.xxhash64("doc_id").alias("at")).orderBy("at", "x").limit(options.sample).collect()
-        return np.array([r.x for r in chosen]).reshape(-1, len(MEASURES))
+        """The rows with the lowest hashes; the hashes are chosen first, so that tasks send the driver little."""
+        hashed = part.select("x", F.xxhash64("doc_id").alias("at"))
+        highest = hashed.select("at").distinct().orderBy("at").limit(options.sample).agg(F.max("at")).first()[0]
+        if highest is None:
+            return np.empty((0, len(MEASURES)))
+        chosen = hashed.where(F.col("at") <= F.lit(highest)).groupBy("at").agg(F.min("x").alias("x")).collect()
+        return np.array([r.x for r in sorted(chosen)])
 
     positive, unlabelled = drawn(rows.where("quality = 1")), drawn(rows.where("quality IS NULL"))
     return fit_pu(positive, unlabelled, options) if len(positive) and len(unlabelled) else None
