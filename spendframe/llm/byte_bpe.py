@@ -30,7 +30,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from spendframe.llm.base import by_bytes, pick, texts_of
 from spendframe.llm.pretokens import splitter
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
