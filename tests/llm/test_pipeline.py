@@ -1,0 +1,64 @@
+"""The pipeline stage by stage, each against plain Python on its own input."""
+
+import hashlib
+
+import public_tokenizers
+import tiktoken
+
+import corpus_pipeline
+from spendframe.llm import byte_bpe, decontaminate, pii, simhash
+from spendframe.llm.base import cut, table
+
+
+def test_stages(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    columns, kept = docs.columns, {}
+    for name, stage in corpus_pipeline.STAGES:
+        before = {r.doc_id: r for r in docs.collect()}
+        docs = cut(stage(spark, docs, sf_dir))
+        after = {r.doc_id: r for r in docs.collect()}
+        assert set(after) <= set(before)
+        kept[name] = (before, after)
+        assert name == "byte_bpe" or docs.columns == columns
+    before, after = kept["quality_rules"]
+    assert all(len(r.text.split()) >= 50 for r in after.values()) and len(after) > 0.6 * len(before)
+
+    before, after = kept["simhash_near_dedup"]
+    prints = {d: simhash.fingerprint(r.text) for d, r in before.items()}
+    lowest = {d: d for d in prints}
+    for _ in range(len(prints)):
+        new = {d: min(lowest[e] for e in prints if (prints[d] ^ prints[e]).bit_count() <= 2) for d in prints}
+        if new == lowest:
+            break
+        lowest = new
+    assert set(after) == set(lowest.values())
+
+    before, after = kept["benchmark_decontamination"]
+    items = [decontaminate.normal(r.text) for r in table(spark, sf_dir, "benchmark").collect()]
+    exact = {d for d, r in before.items() if any(i in decontaminate.normal(r.text) for i in items)}
+    assert exact and not exact & set(after) and len(set(before) - set(after)) <= len(exact) + 2
+
+    before, after = kept["personal_data"]
+    assert set(before) == set(after) and not any(pii.base_spans(r.text) for r in after.values())
+    assert all(r.text == before[d].text for d, r in after.items() if not pii.base_spans(before[d].text) and "[" not in r.text)
+    assert all(r.n_chars == len(r.text) for r in after.values())
+
+    before, after = kept["byte_bpe"]
+    ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for d, r in after.items():
+        assert r.ids == own.encode_ordinary(before[d].text) and r.decoded == before[d].text and r.n_tokens == len(r.ids)
+
+
+def test_run_and_odd_rows(spark, tmp_path):
+    words = " ".join(f"word{i}" for i in range(80))
+    rows = [(1, words), (2, words), (None, " ".join(f"other{i}" for i in range(90))), (3, None), (4, ""), (5, "x " * 3), (1, words), (6, "Mail a@b.cd " + words[::-1])]
+    frame = spark.createDataFrame([(d, t, "en", None, 1, 9) for d, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint, kept int")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "a passage of the test that nobody holds here at all")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    texts = {hashlib.sha256(r.decoded.encode()).hexdigest() for r in got}
+    assert len(texts) == 3 and any("[email]" in r.decoded for r in got)
+    frame.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{tmp_path}/none/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
