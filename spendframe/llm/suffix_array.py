@@ -42,7 +42,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         ahead = places + done
         first = rank[places]
         second = np.where(ahead < len(text), rank[np.minimum(ahead, len(text) - 1)], ahead)
-        sort = np.lexsort((second, first))
+        sort = np.argsort(first * (2 * len(text) + 1) + second, kind="stable")
         places, first, second = places[sort], first[sort], second[sort]
         order[at] = places
         fresh = np.concatenate([[True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])])

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from spendframe.llm.base import by_bytes, pick, texts_of
 from spendframe.llm.suffix_array import DEPTH, SEPARATOR, common_prefixes, locate, suffix_array
 
-BLOCK_BYTES, SHARD_BYTES = 4 << 20, 2 << 20
+BLOCK_BYTES, SHARD_BYTES = 2 << 20, 1 << 20
 
 
 def _slide(values: np.ndarray, size: int, pick_of) -> np.ndarray:
@@ -119,10 +119,15 @@ def _marked(pieces: list[bytes], origins: np.ndarray, groups: np.ndarray, width:
     members: dict[int, list[list[int]]] = {}
     for (group, _), rows in distinct.items():
         members.setdefault(group, []).append(rows)
+    marks = [np.empty(0, np.int64)] * len(pieces)
     shards: list[list[list[int]]] = []
     size, last = 0, None
     for group, rows in members.items():
-        if len(rows) == 1 and len(rows[0]) == 1:
+        if len(rows) == 1:  # nothing to compare: equal pieces at several places, or a single one
+            if len(rows[0]) > 1:
+                every = np.arange(max(0, len(pieces[rows[0][0]]) - width + 1))
+                for k in rows[0]:
+                    marks[k] = every
             continue
         for row in rows:
             length = len(pieces[row[0]]) + 1
@@ -131,46 +136,66 @@ def _marked(pieces: list[bytes], origins: np.ndarray, groups: np.ndarray, width:
                 size = 0
             shards[-1].append(row)
             size, last = size + length, group
-    marks = [np.empty(0, np.int64)] * len(pieces)
-    built = []
-    for shard in shards:
-        heads = [row[0] for row in shard]
+    pairs = _split_pairs(shards, groups)
+    shared = {number for pair in pairs for number in pair}
+    built = {}
+    for number, shard in enumerate(shards):
+        made = _Shard(shard, pieces, origins, width)
+        if number in shared:
+            built[number] = made
+        else:
+            made.mark(marks)
+    for a, b in pairs:
+        built[a].merge(built[b])
+    for made in built.values():
+        made.mark(marks)
+    return marks
+
+
+class _Shard:
+    """Surroundings in one suffix array.  Equal windows are a run of it; ``low`` and ``high`` are the
+    lowest and highest place of each run's windows."""
+
+    def __init__(self, rows: list[list[int]], pieces: list[bytes], origins: np.ndarray, width: int):
+        self.rows, self.width = rows, width
+        heads = [row[0] for row in rows]
         data = b"".join(pieces[k] + bytes([SEPARATOR]) for k in heads) + bytes([SEPARATOR]) * DEPTH
-        text = np.frombuffer(data, np.uint8)
+        self.text = np.frombuffer(data, np.uint8)
         sizes = np.array([len(pieces[k]) for k in heads])
         first = np.cumsum(sizes + 1) - sizes - 1
-        order = suffix_array(text)
-        owner = np.searchsorted(first, order, side="right") - 1
-        fits = order + width <= first[owner] + sizes[owner]
-        common = common_prefixes(text, order)
-        fresh = np.flatnonzero(np.concatenate([[True], common[1:] < width]))
-        inner = order - first[owner]
-        lowest = np.array([min(origins[k] for k in row) for row in shard])[owner] + inner
-        highest = np.array([max(origins[k] for k in row) for row in shard])[owner] + inner
-        far = np.iinfo(np.int64).max
-        low = np.minimum.reduceat(np.where(fits, lowest, far), fresh)
-        high = np.maximum.reduceat(np.where(fits, highest, -1), fresh)
-        run = np.cumsum(np.isin(np.arange(len(order)), fresh)) - 1
-        built.append((text, order, owner, inner, fits, run, low, high))
-    for a, b in _split_pairs(shards, groups):
-        text, order, _, _, fits, run, low, high = built[a]
-        other, other_order, _, _, other_fits, other_run, other_low, other_high = built[b]
-        ask = np.flatnonzero(np.concatenate([[True], np.diff(other_run) != 0]) & other_fits)
+        self.order = suffix_array(self.text)
+        fresh = common_prefixes(self.text, self.order) < width
+        fresh[:1] = True
+        owner = (np.searchsorted(first, self.order, side="right") - 1).astype(np.int32)
+        fits = self.order + width <= (first + sizes)[owner]
+        self.run = (np.cumsum(fresh) - 1).astype(np.int32)
+        # only windows that lie within their piece matter from here on
+        self.at = np.flatnonzero(fits)
+        self.owner = owner[self.at]
+        self.inner = self.order[self.at] - first[self.owner]
+        self.of = self.run[self.at]
+        runs = int(self.run[-1]) + 1 if len(self.run) else 0
+        self.low, self.high = np.full(runs, np.iinfo(np.int64).max), np.full(runs, -1, np.int64)
+        np.minimum.at(self.low, self.of, np.array([min(origins[k] for k in row) for row in rows])[self.owner] + self.inner)
+        np.maximum.at(self.high, self.of, np.array([max(origins[k] for k in row) for row in rows])[self.owner] + self.inner)
+
+    def merge(self, other: _Shard) -> None:
+        """Each run of ``other`` that also occurs here, found by binary search, shares its bounds with ours."""
+        ask = other.at[np.concatenate([[True], np.diff(other.of) != 0])] if len(other.at) else other.at
         for part in np.array_split(ask, -(-len(ask) // 8192)) if len(ask) else []:
-            hit = locate(text, order, other, other_order[part], width)
-            mine, theirs = run[hit[hit >= 0]], other_run[part[hit >= 0]]
-            both_low, both_high = np.minimum(low[mine], other_low[theirs]), np.maximum(high[mine], other_high[theirs])
-            low[mine], other_low[theirs] = both_low, both_low
-            high[mine], other_high[theirs] = both_high, both_high
-    for shard, (_, _, owner, inner, fits, run, low, high) in zip(shards, built):
-        hit = np.flatnonzero(fits & (low < high)[run])
-        hit = hit[np.argsort(owner[hit], kind="stable")]
-        edges = np.searchsorted(owner[hit], np.arange(len(shard) + 1))
-        for number, rows in enumerate(shard):
-            starts = np.sort(inner[hit[edges[number] : edges[number + 1]]])
+            hit = locate(self.text, self.order, other.text, other.order[part], self.width)
+            mine, theirs = self.run[hit[hit >= 0]], other.run[part[hit >= 0]]
+            self.low[mine] = other.low[theirs] = np.minimum(self.low[mine], other.low[theirs])
+            self.high[mine] = other.high[theirs] = np.maximum(self.high[mine], other.high[theirs])
+
+    def mark(self, marks: list[np.ndarray]) -> None:
+        hit = np.flatnonzero((self.low < self.high)[self.of])
+        hit = hit[np.argsort(self.owner[hit], kind="stable")]
+        edges = np.searchsorted(self.owner[hit], np.arange(len(self.rows) + 1))
+        for number, rows in enumerate(self.rows):
+            starts = np.sort(self.inner[hit[edges[number] : edges[number + 1]]])
             for k in rows:
                 marks[k] = starts
-    return marks
 
 
 def _split_pairs(shards: list[list[list[int]]], groups: np.ndarray) -> list[tuple[int, int]]:
