@@ -329,10 +329,10 @@ def test_tree_walk_equals_mllib(spark):
 
     df = spark.range(300).select(F.rand(1).alias("a"), F.rand(2).alias("b")).withColumn("label", F.col("a") * 3 - F.col("b"))
     frame = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(df).cache()
-    model = RandomForestRegressor(numTrees=5, maxDepth=trees.DEPTH, seed=1).fit(frame)
+    model = RandomForestRegressor(numTrees=5, maxDepth=5, seed=1).fit(frame)
     forest = [(1 / 5, trees._nodes(t)) for t in model.trees]
     rows = model.transform(frame).collect()
-    assert trees._predict(forest, np.array([[r.a, r.b] for r in rows])) == pytest.approx([r.prediction for r in rows])
+    assert trees._predict(forest, np.array([[r.a, r.b] for r in rows]), 5) == pytest.approx([r.prediction for r in rows])
 
 
 def test_lag_features(daily_30):
