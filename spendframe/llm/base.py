@@ -2,20 +2,45 @@
 
 from __future__ import annotations
 
+import hashlib
+import io
 import os
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_SENT: set[str] = set()
+
+
+def send_package(spark: SparkSession) -> None:
+    """Let Spark hand this package to the executors (once an application), so that their Python needs the
+    public libraries only.  The archive is made on the driver, whose file server the executors read."""
+    context = spark.sparkContext
+    if context.applicationId in _SENT:
+        return
+    top = Path(__file__).resolve().parent.parent
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as archive:
+        for file in sorted(top.rglob("*.py")):
+            archive.writestr(zipfile.ZipInfo(str(file.relative_to(top.parent))), file.read_bytes())
+    name = f"{top.name}-{hashlib.sha256(held.getvalue()).hexdigest()[:12]}.zip"
+    path = Path(tempfile.mkdtemp(prefix="package-")) / name
+    path.write_bytes(held.getvalue())
+    context.addPyFile(str(path))
+    _SENT.add(context.applicationId)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder for intermediate tables: ``spark.checkpoint.dir``, else one beside the warehouse.
 
@@ -52,6 +77,7 @@ def words(text: Column) -> Column:
 
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under fixed names, so that others in the input can't clash with ours."""
+    send_package(df.sparkSession)
     return df.select(*(F.col(f"`{name}`").alias(alias) for alias, name in columns.items()))
 
 

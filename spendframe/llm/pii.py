@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spendframe.llm import char_tagger
-from spendframe.llm.base import by_bytes, pick, texts_of
+from spendframe.llm.base import by_bytes, pick, send_package, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -279,4 +279,5 @@ def mask(docs: DataFrame, model: char_tagger.Tagger | None, *, text_col: str = "
             columns = [pa.array(masked, batch.schema.types[k]) if k == at else c for k, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
+    send_package(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
