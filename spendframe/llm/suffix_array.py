@@ -12,16 +12,21 @@ SEPARATOR = 0xFF
 DEPTH = 256
 
 
+def _words(text: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position, the first one highest."""
+    word = text.astype(np.uint64)
+    for size in (1, 2, 4):
+        word = (word[:-size] << np.uint64(8 * size)) | word[size:]
+    return word
+
+
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """Positions in the order of the texts that start there.
 
     The first eight bytes give the first ranks.  Then only positions whose rank is shared are sorted
     again, by the rank of the position ``done`` bytes on, which doubles the bytes their ranks tell apart."""
     n = len(text) - DEPTH
-    word = text.astype(np.uint64)
-    for size in (1, 2, 4):
-        word = (word[:-size] << np.uint64(8 * size)) | word[size:]
-    word = word[:n]
+    word = _words(text)[:n]
     order = np.argsort(word, kind="stable")
     rank = np.arange(len(text))  # in the padding, a later place counts as higher; so does whatever lies beyond
 
@@ -55,8 +60,8 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, lanes: int = 4096) -> n
     """common[k]: bytes that suffixes order[k - 1] and order[k] share, DEPTH at most; common[0] is 0.
 
     Kasai's rule (the next position shares one byte less at least) runs down ``lanes`` stretches of
-    the text at once."""
-    n = len(order)
+    the text at once; prefixes grow by eight bytes while they can, then by one."""
+    n, word = len(order), _words(text)
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
     stretch = -(-n // lanes)
@@ -67,12 +72,14 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, lanes: int = 4096) -> n
         live = np.flatnonzero(own < n)
         place, other = own[live], before[own[live]]
         size = np.where(other >= 0, np.maximum(length[live] - 1, 0), 0)
-        going = np.flatnonzero(other >= 0)
-        while len(going):
-            a, b = place[going] + size[going], other[going] + size[going]
-            same = (size[going] < DEPTH) & (text[a] == text[b])
-            going = going[same]
-            size[going] += 1
+        present = np.flatnonzero(other >= 0)
+        for step_size, data in ((8, word), (1, text)):
+            going = present[size[present] <= DEPTH - step_size]
+            while len(going):
+                done = size[going]
+                going = going[data[place[going] + done] == data[other[going] + done]]
+                size[going] += step_size
+                going = going[size[going] <= DEPTH - step_size]
         length[live] = size
         found[place] = size
     common = found[order]

@@ -317,7 +317,7 @@ def _removed(width: int):
 
 
 def repeats(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 200, gram: int = 32, anchor_places: int = 20_000
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 200, gram: int = 64, anchor_places: int = 20_000
 ) -> DataFrame:
     """One row per input row: ``doc_id``, ``n_bytes``, ``n_removed``, ``removed`` (ranges of bytes), ``kept_sha256``.
 

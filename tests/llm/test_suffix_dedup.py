@@ -62,7 +62,7 @@ def odd_texts():
     return [*prose, *edges, *near, *odd, prose[3], prose[3], prose[4]]
 
 
-@pytest.mark.parametrize(("width", "gram", "most", "shard"), [(200, 32, 20_000, 2 << 20), (200, 32, 3, 2 << 20), (200, 32, 20_000, 3000), (64, 16, 20_000, 2 << 20)])
+@pytest.mark.parametrize(("width", "gram", "most", "shard"), [(200, 64, 20_000, 2 << 20), (200, 32, 3, 2 << 20), (200, 32, 20_000, 3000), (64, 16, 20_000, 2 << 20)])
 def test_removal(spark, texts, monkeypatch, width, gram, most, shard):
     monkeypatch.setattr(d, "SHARD_BYTES", shard)
     rows = [(None if k == 5 else k, t) for k, t in enumerate(odd_texts())]
