@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from spendframe.llm.base import by_bytes, pick, texts_of
 from spendframe.llm.suffix_array import DEPTH, SEPARATOR, common_prefixes, locate, suffix_array
 
-BLOCK_BYTES, SHARD_BYTES = 2 << 20, 1 << 20
+BLOCK_BYTES, SHARD_BYTES = 2 << 20, 1 << 19
 
 
 def _slide(values: np.ndarray, size: int, pick_of) -> np.ndarray:
@@ -317,7 +317,7 @@ def _removed(width: int):
 
 
 def repeats(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 200, gram: int = 64, anchor_places: int = 20_000
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 200, gram: int = 64, anchor_places: int = 4_000
 ) -> DataFrame:
     """One row per input row: ``doc_id``, ``n_bytes``, ``n_removed``, ``removed`` (ranges of bytes), ``kept_sha256``.
 
