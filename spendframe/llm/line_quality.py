@@ -139,18 +139,47 @@ def removed_words(docs: DataFrame, common: DataFrame) -> DataFrame:
     )
 
 
+def boilerplate(docs: DataFrame, *, text_col: str = "text", host_col: str = "source", limits: LineLimits = LineLimits()) -> DataFrame:
+    """(host, line, documents) of the lines over the limits, computed once for ``judge`` and ``without_lines``."""
+    return cut(common_lines(document_lines(pick(docs, text=text_col, host=host_col)), limits))
+
+
+def without_lines(docs: DataFrame, common: DataFrame, *, text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """The rows of ``docs`` and all their columns; from ``text_col`` the lines in ``common`` are taken out.
+
+    All other lines stay as they are, in their order.  A host's lines over the limits meet the rows as
+    one array, so no text is split over rows or shuffled for it; other hosts' texts are untouched."""
+    lists = common.groupBy(F.col("host").alias("_host")).agg(F.collect_set("line").alias("_common"))
+    frame = docs.join(lists, F.col(f"`{host_col}`").eqNullSafe(F.col("_host")), "left")
+    # as in _lines, but with the lines that hold no word: both arrays have one entry for each line
+    normal = F.lower(blanks(F.col(f"`{text_col}`"), keep="\n"))
+    normal = F.transform(F.split(normal, "\n"), lambda x: F.xxhash64(F.trim(F.regexp_replace(x, " {2,}", " "))))
+    both = F.arrays_zip(F.split(F.col(f"`{text_col}`"), "\n").alias("raw"), normal.alias("line"))
+    left = F.filter(both, lambda x: ~F.array_contains("_common", x["line"]))
+    text = F.array_join(F.transform(left, lambda x: x["raw"]), "\n")
+    cleaned = F.when(F.col("_common").isNull() | F.col(f"`{text_col}`").isNull(), F.col(f"`{text_col}`")).otherwise(text)
+    return frame.withColumn(text_col, cleaned).select(*(F.col(f"`{name}`") for name in docs.columns))
+
+
 def judge(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limits: LineLimits = LineLimits()
+    docs: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    host_col: str = "source",
+    limits: LineLimits = LineLimits(),
+    common: DataFrame | None = None,
 ) -> DataFrame:
     """One row per input row: ``doc_id``, the measures, ``n_removed_words``, ``base_failed``, ``kept``.
 
     Null text: no words, base_failed.  Null host: a host of its own.  Null id: kept as null.  Repeated
     rows: the same verdict for each.  Empty table: no rows.  Other columns are ignored.  The result is
-    computed and written to the shared folder (a few numbers a document).
+    computed and written to the shared folder (a few numbers a document).  ``common``: the result of
+    ``boilerplate``, if it is there already.
     """
     plain = pick(docs, doc_id=id_col, text=text_col, host=host_col)
     plain = plain.withColumn("key", F.xxhash64("doc_id", "host", "text"))
-    removed = removed_words(plain, common_lines(document_lines(plain), limits))
+    removed = removed_words(plain, common_lines(document_lines(plain), limits) if common is None else common)
     judged = measures(plain, limits).drop("text", "host")
     joined = judged.join(removed, judged["key"] == removed["_key"], "left").drop("key", "_key")
     lost = F.coalesce(F.col("n_removed_words"), F.lit(0)).cast("long")

@@ -77,3 +77,29 @@ def test_no_python_in_the_plan(texts):
     for part in (lq.measures(frame), lq.common_lines(lq.document_lines(frame)), lq.removed_words(frame, lq.common_lines(lq.document_lines(frame)))):
         plan = part._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+
+
+def test_lines_over_the_limits_are_taken_out(spark):
+    banner = "Accept all\tCookies   to go on 0"
+    body = [f"  {unique(k)} \r\n\n{unique(1000 + k, 5)}\n" for k in range(20)]
+    rows = [(k, f"{banner}\r\n{body[k]}{banner.upper()}\n", "shop") for k in range(20)]
+    rows += [(100, f"{banner}\n{unique(100)}", "other"), (101, f"{banner}\n{unique(101)}", None), (102, None, "shop"), (103, banner, "shop")]
+    frame = spark.createDataFrame([(*row, -1) for row in rows], "doc_id bigint, text string, source string, n_chars bigint")
+    common = lq.boilerplate(frame)
+    cleaned = lq.without_lines(frame, common)
+    assert cleaned.columns == frame.columns
+    plan = cleaned._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+    got = {r.doc_id: r.text for r in cleaned.collect()}
+    assert got == {**dict((k, body[k]) for k in range(20)), 100: rows[20][1], 101: rows[21][1], 102: None, 103: ""}
+    lost = {r.doc_id: r.n_removed_words for r in lq.judge(frame, common=common).collect()}
+    assert lost == {d: len(WORD.findall(t or "")) - len(WORD.findall(got[d] or "")) for d, t, _ in rows}
+
+
+def test_the_pipeline_stage_writes_the_text_without_them(spark):
+    import corpus_pipeline
+
+    rows = [(k, f"Accept all Cookies\n{unique(k)}", "shop", -1) for k in range(20)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, source string, n_chars bigint")
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.quality_rules(spark, frame, "").collect()}
+    assert got == {k: (unique(k), len(unique(k))) for k in range(20)}
