@@ -4,7 +4,7 @@ Native: every step is a DataFrame or SQL function.
 
 A line is normalised (lower case, white space runs to one blank, trimmed) and hashed.  For
 each host and line the *different* documents that hold it are counted; copies of one text must not
-make its lines look like boilerplate, so documents that share their longest line count as one.
+make its lines look like boilerplate, so documents whose whole normalised texts are equal count as one.
 A line over the limits is boilerplate on that host and is removed; a document that loses more than
 ``depleted`` percent of its words is rejected.
 
@@ -95,27 +95,30 @@ def measures(docs: DataFrame, limits: LineLimits = LineLimits()) -> DataFrame:
 
 
 def document_lines(docs: DataFrame) -> DataFrame:
-    """One row per line: host, line hash, and the hash of the document's longest line, which copies share."""
+    """One row per line: host, line hash, and the hash of the document's normalised lines, which copies share.
+
+    A document with lines has one row more, whose line is that hash itself."""
     frame = _lines(docs.select("host", "text")).drop("text")
-    longest = F.array_max(F.transform("_lines", lambda x: F.struct(F.length(x).alias("n"), x.alias("line"))))["line"]
-    hashes = F.array_distinct(F.transform("_lines", lambda x: F.xxhash64(x)))
-    # in two steps: beside the explode, the longest line would be looked for once for each line.  A plain
+    each = F.transform("_lines", lambda x: F.xxhash64(x))
+    # in two steps: beside the explode, the lines would be hashed once for each line.  A plain
     # explode would add a filter on the array's size below, and so build the lines twice
-    frame = frame.select("host", F.xxhash64(longest).alias("same"), hashes.alias("_hashes"))
+    frame = frame.select("host", each.alias("_hashes"))
+    frame = frame.select("host", F.xxhash64("_hashes").alias("same"), F.array_distinct("_hashes").alias("_hashes"))
+    own = F.when(F.size("_hashes") > 0, F.array("same")).otherwise(F.array().cast("array<bigint>"))
+    frame = frame.select("host", "same", F.concat("_hashes", own).alias("_hashes"))
     return frame.select("host", "same", F.explode_outer("_hashes").alias("line")).where("line IS NOT NULL")
 
 
 def common_lines(lines: DataFrame, limits: LineLimits = LineLimits()) -> DataFrame:
     """(host, line) of the lines over both limits.
 
-    A document's longest line is one of its lines, so the host's different documents are counted
-    from the same table: its lines that are somebody's longest."""
+    A host's different documents are counted from the same table: its rows for whole documents."""
     counted = lines.distinct().groupBy("host", "line").agg(
-        F.count("*").alias("documents"), F.max((F.col("line") == F.col("same")).cast("int")).alias("longest")
+        F.count("*").alias("documents"), F.max((F.col("line") == F.col("same")).cast("int")).alias("whole")
     )
-    hosts = counted.groupBy(F.col("host").alias("_host")).agg(F.sum("longest").alias("of"))
+    hosts = counted.groupBy(F.col("host").alias("_host")).agg(F.sum("whole").alias("of"))
     return (
-        counted.where(F.col("documents") >= limits.documents)
+        counted.where((F.col("whole") == 0) & (F.col("documents") >= limits.documents))
         .join(hosts, F.col("host").eqNullSafe(F.col("_host")))
         .where(100 * F.col("documents") >= limits.percent * F.col("of"))
         .select("host", "line", "documents")

@@ -103,3 +103,13 @@ def test_the_pipeline_stage_writes_the_text_without_them(spark):
     frame = spark.createDataFrame(rows, "doc_id bigint, text string, source string, n_chars bigint")
     got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.quality_rules(spark, frame, "").collect()}
     assert got == {k: (unique(k), len(unique(k))) for k in range(20)}
+
+
+def test_a_line_that_is_the_longest_of_its_documents_is_boilerplate(spark):
+    notice = unique("notice", 70)
+    rows = [(k, f"{notice}\n{unique(k, 40)}\n{unique(500 + k, 40)}", "shop") for k in range(20)]
+    rows += [(100 + k, f"{notice.upper()}\n{unique('copy', 40)} {'' if k % 2 else ' '}", "copies") for k in range(20)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = {r.doc_id: r for r in lq.judge(frame).collect()}
+    assert all(got[k].n_removed_words == 70 and got[k].kept for k in range(20))
+    assert all(got[100 + k].n_removed_words == 0 for k in range(20))  # copies but for case and blanks are one document
