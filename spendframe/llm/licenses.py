@@ -3,8 +3,8 @@
 Words are runs of letters and digits in lower case.  Every ``gram`` words of a template are hashed
 and winnowed (the lowest hash in each ``window`` neighbours stays), into an inverted index from
 hash to template and place.  All grams of a document probe the index, so any shared run of
-window + gram - 1 words is found.  Hits on nearby diagonals are one candidate; an alignment in a
-band around it counts the template's words that occur there in order.
+window + gram - 1 words is found.  An alignment in a band around a hit's diagonal counts the
+template's words that occur there in order; from a place found, the search goes on in the words left.
 
 The index travels to every task: templates are limited to ``INDEX_BYTES`` of text, checked, which is
 hundreds of licenses.  Documents are never shuffled.
@@ -13,7 +13,9 @@ hundreds of licenses.  Documents are never shuffled.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -95,7 +97,7 @@ def align(template: list[int], words: list[int], shift: int, band: int) -> tuple
                 before = best.get(j - 1)
                 ways.append((before[0] + 1, before[1], j) if before and before[0] else (1, j, j))
             if ways:
-                now[j] = max(ways, key=lambda way: (way[0], way[1] - way[2]))
+                now[j] = max(ways, key=lambda way: (way[0], way[1], -way[2]))  # what follows adds to the latest start the least
         best = now
     return max(best.values(), key=lambda way: (way[0], way[1] - way[2], -way[1]), default=(0, 0, -1))
 
@@ -124,9 +126,9 @@ class Scanner:
             code = (code * self.base + word) & (1 << 62) - 1
         return code
 
-    def candidates(self, numbers: np.ndarray) -> dict[int, list[int]]:
-        """{template: shifts of its hits, in order}; words outside the templates are 0 and end a gram."""
-        shifts: dict[int, list[int]] = {}
+    def candidates(self, numbers: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+        """{template: (place, shift) of its hits, by place}; words outside the templates are 0 and end a gram."""
+        shifts: dict[int, list[tuple[int, int]]] = {}
         count = len(numbers) - self.gram + 1
         if count <= 0 or not len(self.codes):
             return shifts
@@ -139,28 +141,49 @@ class Scanner:
         at = at[np.isin(code[at], self.codes)]
         for place in at.tolist():
             for number, own in self.places[int(code[place])]:
-                shifts.setdefault(number, []).append(place - own)
+                shifts.setdefault(number, []).append((place, place - own))
         return shifts
 
+    def _align(self, template: list[int], numbers: np.ndarray, low: int, high: int, shift: int):
+        """(matched, first, last) within words ``low`` to ``high``, None below the coverage."""
+        low, high = max(0, low, shift - self.band), min(high, shift + len(template) + self.band)
+        part, least = numbers[low : max(low, high)].tolist(), self.coverage * len(template)
+        if (Counter(template) & Counter(part)).total() < least:
+            return None
+        matched, first, last = align(template, part, shift - low, self.band)
+        return (matched, low + first, low + last) if matched >= least else None
+
+    def _places(self, template, hits, numbers, low: int, high: int, failed: set[int]) -> Iterator[tuple[int, int, int]]:
+        """Places between words ``low`` and ``high`` that share no word.
+
+        From the first hit that is left, the diagonals of the hits within reach are tried, those with most hits
+        first.  The search goes on in the words before the place found and from its last word."""
+        reach = len(template) + 2 * self.band
+        for k, (place, _) in enumerate(hits):
+            while place >= low:
+                near = list(itertools.takewhile(lambda hit: hit[0] < place + reach, itertools.islice(hits, k, None)))
+                for shift, _ in Counter(shift for at, shift in near if at >= low and shift not in failed).most_common():
+                    if found := self._align(template, numbers, low, high, shift):
+                        break
+                    failed.add(shift)
+                else:
+                    break
+                before = [hit for hit in near if low <= hit[0] and hit[0] + self.gram <= found[1]]
+                if before:
+                    yield from self._places(template, before, numbers, low, found[1], set(failed))
+                yield found
+                low = found[2] + 1
+
     def scan(self, text: str) -> list[tuple[str, float, int, int, int]]:
         """(license, coverage, matched words, start, end) of every place that covers enough of a template."""
         words, spans = words_of(text)
         get = self.numbers.get
         numbers = np.fromiter((get(w, 0) for w in words), np.int64, len(words))
         found = []
-        for number, shifts in self.candidates(numbers).items():
-            template = self.templates[number]
-            shifts.sort()
-            done = None
-            for shift in shifts:
-                if done is not None and shift - done <= self.band:
-                    continue
-                done = shift
-                low = max(0, shift - self.band)
-                part = numbers[low : shift + len(template) + self.band].tolist()
-                matched, first, last = align(template, part, shift - low, self.band)
-                if matched >= self.coverage * len(template):
-                    found.append((self.names[number], matched / len(template), matched, spans[low + first][0], spans[low + last][1]))
+        for number, hits in self.candidates(numbers).items():
+            size = len(self.templates[number])
+            for matched, first, last in self._places(self.templates[number], hits, numbers, 0, len(words), set()):
+                found.append((self.names[number], matched / size, matched, spans[first][0], spans[last][1]))
         return _without_covered(found)
 
 

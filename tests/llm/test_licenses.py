@@ -69,3 +69,28 @@ def test_query_finds_the_planted_lines(spark, sf_dir):
     want = {(r.doc_id) for r in table(spark, sf, "documents").collect() if any(x in r.text for x in lines)}
     got = {r.doc_id for r in op9_license_scan(spark, sf).collect()}
     assert want and want <= got and len(got) <= len(want) + 3
+
+
+@pytest.mark.parametrize(("name", "text"), [t for t in li.TEMPLATES if len(t[1].split()) < 20])
+def test_repeats_back_to_back_are_places_of_their_own(name, text):
+    scanner = li.Scanner(li.TEMPLATES, 3, 2, 8, 0.8)
+    for count in (2, 3, 9, 40):
+        for gap in ("\n", " and ", " then comes some more here "):
+            found = [f for f in scanner.scan(f"Before.\n{gap.join([text] * count)}\nAfter.") if f[0] == name]
+            assert [f[3] for f in found] == [8 + k * len(text + gap) for k in range(count)]
+            assert all(f[1] == 1 for f in found)
+
+
+def test_a_changed_line_beside_a_whole_one_and_a_stray_hit():
+    scanner = li.Scanner(li.TEMPLATES, 3, 2, 8, 0.8)
+    line = "Licensed under the Apache License, Version 2.0."
+    changed = "Licensed under the Apache License, Release 2.0."
+    assert [f[2] for f in scanner.scan(f"{changed} {line} {changed}")] == [7, 8, 7]
+    stray = "Licensed under the wide sky, Licensed under the plain Apache License, Version 2.0."
+    assert [(f[2], f[3]) for f in scanner.scan(stray)] == [(8, stray.index("Licensed under the plain"))]
+
+
+def test_many_hits_stay_cheap():
+    scanner = li.Scanner(li.TEMPLATES, 3, 2, 8, 0.8)
+    assert scanner.scan("the License for the specific copies of the Software " * 3000) == []
+    assert len(scanner.scan("Released under the MIT License. " * 1000)) == 1000
