@@ -1,12 +1,12 @@
-import datetime as dt
 import os
 import sys
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+sys.path[:0] = [os.path.dirname(os.path.dirname(os.path.abspath(__file__))), os.path.dirname(os.path.abspath(__file__))]
 
 from spendframe import build_session  # noqa: E402
+from helpers import days_from, months_from  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -22,23 +22,6 @@ def sf_dir():
     return "/root/testdata/sf0.001"
 
 
-def day(text: str) -> dt.date:
-    return dt.date.fromisoformat(text)
-
-
-def days_from(first: str, count: int) -> list[dt.date]:
-    return [day(first) + dt.timedelta(days=i) for i in range(count)]
-
-
-def months_from(first: str, count: int) -> list[dt.date]:
-    start = day(first)
-    index = start.year * 12 + start.month - 1
-    return [dt.date((index + i) // 12, (index + i) % 12 + 1, 1) for i in range(count)]
-
-
-NAMES = {"date_col": "PeriodStart", "value_col": "Cost"}
-
-
 @pytest.fixture
 def series(spark):
     """A one-series table from dates and values."""
@@ -64,7 +47,3 @@ def daily_30(series):
 @pytest.fixture
 def monthly_30(series):
     return series(months_from("2024-01-01", 30), [100 + 10 * i for i in range(30)])
-
-
-def costs(df) -> list[float]:
-    return [row["Cost"] for row in df.orderBy("PeriodStart").collect()]

@@ -4,7 +4,7 @@ import datetime as dt
 
 import numpy as np
 import pytest
-from conftest import day, days_from
+from helpers import day, days_from
 from pyspark.sql import functions as F
 
 from spendframe.operators import anomalies, budgets

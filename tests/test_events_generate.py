@@ -3,7 +3,7 @@
 from functools import partial
 
 import pytest
-from conftest import NAMES, costs, day, days_from, months_from
+from helpers import NAMES, costs, day, days_from, months_from
 from pyspark.sql import functions as F
 
 from spendframe.operators import clean, events, generate

@@ -4,7 +4,7 @@ import datetime as dt
 import math
 
 import pytest
-from conftest import day
+from helpers import day
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 

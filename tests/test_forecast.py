@@ -4,7 +4,7 @@ import math
 
 import numpy as np
 import pytest
-from conftest import NAMES, day, days_from, months_from
+from helpers import NAMES, day, days_from, months_from
 from pyspark.sql import functions as F
 
 from spendframe.operators import clean, combine, spine

@@ -10,7 +10,7 @@ from spendframe.operators.anomalies import change_since
 from spendframe.operators.forecast import ForecastOptions, forecast_table, numeric
 from spendframe.sources import budgets, files, reports
 
-from conftest import day, days_from
+from helpers import day, days_from
 
 PAGE = {
     "ResultsByTime": [

@@ -1,7 +1,7 @@
 """The physical plans that scale depends on."""
 
 import pytest
-from conftest import days_from
+from helpers import days_from
 from pyspark.sql import functions as F
 
 from spendframe.operators.clean import clean_series, long_enough

@@ -4,7 +4,7 @@ import datetime as dt
 import json
 
 import pytest
-from conftest import day
+from helpers import day
 from pyspark.sql import functions as F
 
 from spendframe.operators.clean import clean_series
