@@ -15,7 +15,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendframe.llm import byte_bpe, decontaminate, line_quality, near_copies, pii
+from spendframe.llm import byte_bpe, decontaminate, line_quality, pii, simhash
 from spendframe.llm.base import keep_ids, shared_folder, table
 
 #: Several stages keep state no SQL expresses (fingerprint components, edit distances, a trained tagger).
@@ -32,8 +32,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each component of near copies: five-word shingles, similarity 0.8."""
-    first = near_copies.near_copies(docs).where("doc_id <=> component_id").select("doc_id").distinct()
+    """One document, that with the smallest id, of each component of linked fingerprints: three-word shingles, two bits."""
+    labelled = simhash.near_duplicates(docs, shingle=3, radius=2)
+    first = labelled.where("doc_id <=> component_id").select("doc_id").distinct()
     return keep_ids(docs, first, "doc_id")
 
 
