@@ -2,11 +2,27 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendframe.llm import byte_bpe, decontaminate, licenses, line_quality, perspectives, pii, quality_pu, simhash, suffix_dedup, token_files
+from spendframe.llm import (
+    byte_bpe,
+    conversation_repair,
+    decontaminate,
+    licenses,
+    line_quality,
+    merkle,
+    perspectives,
+    pii,
+    quality_pu,
+    secret_scan,
+    simhash,
+    suffix_dedup,
+    token_files,
+)
 from spendframe.llm.base import table
 
 
@@ -73,6 +89,48 @@ def op10_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seats.withColumn("mask", F.array_join(spans, ","))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) == 0
+    claim = merkle.leaf(*[F.col(c) for c in ("doc_id", "source", "lang")], F.try_add("n_chars", F.lit(1)), F.col("text"))
+    rows = merkle.manifest(docs, extra={"claim": F.when(tampered, claim)})
+    folded = merkle.fold(F.coalesce("claim", "leaf"), F.col("path"))
+    rows = rows.select("doc_id", "leaf", "subroot", "root", merkle.proof(F.col("path")).alias("proof_sha256"), folded.alias("folded_root"))
+    return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def damaged(convs: DataFrame) -> DataFrame:
+    """The conversations with the faults that op12 is to find: rows dropped, emptied, cut short, repeated, given to the user."""
+    rows = convs.select("conv_id", "turn", *[F.coalesce(F.col(c), F.lit(" ")).alias(c) for c in ("role", "text")])
+    key = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")])
+    rows = rows.withColumn("_case", F.pmod(F.crc32(key), F.lit(20))).where("_case <> 0")
+    text = F.when(F.col("_case") == 1, "").when(F.col("_case") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    role = F.when(F.col("_case") == 4, "user").otherwise(F.col("role"))
+    copies = F.sequence(F.lit(1), F.when(F.col("_case") == 3, 2).otherwise(1))
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(copies).alias("_copy")).drop("_copy")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs = table(spark, sf_dir, "conversations")
+    counted = conversation_repair.account(conversation_repair.repair(damaged(convs))).withColumnRenamed("conv_id", "_conv")
+    every = convs.select("conv_id").distinct().join(counted, F.col("conv_id").eqNullSafe(F.col("_conv")), "left").drop("_conv")
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return every.na.fill(0, counts).na.fill({"audit": "", "repaired_sha256": hashlib.sha256().hexdigest()})
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+
+    def listed(column: str):
+        return F.array_join(F.transform(column, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, secret_scan.PATTERNS), F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
 REGISTRY = {f.__name__: f for f in (
-    op1_byte_bpe, op2_simhash, op3_suffix_dedup, op4_quality_pu, op5_token_files, op6_pii, op7_decontaminate, op8_line_quality, op9_license_scan, op10_perspectives
+    op1_byte_bpe, op2_simhash, op3_suffix_dedup, op4_quality_pu, op5_token_files, op6_pii, op7_decontaminate, op8_line_quality, op9_license_scan, op10_perspectives,
+    op11_merkle, op12_conversation_repair, op13_secret_scan
 )}
