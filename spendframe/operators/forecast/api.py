@@ -16,7 +16,7 @@ from spendframe.functions.dates import forecast_day
 from spendframe.functions.numbers import mean_of_present, nan_to_null
 from spendframe.operators.clean import long_enough, share_source
 from spendframe.operators.forecast import closed_forms as cf
-from spendframe.operators.forecast import numeric, trees
+from spendframe.operators.forecast import auto_order, likelihood, numeric, trees
 from spendframe.operators.forecast.options import ForecastOptions
 from spendframe.operators.spine import GRAIN, LAST, grain_of, horizon
 from spendframe.params import FORECAST_COLUMNS, FORECAST_METHODS, require_columns
@@ -73,8 +73,20 @@ def fit(
 
     fitted = numbered.groupBy(*series_cols).agg(*[column.alias(name) for name, column in state.items()])
     fitted = fitted.filter(F.col("row_count") >= options.min_points).withColumn(HORIZON, horizon(F.col(GRAIN)))
+    if options.darts_family == "auto_order":
+        fitted = auto_order.choose(
+            fitted, series_cols=series_cols, values=VALUES, steps=HORIZON,
+            max_order=options.max_order, max_differences=options.max_differences, period=options.auto_seasonal_periods,
+        )
     models = _model_columns(rows, options, series_cols=series_cols, date_col=date_col, value_col=value_col)
-    return fitted.withColumns(models).drop(VALUES, DAYS)
+    return fitted.withColumns(models).drop(VALUES, DAYS, auto_order.FORECAST)
+
+
+def _arma_column(options: ForecastOptions, order, seasonal=(0, 0, 0, 1)) -> Column:
+    values, steps = F.col(VALUES), F.col(HORIZON)
+    if options.arma_estimator == "likelihood":
+        return likelihood.forecast_column(values, steps, order, seasonal)
+    return numeric.sarima_column(values, steps, order, seasonal, options.first_stage_lags)
 
 
 def _model_columns(rows, options, *, series_cols, date_col, value_col) -> dict[str, Column]:
@@ -86,11 +98,9 @@ def _model_columns(rows, options, *, series_cols, date_col, value_col) -> dict[s
             values, options.hw_alpha, options.hw_beta, options.hw_gamma, options.hw_seasonal_periods
         )
     if "arima" in options.methods:
-        columns["_arima"] = numeric.arima_column(values, steps, options.arima_order, options.first_stage_lags)
+        columns["_arima"] = _arma_column(options, options.arima_order)
     if "sarima" in options.methods:
-        columns["_sarima"] = numeric.sarima_column(
-            values, steps, options.sarima_order, options.sarima_seasonal_order, options.first_stage_lags
-        )
+        columns["_sarima"] = _arma_column(options, options.sarima_order, options.sarima_seasonal_order)
     if "prophet" in options.methods:
         future = F.transform(
             F.sequence(F.lit(1), steps), lambda h: F.unix_date(forecast_day(F.col(LAST), h, F.col(GRAIN)))
@@ -108,9 +118,9 @@ def _model_columns(rows, options, *, series_cols, date_col, value_col) -> dict[s
         )
     family = options.darts_family
     if family == "arima":
-        columns["_darts"] = numeric.arima_column(values, steps, (1, 1, 1), options.first_stage_lags)
+        columns["_darts"] = _arma_column(options, (1, 1, 1))
     elif family == "auto_order":
-        columns["_darts"] = numeric.auto_order_column(values, steps, options.max_order, options.max_differences, options.first_stage_lags)
+        columns["_darts"] = F.col(auto_order.FORECAST)
     elif family == "lag_linear":
         columns["_darts"] = numeric.lag_regression_column(values, steps, options.lags)
     elif family in _TRAINED_FAMILIES:

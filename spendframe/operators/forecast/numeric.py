@@ -8,8 +8,7 @@ The ordered recursions could be folds (``aggregate``) in the JVM, but a fold is
 copies its arrays at every element.  On 4,000 series of 730 days and 8 cores, fitting the four
 standard methods took 9.0 s with a fold and 5.1 s this way; smoothing at each date 8.2 s and 3.1 s.
 
-The regressions are least-squares stand-ins for maximum-likelihood or sampled fits and will not
-give those libraries' digits.  A fit that is not possible (too few rows, singular, not finite)
+The models here are least-squares fits; ``likelihood`` has the exact ones.  A fit that is not possible (too few rows, singular, not finite)
 gives NULL, as a failed model run does.
 """
 
@@ -232,27 +231,6 @@ def seasonal_arima(values, steps: int, order, seasonal, extra: int = 1) -> np.nd
     return _undo(levels, gaps, _arma_extend(x - mean, shocks, ar, ma, coefficients, steps) + mean)
 
 
-def auto_order(values, steps: int, max_order: int = 2, max_differences: int = 2, extra: int = 1) -> np.ndarray | None:
-    """Difference as often as it lowers the spread (``max_differences`` at most), then lowest AIC over
-    p and q up to ``max_order``."""
-    spreads = [float(np.std(np.diff(values, d))) for d in range(max_differences + 1)]
-    d = int(np.argmin(spreads))
-    x = np.diff(values, d)
-    x = x - (0.0 if d else x.mean())
-    best = None
-    for p in range(max_order + 1):
-        for q in range(max_order + 1):
-            fitted = _arma_fit(x, list(range(1, p + 1)), list(range(1, q + 1)), extra)
-            if fitted is None:
-                continue
-            score = fitted[3] * np.log(max(fitted[2], 1e-12)) + 2 * (p + q + 1)
-            if best is None or score / fitted[3] < best[0]:
-                best = (score / fitted[3], p, q)
-    if best is None:
-        return None
-    return seasonal_arima(values, steps, (best[1], d, best[2]), (0, 0, 0, 1), extra)
-
-
 # -- trend plus Fourier seasons ---------------------------------------------------------------
 
 
@@ -323,10 +301,6 @@ def sarima_column(values: Column, steps: Column, order, seasonal, extra: int = 1
     return _per_series(lambda v, h: seasonal_arima(v, h, order, seasonal, extra))(values, steps)
 
 
-def auto_order_column(values: Column, steps: Column, max_order: int = 2, max_differences: int = 2, extra: int = 1) -> Column:
-    return _per_series(lambda v, h: auto_order(v, h, max_order, max_differences, extra))(values, steps)
-
-
 def fourier_column(values: Column, steps: Column, days: Column, future: Column, **settings) -> Column:
     return _per_series(lambda *row: fourier_trend(*row, **settings))(values, steps, days, future)
 

@@ -27,9 +27,11 @@ class ForecastOptions:  # default values are fixed values
     ``darts_algorithm`` switches the ``darts`` column on and picks its model family; an unknown
     name falls back to exponential smoothing with a warning.
 
-    ``first_stage_lags``: lags beyond the model's own in the autoregression that estimates the shocks
-    of an ARMA; a series too short for it has no forecast.  ``max_order`` and ``max_differences`` bound
-    the automatic order.  ``yearly``, ``weekly`` and ``daily`` are obeyed whatever the history's length
+    ``arma_estimator``: "likelihood" (exact, by a Kalman filter) or "least_squares" (two stages, every
+    lag of a seasonal product free).  ``first_stage_lags``, of the latter: lags beyond the model's own in
+    the autoregression that estimates the shocks.  A series too short for the model has no forecast.
+    ``max_order`` and ``max_differences`` bound the automatic order, ``auto_seasonal_periods`` is its season
+    (1: none).  ``yearly``, ``weekly`` and ``daily`` are obeyed whatever the history's length
     (daily terms are constant on daily series).  ``trees`` and ``tree_depth`` shape both tree families,
     which are one model over all series: adding a series changes the others' forecasts.
     """
@@ -48,9 +50,11 @@ class ForecastOptions:  # default values are fixed values
     arima_order: tuple[int, ...] | str = (1, 1, 1)
     sarima_order: tuple[int, ...] | str = (1, 1, 1)
     sarima_seasonal_order: tuple[int, ...] | str = (1, 1, 1, 12)
+    arma_estimator: str = "likelihood"
     first_stage_lags: int = 1
     max_order: int = 2
     max_differences: int = 2
+    auto_seasonal_periods: int = 1
     yearly: bool = True
     weekly: bool = False
     daily: bool = False
@@ -65,10 +69,11 @@ class ForecastOptions:  # default values are fixed values
             choice(method, FORECAST_METHODS, "method")
         for name, length in (("arima_order", 3), ("sarima_order", 3), ("sarima_seasonal_order", 4)):
             object.__setattr__(self, name, model_order(getattr(self, name), length))
+        choice(self.arma_estimator, ("likelihood", "least_squares"), "arma_estimator")
         for name in ("es_alpha", "hw_alpha", "hw_beta", "hw_gamma"):
             if not 0.0 <= getattr(self, name) <= 1.0:
                 raise ValueError(f"{name} must lie between 0 and 1")
-        for name in ("sma_window", "hw_seasonal_periods", "min_points", "lags", "trees", "tree_depth"):
+        for name in ("sma_window", "hw_seasonal_periods", "min_points", "lags", "trees", "tree_depth", "auto_seasonal_periods"):
             if getattr(self, name) < 1:
                 raise ValueError(f"{name} must be at least 1")
         if self.darts_algorithm is not None:

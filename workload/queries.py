@@ -275,7 +275,7 @@ def forecast_ar1_diff(spark, sf):
 
 @query
 def forecast_arima_110(spark, sf):
-    return one_method(line_daily(spark, sf), "arima", arima_order=(1, 1, 0))
+    return one_method(line_daily(spark, sf), "arima", arima_order=(1, 1, 0), arma_estimator="least_squares")
 
 
 @query
