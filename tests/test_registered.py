@@ -8,7 +8,6 @@ from workload.queries import REGISTRY
 
 ROWS_ONLY = {
     "anomaly_fitted_trend",
-    "forecast_arima",
     "forecast_sarima",
     "forecast_fourier_trend",
     "forecast_lag_linear",

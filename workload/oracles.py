@@ -209,6 +209,64 @@ x AS (SELECT *, {DAYS} FROM f)
 SELECT service, {DAILY_STEP} AS period_start, round(v + dl * phi * (1 - pow(phi, h)) / (1 - phi), 4) AS value FROM x"""
 
 
+#: The exact likelihood of x ~ ARMA(1, 1) by its innovations: errors e with variances f of one for a variance of one,
+#: f[0] from the stationary variance; -2/n times the log-likelihood, but for constants.
+ARMA_11 = """list_reduce(list_prepend(
+    struct_pack(x := x[1], e := x[1], f := greatest((1 + 2 * {t} * {p} + {t} * {t}) / (1 - {p} * {p}), 1e-9), s := 0.0::DOUBLE, g := 0.0::DOUBLE),
+    list_transform(x[2:], lambda v: struct_pack(x := v, e := 0.0::DOUBLE, f := 0.0::DOUBLE, s := 0.0::DOUBLE, g := 0.0::DOUBLE))),
+  lambda a, b: struct_pack(x := b.x, e := b.x - {p} * a.x - {t} * a.e / a.f, f := 1 + {t} * {t} - {t} * {t} / a.f,
+    s := a.s + a.e * a.e / a.f, g := a.g + ln(a.f)))"""
+
+
+def arma_11(differences: str, undo: str, days: str, step: str) -> str:
+    """Best (phi, theta) by a compass search from the best point of a grid, then the forecast.
+
+    ``differences``: one row a service with ``x`` (the differenced series) and what ``undo`` needs."""
+    value = ARMA_11.format(p="p", t="t")
+    score = f"""(SELECT ln((r.s + r.e * r.e / r.f) / len(x)) + (r.g + ln(r.f)) / len(x) FROM (SELECT {value} AS r))"""
+    moves = "(VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1), (1, 1), (1, -1), (-1, 1), (-1, -1)) AS m(i, j)"
+    return f"""WITH RECURSIVE z AS ({differences}),
+grid AS (SELECT service, x, a.v / 10.0 AS p, b.v / 10.0 AS t FROM z, range(-9, 10) AS a(v), range(-9, 10) AS b(v)),
+first AS (SELECT service, x, arg_min(struct_pack(p := p, t := t), y) AS spot FROM (SELECT *, {score} AS y FROM grid) GROUP BY ALL),
+search AS (
+  SELECT service, x, spot.p AS p, spot.t AS t, 0.05::DOUBLE AS h FROM first
+  UNION ALL
+  SELECT service, x, best.p, best.t, CASE WHEN best.i = 0 AND best.j = 0 THEN h / 2 ELSE h END FROM (
+    SELECT service, x, h, arg_min(struct_pack(p := p, t := t, i := i, j := j), (y, abs(i) + abs(j), i, j)) AS best FROM (
+      SELECT *, {score} AS y FROM (
+        SELECT service, x, h, i, j, greatest(least(p + i * h, 0.9999), -0.9999) AS p, greatest(least(t + j * h, 0.9999), -0.9999) AS t
+        FROM search, {moves} WHERE h > 1e-9)) GROUP BY service, x, h)
+), done AS (SELECT service, x, p, t FROM search WHERE h <= 1e-9),
+ends AS (SELECT service, p, x, p * r.x + t * r.e / r.f AS next FROM (SELECT *, {value} AS r FROM done)),
+f AS (SELECT z.*, e.p, e.next FROM ends e JOIN z ON e.service = z.service), steps AS (SELECT *, {days} FROM f)
+SELECT service, {step} AS period_start, {undo} AS value FROM steps"""
+
+
+ARIMA_111 = arma_11(
+    f"""SELECT service, max(period_start) AS last, arg_max(cost, k) AS v, list(d ORDER BY k) FILTER (d IS NOT NULL) AS x
+    FROM (SELECT *, cost - lag(cost) OVER (PARTITION BY service ORDER BY k) AS d FROM ({numbered(LINE_DAILY)})) GROUP BY service""",
+    "round(v + next * (1 - pow(p, h)) / (1 - p), -2)", DAYS, DAILY_STEP,
+)
+#: differenced at lag 12 and at lag 1: (1, 1, 1)(0, 1, 0, 12)
+SARIMA_111_010 = arma_11(
+    f"""SELECT service, max(period_start) AS last, list(cost ORDER BY k) AS c, list(d ORDER BY k) FILTER (d IS NOT NULL) AS x
+    FROM (SELECT *, s - lag(s) OVER (PARTITION BY service ORDER BY k) AS d FROM (
+      SELECT *, cost - lag(cost, 12) OVER (PARTITION BY service ORDER BY k) AS s FROM ({numbered(MONTHLY)}))) GROUP BY service""",
+    "round(c[len(c) - 12 + h] + c[len(c)] - c[len(c) - 12] + next * (1 - pow(p, h)) / (1 - p), -3)", MONTHS, MONTHLY_STEP,
+)
+#: AR(1) of differences: the derivative of its exact likelihood is a cubic with one root inside (-1, 1), found by halving
+ARIMA_110_EXACT = f"""WITH RECURSIVE k AS ({numbered(LINE_DAILY)}),
+d AS (SELECT *, cost - lag(cost) OVER (PARTITION BY service ORDER BY k) AS d FROM k),
+e AS (SELECT *, lag(d) OVER (PARTITION BY service ORDER BY k) AS d1, row_number() OVER (PARTITION BY service ORDER BY k DESC) AS back FROM d),
+f AS (SELECT service, max(period_start) AS last, arg_max(cost, k) AS v, arg_max(d, k) AS dl, count(d) AS n,
+  sum(d * d) AS a, sum(d * d1) AS b, sum(d1 * d1) FILTER (k > 2) AS c FROM e GROUP BY 1),
+g AS (SELECT *, -1.0::DOUBLE AS low, 1.0::DOUBLE AS high, 0 AS i FROM f
+  UNION ALL SELECT * EXCLUDE (m, y) REPLACE (CASE WHEN y > 0 THEN m ELSE low END AS low, CASE WHEN y > 0 THEN high ELSE m END AS high, i + 1 AS i)
+  FROM (SELECT *, ((n - 1) * c * m - (n - 2) * b) * m * m - (n * c + a) * m + n * b AS y FROM (SELECT *, (low + high) / 2 AS m FROM g WHERE i < 60))),
+h AS (SELECT *, (low + high) / 2 AS phi FROM g WHERE i = 60), x AS (SELECT *, {DAYS} FROM h)
+SELECT service, {DAILY_STEP} AS period_start, round(v + dl * phi * (1 - pow(phi, h)) / (1 - phi), 1) AS value FROM x"""
+
+
 def report_sql(series: str, key: str = "service", name: str = "Service") -> str:
     return f"""SELECT CAST(period_start AS VARCHAR) AS "PeriodStart", {key} AS "{name}",
 printf('%.6f', cost) AS "UnblendedCost" FROM ({series})"""
@@ -294,6 +352,9 @@ def oracle_sql() -> dict[str, str]:
         ),
         "forecast_ar1_diff": ARIMA_110,
         "forecast_arima_110": ARIMA_110,
+        "forecast_arima_110_exact": ARIMA_110_EXACT,
+        "forecast_arima": ARIMA_111,
+        "forecast_sarima_111_010": SARIMA_111_010,
         "forecast_seasonal_naive": f"""WITH k AS ({numbered(MONTHLY)}),
             f AS (SELECT service, max(period_start) AS last, list(cost ORDER BY k) AS v FROM k GROUP BY 1),
             x AS (SELECT *, {MONTHS} FROM f)
