@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spendframe.functions.numbers import nan_to_null, percent_change
-from spendframe.operators.forecast.numeric import fourier_column, smoothing_levels_column
+from spendframe.operators.forecast.numeric import smoothing_levels_column
+from spendframe.operators.forecast.sparse_trend import Settings, trend_column
 from spendframe.params import ANOMALY_PERIODS, iso_date
 
 
@@ -67,16 +68,8 @@ def fitted_trend(
 
     def model(values: Column, dates: Column) -> Column:
         days = F.transform(dates, lambda d: F.unix_date(d.cast("date")))
-        return fourier_column(
-            values,
-            F.size(values),
-            days,
-            days,
-            yearly=yearly,
-            weekly=weekly,
-            changepoint_scale=changepoint_scale,
-            season_scale=season_scale,
-        )
+        settings = Settings(yearly=yearly, weekly=weekly, changepoint_scale=changepoint_scale, season_scale=season_scale)
+        return trend_column(values, days, days, settings)
 
     return _at_each_date(df, model, series_cols=series_cols, date_col=date_col, value_col=value_col)
 

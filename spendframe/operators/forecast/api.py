@@ -16,7 +16,7 @@ from spendframe.functions.dates import forecast_day
 from spendframe.functions.numbers import mean_of_present, nan_to_null
 from spendframe.operators.clean import long_enough, share_source
 from spendframe.operators.forecast import closed_forms as cf
-from spendframe.operators.forecast import auto_order, likelihood, numeric, trees
+from spendframe.operators.forecast import auto_order, likelihood, numeric, sparse_trend, trees
 from spendframe.operators.forecast.options import ForecastOptions
 from spendframe.operators.spine import GRAIN, LAST, grain_of, horizon
 from spendframe.params import FORECAST_COLUMNS, FORECAST_METHODS, require_columns
@@ -82,6 +82,10 @@ def fit(
     return fitted.withColumns(models).drop(VALUES, DAYS, auto_order.FORECAST)
 
 
+def trend_settings(options: ForecastOptions) -> sparse_trend.Settings:
+    return sparse_trend.Settings(options.yearly, options.weekly, options.daily, options.changepoint_scale, options.season_scale)
+
+
 def _arma_column(options: ForecastOptions, order, seasonal=(0, 0, 0, 1)) -> Column:
     values, steps = F.col(VALUES), F.col(HORIZON)
     if options.arma_estimator == "likelihood":
@@ -105,17 +109,7 @@ def _model_columns(rows, options, *, series_cols, date_col, value_col) -> dict[s
         future = F.transform(
             F.sequence(F.lit(1), steps), lambda h: F.unix_date(forecast_day(F.col(LAST), h, F.col(GRAIN)))
         )
-        columns["_prophet"] = numeric.fourier_column(
-            values,
-            steps,
-            F.col(DAYS),
-            future,
-            yearly=options.yearly,
-            weekly=options.weekly,
-            daily=options.daily,
-            changepoint_scale=options.changepoint_scale,
-            season_scale=options.season_scale,
-        )
+        columns["_prophet"] = sparse_trend.trend_column(values, F.col(DAYS), future, trend_settings(options))
     family = options.darts_family
     if family == "arima":
         columns["_darts"] = _arma_column(options, (1, 1, 1))

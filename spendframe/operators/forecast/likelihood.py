@@ -30,6 +30,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 LIMIT = 0.9999
 CELLS = 4_000_000
 STEADY = 1e-14
+#: How far a parameter (as searched for) is moved to see whether the likelihood falls.
+NUDGE = 1e-3
 
 
 @dataclass(frozen=True)
@@ -185,7 +187,10 @@ def run_filter(data: np.ndarray, lengths: np.ndarray, phi: np.ndarray, theta: np
 
 @dataclass
 class Fit:
-    """What the search found, one column a series: the four coefficient tables, mean, variance, log-likelihood and state."""
+    """What the search found, one column a series: the four coefficient tables, mean, variance, log-likelihood and state.
+
+    ``margin`` is how much of the log-likelihood the best of all small moves of one parameter loses; below
+    zero, the search has not ended at a maximum."""
 
     tables: list[np.ndarray]
     mean: np.ndarray
@@ -193,6 +198,7 @@ class Fit:
     loglik: np.ndarray
     phi: np.ndarray
     state: np.ndarray
+    margin: np.ndarray
 
 
 def difference(x: np.ndarray, gaps: list[int]) -> list[np.ndarray]:
@@ -235,11 +241,14 @@ def fit(series: list[np.ndarray], order: Order) -> Fit:
         _, _, _, variance, logs, _ = filtered(rows, points)
         return 0.5 * (np.log(variance) + logs / lengths[rows])
 
-    points, _ = minimize(objective, len(series), start_points(order.parameters))
-    tables, phi, mean, variance, logs, state = filtered(np.arange(len(series)), points)
+    points, low = minimize(objective, len(series), start_points(order.parameters))
+    every, moves = np.arange(len(series)), np.concatenate([np.eye(order.parameters), -np.eye(order.parameters)]) * NUDGE
+    around = objective(np.repeat(every, len(moves)), (points[:, None] + moves).reshape(len(every) * len(moves), order.parameters))
+    margin = lengths * (around.reshape(len(every), len(moves)) - low[:, None]).min(axis=1, initial=np.inf)
+    tables, phi, mean, variance, logs, state = filtered(every, points)
     real = variance * spread**2
     loglik = -0.5 * (lengths * (np.log(2 * np.pi * real) + 1) + logs)
-    return Fit(tables, center + mean * spread, real, loglik, phi, state * spread)
+    return Fit(tables, center + mean * spread, real, loglik, phi, state * spread, margin)
 
 
 def ahead(found: Fit, steps: int) -> np.ndarray:
@@ -300,7 +309,7 @@ def forecast_column(values: Column, steps: Column, order, seasonal=(0, 0, 0, 1))
     return F.pandas_udf(run, "array<double>")(values, steps)
 
 
-MODEL = "ar array<double>, seasonal_ar array<double>, ma array<double>, seasonal_ma array<double>, mean double, variance double, loglik double"
+MODEL = "ar array<double>, seasonal_ar array<double>, ma array<double>, seasonal_ma array<double>, mean double, variance double, loglik double, margin double"
 
 
 def model_column(values: Column, order, seasonal=(0, 0, 0, 1)) -> Column:
@@ -308,11 +317,11 @@ def model_column(values: Column, order, seasonal=(0, 0, 0, 1)) -> Column:
     model = Order.of(order, seasonal)
 
     def run(column: pd.Series) -> pd.DataFrame:
-        rows: list[tuple] = [(None,) * 7] * len(column)
+        rows: list[tuple] = [(None,) * 8] * len(column)
         with np.errstate(all="ignore"):
             for index, _, found in fitted(_arrays(column), model):
                 for at, k in enumerate(index):
-                    rows[k] = (*(t[:, at] for t in found.tables), found.mean[at], found.variance[at], found.loglik[at])
+                    rows[k] = (*(t[:, at] for t in found.tables), found.mean[at], found.variance[at], found.loglik[at], found.margin[at])
         return pd.DataFrame(rows, columns=[part.split()[0] for part in MODEL.split(", ")])
 
     return F.pandas_udf(run, MODEL)(values)

@@ -46,14 +46,11 @@ def _per_series(model: Callable[..., np.ndarray | None]) -> Callable[..., Column
             results.append(None if forecast is None else np.asarray(forecast, dtype=float))
         return pd.Series(results, dtype=object)
 
-    # the signature tells Spark the UDF kind, so one wrapper is spelled per arity
+    # the signature tells Spark the UDF kind
     def one(values: pd.Series, steps: pd.Series) -> pd.Series:
         return run(values, steps)
 
-    def dated(values: pd.Series, steps: pd.Series, days: pd.Series, future: pd.Series) -> pd.Series:
-        return run(values, steps, days, future)
-
-    return lambda *cols: F.pandas_udf(one if len(cols) == 2 else dated, _DOUBLES)(*cols)
+    return lambda *cols: F.pandas_udf(one, _DOUBLES)(*cols)
 
 
 # -- ordered recursions -----------------------------------------------------------------------
@@ -231,46 +228,6 @@ def seasonal_arima(values, steps: int, order, seasonal, extra: int = 1) -> np.nd
     return _undo(levels, gaps, _arma_extend(x - mean, shocks, ar, ma, coefficients, steps) + mean)
 
 
-# -- trend plus Fourier seasons ---------------------------------------------------------------
-
-
-def fourier_trend(
-    values, steps, days, future, *, yearly, weekly, changepoint_scale, season_scale, daily=False
-) -> np.ndarray:
-    """Ridge regression on a line, hinges over the first 80 % of the history, and Fourier pairs.
-
-    Scales act as prior deviations: a smaller one means a heavier penalty; ``inf`` means none.
-    There are at most 25 hinges, evenly spread, and two fewer than values.
-    """
-    days, future = np.asarray(days, dtype=float), np.asarray(future, dtype=float)
-    span = max(days[-1] - days[0], 1.0)
-    count = min(25, max(len(values) - 2, 0)) if np.isfinite(changepoint_scale) else 0
-    hinges = np.linspace(0.0, 0.8, count + 2)[1:-1]
-    chosen = ((yearly, 365.25, 10), (weekly, 7.0, 3), (daily, 1.0, 4))
-    seasons = [(length, pairs) for on, length, pairs in chosen if on]
-
-    def design(at: np.ndarray) -> np.ndarray:
-        t = (at - days[0]) / span
-        columns = [np.ones_like(t), t, *(np.maximum(t - h, 0.0) for h in hinges)]
-        for length, pairs in seasons:
-            for k in range(1, pairs + 1):
-                angle = 2.0 * np.pi * k * at / length
-                columns += [np.sin(angle), np.cos(angle)]
-        return np.column_stack(columns)
-
-    x = design(days)
-    scale = float(np.abs(values).max()) or 1.0
-    y = values / scale
-    line = x[:, :2]
-    noise = float(np.std(y - line @ np.linalg.lstsq(line, y, rcond=None)[0]))
-    prior = np.full(x.shape[1], np.inf)
-    prior[2 : 2 + len(hinges)] = changepoint_scale
-    prior[2 + len(hinges) :] = season_scale
-    rows = np.diag(noise / prior)
-    beta = np.linalg.lstsq(np.vstack([x, rows]), np.concatenate([y, np.zeros(len(prior))]), rcond=None)[0]
-    return design(future) @ beta * scale
-
-
 # -- linear regression on lags ----------------------------------------------------------------
 
 
@@ -301,9 +258,5 @@ def sarima_column(values: Column, steps: Column, order, seasonal, extra: int = 1
     return _per_series(lambda v, h: seasonal_arima(v, h, order, seasonal, extra))(values, steps)
 
 
-def fourier_column(values: Column, steps: Column, days: Column, future: Column, **settings) -> Column:
-    return _per_series(lambda *row: fourier_trend(*row, **settings))(values, steps, days, future)
-
-
 def lag_regression_column(values: Column, steps: Column, lags: int) -> Column:
     return _per_series(lambda v, h: lag_regression(v, h, lags))(values, steps)

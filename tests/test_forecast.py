@@ -8,7 +8,7 @@ from helpers import NAMES, day, days_from, months_from
 from pyspark.sql import functions as F
 
 from spendframe.operators import clean, combine, spine
-from spendframe.operators.forecast import ForecastOptions, fit, forecast_rows, forecast_table, numeric
+from spendframe.operators.forecast import ForecastOptions, fit, forecast_rows, forecast_table, numeric, sparse_trend
 from spendframe.operators.forecast import closed_forms as cf
 from spendframe.operators.forecast import trees
 from spendframe.params import FORECAST_COLUMNS
@@ -288,9 +288,8 @@ def test_sinusoid_is_recovered_without_penalty():
     days = np.arange(19_000, 19_000 + 900)
     wave = lambda d: 50 + 7 * np.sin(2 * np.pi * d / 365.25) + 3 * np.cos(4 * np.pi * d / 365.25)
     future = np.arange(days[-1] + 1, days[-1] + 366)
-    got = numeric.fourier_trend(
-        wave(days), 365, days, future, yearly=True, weekly=False, changepoint_scale=math.inf, season_scale=math.inf
-    )
+    settings = sparse_trend.Settings(changepoint_scale=math.inf, season_scale=math.inf)
+    got = sparse_trend.fit([wave(days)], [days], settings)[0].at(future, settings)
     assert got == pytest.approx(wave(future), abs=1e-6)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spendframe.operators import clean, combine, events
 from spendframe.operators.anomalies import change_since
-from spendframe.operators.forecast import ForecastOptions, forecast_table, numeric
+from spendframe.operators.forecast import ForecastOptions, forecast_table, numeric, sparse_trend
 from spendframe.sources import budgets, files, reports
 
 from helpers import day, days_from
@@ -98,11 +98,14 @@ def test_late_bend_in_a_short_history():
 
     days = np.arange(20.0)
     values = np.where(days < 14, days, 14 + 5 * (days - 14))
-    settings = {"yearly": False, "weekly": False, "changepoint_scale": 1e6, "season_scale": 10.0}
-    got = numeric.fourier_trend(values, 3, days, days[-1] + np.arange(1, 4), **settings)
-    assert abs(np.diff(got) - 5).max() < 0.1
-    yearly = numeric.fourier_trend(np.sin(days), 3, days, days[-1] + np.arange(1, 4), **{**settings, "yearly": True})
-    assert not np.allclose(yearly, numeric.fourier_trend(np.sin(days), 3, days, days[-1] + np.arange(1, 4), **settings))
+    settings = sparse_trend.Settings(yearly=False, changepoint_scale=1e6)
+
+    def ahead(v, own):
+        return sparse_trend.fit([v], [days], own)[0].at(days[-1] + np.arange(1, 4), own)
+
+    assert abs(np.diff(ahead(values, settings)) - 5).max() < 0.1
+    yearly = sparse_trend.Settings(changepoint_scale=1e6)
+    assert not np.allclose(ahead(np.sin(days), yearly), ahead(np.sin(days), settings))
 
 
 def test_product_lags():

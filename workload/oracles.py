@@ -364,6 +364,8 @@ def oracle_sql() -> dict[str, str]:
               regr_intercept(cost, period_start - DATE '1995-01-01') AS b FROM s GROUP BY 1),
             x AS (SELECT *, {DAYS} FROM f)
             SELECT service, {DAILY_STEP} AS period_start, round(b + a * ({DAILY_STEP} - DATE '1995-01-01'), 2) AS value FROM x""",
+        "sarima_models": f"SELECT DISTINCT service, true AS inside, true AS at_maximum, 1 AS n_ar FROM ({MONTHLY})",
+        "trend_models": f"SELECT DISTINCT service, 25 AS n_bends, true AS mostly_zero, true AS optimal FROM ({LINE_DAILY})",
         "lag_features": f"""SELECT * FROM (SELECT service, period_start, cost, {", ".join(
             f"lag(cost, {i}) OVER (PARTITION BY service ORDER BY period_start, cost) AS lag_{i}" for i in range(1, 13)
         )} FROM ({LINE_DAILY})) WHERE lag_12 IS NOT NULL""",

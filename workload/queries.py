@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from spendframe.functions.numbers import amount_text
 from spendframe.operators import anomalies, budgets, clean, combine, events, generate, spine
 from spendframe.operators.forecast import closed_forms as cf
-from spendframe.operators.forecast import forecast_rows, trees
+from spendframe.operators.forecast import forecast_rows, models, trees
 from spendframe.operators.forecast import forecast_table as actuals_and_forecasts
 from spendframe.operators.forecast.options import ForecastOptions
 from spendframe.params import FORECAST_COLUMNS
@@ -319,6 +319,25 @@ def forecast_fourier_trend(spark, sf):
     return one_method(line_daily(spark, sf), "prophet")
 
 
+@query
+def sarima_models(spark, sf):
+    """Whether the fitted product is at a maximum of the likelihood and keeps within its bounds, series by series."""
+    found = models.arma_models(priority_monthly(spark, sf), (1, 1, 1), (1, 1, 1, 12), **SERIES)
+    own = [F.col(c)[0] for c in ("ar", "seasonal_ar", "ma", "seasonal_ma")]
+    inside = F.array_max(F.array(*map(F.abs, own))) < 1
+    return found.select("service", inside.alias("inside"), (F.col("margin") > -1e-4).alias("at_maximum"), F.size("ar").alias("n_ar"))
+
+
+@query
+def trend_models(spark, sf):
+    """Whether every bend obeys its optimality condition, and most are exactly zero."""
+    found = models.trend_models(line_daily(spark, sf), **SERIES)
+    zeros = F.size(F.filter("bends", lambda b: b == 0))
+    return found.select(
+        "service", F.size("bends").alias("n_bends"), (zeros * 2 > F.size("bends")).alias("mostly_zero"), (F.col("worst_subgradient") < 1e-6).alias("optimal")
+    )
+
+
 @query
 def lag_features(spark, sf):
     return trees.lag_features(line_daily(spark, sf), **SERIES)
