@@ -16,14 +16,14 @@ from spendframe.functions.dates import forecast_day
 from spendframe.functions.numbers import mean_of_present, nan_to_null
 from spendframe.operators.clean import long_enough, share_source
 from spendframe.operators.forecast import closed_forms as cf
-from spendframe.operators.forecast import auto_order, likelihood, numeric, sparse_trend, trees
+from spendframe.operators.forecast import auto_order, likelihood, network, numeric, sparse_trend, trees
 from spendframe.operators.forecast.options import ForecastOptions
 from spendframe.operators.spine import GRAIN, LAST, grain_of, horizon
 from spendframe.params import FORECAST_COLUMNS, FORECAST_METHODS, require_columns
 from spendframe.session import settle, shared_folder
 
 STEP, HORIZON, VALUES, DAYS = "step", "_horizon", "_values", "_days"
-_ARRAY_METHODS = ("arima", "sarima", "prophet")
+_ARRAY_METHODS = ("arima", "sarima", "prophet", "neural_prophet")
 _TRAINED_FAMILIES = ("lag_forest", "lag_gbt")
 _MODEL_FAMILIES = ("arima", "auto_order", "lag_linear", *_TRAINED_FAMILIES)
 
@@ -68,7 +68,7 @@ def fit(
         state["constant_value"] = cf.constant_or_null(value)
     if _needs_values(options):
         state[VALUES] = cf.values_oldest_first(value)
-    if _uses(options, "prophet"):
+    if _uses(options, "prophet", "neural_prophet"):
         state[DAYS] = cf.days_oldest_first(date)
 
     fitted = numbered.groupBy(*series_cols).agg(*[column.alias(name) for name, column in state.items()])
@@ -105,10 +105,13 @@ def _model_columns(rows, options, *, series_cols, date_col, value_col) -> dict[s
         columns["_arima"] = _arma_column(options, options.arima_order)
     if "sarima" in options.methods:
         columns["_sarima"] = _arma_column(options, options.sarima_order, options.sarima_seasonal_order)
+    future = F.transform(F.sequence(F.lit(1), steps), lambda h: F.unix_date(forecast_day(F.col(LAST), h, F.col(GRAIN))))
+    if "neural_prophet" in options.methods:
+        shape = network.Shape(lags=options.network_lags, yearly=options.yearly, weekly=options.weekly, daily=options.daily)
+        constant = F.transform(F.sequence(F.lit(1), steps), lambda _: F.col("constant_value"))
+        trained = network.forecast_column(values, F.col(DAYS), future, shape)
+        columns["_neural_prophet"] = F.when(F.col("constant_value").isNotNull(), constant).otherwise(trained)
     if "prophet" in options.methods:
-        future = F.transform(
-            F.sequence(F.lit(1), steps), lambda h: F.unix_date(forecast_day(F.col(LAST), h, F.col(GRAIN)))
-        )
         columns["_prophet"] = sparse_trend.trend_column(values, F.col(DAYS), future, trend_settings(options))
     family = options.darts_family
     if family == "arima":
@@ -135,8 +138,6 @@ def _closed_form(method: str, options: ForecastOptions) -> Column | None:
         return cf.holt_winters_value(F.col("hw_state"), F.col("hw_level"), options.hw_seasonal_periods, step)
     if method == "theta":
         return cf.theta_value(options.theta, step)
-    if method == "neural_prophet":
-        return F.col("constant_value")
     return None
 
 

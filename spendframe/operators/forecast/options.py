@@ -32,7 +32,8 @@ class ForecastOptions:  # default values are fixed values
     the autoregression that estimates the shocks.  A series too short for the model has no forecast.
     ``max_order`` and ``max_differences`` bound the automatic order, ``auto_seasonal_periods`` is its season
     (1: none).  ``yearly``, ``weekly`` and ``daily`` are obeyed whatever the history's length
-    (daily terms are constant on daily series).  ``trees`` and ``tree_depth`` shape both tree families,
+    (daily terms are constant on daily series).  ``network_lags`` are those of the trained
+    network (fewer on a series of under four times as many rows).  ``trees`` and ``tree_depth`` shape both tree families,
     which are one model over all series: adding a series changes the others' forecasts.
     """
 
@@ -60,6 +61,7 @@ class ForecastOptions:  # default values are fixed values
     daily: bool = False
     changepoint_scale: float = 0.05
     season_scale: float = 10.0
+    network_lags: int = 14
     lags: int = 12
     trees: int = 20
     tree_depth: int = 5
@@ -73,7 +75,7 @@ class ForecastOptions:  # default values are fixed values
         for name in ("es_alpha", "hw_alpha", "hw_beta", "hw_gamma"):
             if not 0.0 <= getattr(self, name) <= 1.0:
                 raise ValueError(f"{name} must lie between 0 and 1")
-        for name in ("sma_window", "hw_seasonal_periods", "min_points", "lags", "trees", "tree_depth", "auto_seasonal_periods"):
+        for name in ("sma_window", "hw_seasonal_periods", "min_points", "network_lags", "lags", "trees", "tree_depth", "auto_seasonal_periods"):
             if getattr(self, name) < 1:
                 raise ValueError(f"{name} must be at least 1")
         if self.darts_algorithm is not None:

@@ -338,6 +338,11 @@ def trend_models(spark, sf):
     )
 
 
+@query
+def forecast_network(spark, sf):
+    return one_method(line_daily(spark, sf), "neural_prophet", weekly=True)
+
+
 @query
 def lag_features(spark, sf):
     return trees.lag_features(line_daily(spark, sf), **SERIES)
