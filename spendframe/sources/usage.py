@@ -84,6 +84,27 @@ def report_bounds(start, end, fallback: tuple) -> tuple:
     return (start, end) if start is not None else fallback
 
 
+#: Digits of exact amounts and of their sums; Spark's own sums of the former have 38 digits, the most there are.
+EXACT, EXACT_SUM = "decimal(28, 10)", f"decimal(28, {REPORT_DECIMALS})"
+
+
+def _fitting(value: Column, kind: str, was: Column, message: str) -> Column:
+    """``value`` as a decimal, an error where it doesn't fit; missing only where ``was`` is."""
+    held = value.try_cast(kind)
+    return F.when(held.isNull() & was.isNotNull(), F.raise_error(F.lit(message)).cast(kind)).otherwise(held)
+
+
+def exact_amount(cost: Column) -> Column:
+    """A cost as a decimal of ten places; NaN is missing, as everywhere, and what doesn't fit an error."""
+    plain = F.nullif(cost.cast("double"), F.lit(float("nan")))
+    return _fitting(cost, EXACT, plain, "a cost does not fit DECIMAL(28, 10)")
+
+
+def exact_sum(cost: Column) -> Column:
+    """The sum of exact amounts, whatever the order, at the report's decimals."""
+    return _fitting(F.try_sum(cost), EXACT_SUM, F.max(cost), "a sum of costs does not fit DECIMAL(28, 6)")
+
+
 def cost_by_period(
     usage: DataFrame,
     *,
@@ -96,11 +117,16 @@ def cost_by_period(
     period_col: str = "period_start",
     group_col: str | None = None,
     cost_col: str = "cost",
+    exact: bool = False,
 ) -> DataFrame:
     """Sum ``amount`` per period and group over ``[start, end)``.
 
     Amounts carry six decimals, as a cost report prints them.  That also takes out the last-bit
-    noise a floating sum picks up from the order in which partitions arrive.
+    noise a floating sum picks up from the order in which partitions arrive, up to about 10^9.
+
+    ``exact``: lines are taken as decimals of ten places and summed as such, so the order of partial
+    sums never matters and all six digits hold however large the sum; the result is DECIMAL(28, 6).
+    Lines or sums that don't fit (10^28 and 10^22) are an error, never a wrong or missing cost.
     """
     require_columns(usage, [ts_col])
     group = group or everything()
@@ -109,7 +135,9 @@ def cost_by_period(
     lines = lines.select(
         period_start(F.col(ts_col), grain).alias(period_col),
         group.key(lines).alias(group_col or group.name),
-        nan_to_null(cost.cast("double")).alias(cost_col),
+        (exact_amount(cost) if exact else nan_to_null(cost.cast("double"))).alias(cost_col),
     )
     sums = lines.groupBy(period_col, F.col(f"`{group_col or group.name}`"))
+    if exact:
+        return sums.agg(exact_sum(F.col(cost_col)).alias(cost_col))
     return sums.agg(F.round(F.sum(cost_col), REPORT_DECIMALS).alias(cost_col))

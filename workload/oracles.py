@@ -350,6 +350,8 @@ def oracle_sql() -> dict[str, str]:
             <= 1e-8 + 1e-5 * abs(arg_min(cost, k)) THEN arg_max(cost, k) END""",
             "kind, service",
         ),
+        "cost_exact_daily": """SELECT event_type AS service, CAST(ts AS DATE) AS period_start,
+            CAST(CAST(sum(CAST(value AS DECIMAL(28, 10))) AS DECIMAL(28, 6)) AS VARCHAR) AS cost FROM events GROUP BY 1, 2""",
         "forecast_ar1_diff": ARIMA_110,
         "forecast_arima_110": ARIMA_110,
         "forecast_arima_110_exact": ARIMA_110_EXACT,

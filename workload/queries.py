@@ -72,6 +72,12 @@ def cost_total_daily(spark, sf):
     return total_daily(spark, sf)
 
 
+@query
+def cost_exact_daily(spark, sf):
+    costs = cost_by_period(table(spark, sf, "events"), ts_col="ts", amount="value", group=dimension("event_type", "service"), exact=True)
+    return costs.withColumn("cost", F.col("cost").cast("string"))
+
+
 @query
 def cost_by_service_hourly(spark, sf):
     return cost_by_period(
