@@ -76,6 +76,19 @@ class EliasFano:
                 return self.base + ((place - index) << self.low_bits) + int(self._lows(index, index + 1)[0])
             size *= 2
 
+    def select_range(self, first: int, last: int) -> np.ndarray:
+        """Numbers ``first`` up to ``last``, from the directory entry before the first; no others are decoded."""
+        first, last = max(first, 0), max(last, 0)
+        if last <= first:
+            return np.empty(0, np.int64)
+        block, stop = first // SAMPLE, -(-last // SAMPLE)
+        low = int(self.directory[block])
+        high = int(self.directory[stop]) if stop < len(self.directory) else 8 * len(self.high)
+        bits = np.unpackbits(self.high[low // 8 : -(-high // 8)], bitorder="little")
+        bits[: low % 8] = 0
+        ones = np.flatnonzero(bits)[first - block * SAMPLE : last - block * SAMPLE].astype(np.int64) + low // 8 * 8
+        return self.base + ((ones - np.arange(first, last)) << self.low_bits) + self._lows(first, last)
+
     def all(self) -> np.ndarray:
         ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.count].astype(np.int64)
         return self.base + ((ones - np.arange(self.count)) << self.low_bits) + self._lows(0, self.count)

@@ -10,10 +10,12 @@ file, says which files count and how many ids come before each.
 
 from __future__ import annotations
 
+import functools
 import struct
 import unicodedata
 import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -33,8 +35,11 @@ HEADER = struct.Struct("<8sQQQB")  # magic, documents, of those without id, ids,
 #: The pattern of the vocabulary's words, and the strings it gives ids of their own.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 SPECIAL = ("<|startoftext|>", "<|endoftext|>")
-#: Words a task remembers before it starts afresh.
-REMEMBERED = 1 << 21
+#: Characters up to U+00FF on which splitting engines may differ, and chunks a task remembers before it starts afresh.
+ODD_LATIN = bytes(c for c in range(0x100) if unlike(chr(c)))
+REMEMBERED = 1 << 19
+#: Documents whose boundaries are read at a time.
+AT_ONCE = 4096
 
 
 def _byte_letters() -> dict[int, int]:
@@ -44,32 +49,59 @@ def _byte_letters() -> dict[int, int]:
     return {b: b for b in plain} | {b: 0x100 + k for k, b in enumerate(other)}
 
 
-def encoder(path: str) -> Callable[[str], list[int]]:
-    """A function from text to ids, equal to the library's own on whole texts.
+class _Words(dict):
+    """Ids of the vocabulary's words, as little-endian bytes; each different one meets the merges once."""
 
-    Texts are normalised and split here and each different word meets the vocabulary's merges once;
-    texts with characters on which splitting engines differ, or with special strings, go to the
-    library whole."""
-    whole = Tokenizer.from_file(path)
-    merge, letters = whole.model.tokenize, _byte_letters()
-    split, known = splitter(PATTERN), {}
-
-    def encode(text: str) -> list[int]:
-        if unlike(text) or any(s in text for s in SPECIAL):
-            return whole.encode(text, add_special_tokens=False).ids
-        text = unicodedata.normalize("NFC", text)
-        words = split((text.replace("Σ", "σ") if "Σ" in text else text).lower())
-        if len(known) > REMEMBERED:
-            known.clear()
-        ids: list[int] = []
-        for word in words:
-            found = known.get(word)
-            if found is None:
-                spelt = word.encode().decode("latin-1").translate(letters)
-                found = known[word] = [token.id for token in merge(spelt)]
-            ids += found
+    def __init__(self, whole: Tokenizer):
+        super().__init__()
+        self.merge, self.letters = whole.model.tokenize, _byte_letters()
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        spelt = word.encode().decode("latin-1").translate(self.letters)
+        ids = self[word] = array("I", [token.id for token in self.merge(spelt)]).tobytes()
         return ids
 
+
+class _Chunks(dict):
+    """Ids of what stands between blanks: one or more words and signs."""
+
+    def __init__(self, words: _Words):
+        super().__init__()
+        self.words, self.split = words, splitter(PATTERN)
+
+    def __missing__(self, chunk: str) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        ids = self[chunk] = b"".join([self.words[word] for word in self.split(chunk)])
+        return ids
+
+
+@functools.lru_cache(1)
+def encoder(path: str) -> Callable[[str], np.ndarray]:
+    """A function from text to ids (unsigned, 32 bits), equal to the library's own on whole texts.
+
+    No word of the vocabulary's pattern holds a blank, so a text is cut at blanks first and each different
+    chunk is split and merged once.  Texts of Latin-1 letters need no normal form.  Texts with characters on
+    which splitting engines differ, or with special strings, go to the library whole.  What a Python worker has
+    encoded it keeps for its next tasks, within REMEMBERED words and as many chunks."""
+    whole = Tokenizer.from_file(path)
+    known = _Chunks(_Words(whole))
+
+    def encode(text: str) -> np.ndarray:
+        try:
+            latin = text.encode("latin-1")
+            odd = len(latin.translate(None, ODD_LATIN)) != len(latin)
+        except UnicodeEncodeError:
+            latin, odd = None, unlike(text)
+        if odd or any(s in text for s in SPECIAL):
+            return np.array(whole.encode(text, add_special_tokens=False).ids, np.uint32)
+        if latin is None:
+            text = unicodedata.normalize("NFC", text)
+            text = text.replace("Σ", "σ") if "Σ" in text else text
+        return np.frombuffer(b"".join(map(known.__getitem__, text.lower().split())), np.uint32)
+
     return encode
 
 
@@ -138,7 +170,7 @@ def write(
         size = 0
         for batch in batches:
             for doc, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch)):
-                ids = np.array([*encode(text), end_id], np.uint32)
+                ids = np.append(encode(text), np.uint32(end_id))
                 if held and size + len(ids) > file_ids:
                     yield flush()
                     names, held, size, number = [], [], 0, number + 1
@@ -162,20 +194,24 @@ def read(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
         for batch in batches:
             for path, blob in zip(batch.column("path").to_pylist(), batch.column("content")):
                 file = TokenFile(blob.as_py())
-                bounds, names = file.ends.all(), [None] * file.missing + file.names.all().tolist()
-                tokens = file.tokens.astype("<u4")
-                crc = [zlib.crc32(tokens[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
-                count = len(names)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([path.rsplit("/", 1)[-1]] * count, pa.string()),
-                        pa.array(names, pa.int64()),
-                        pa.array(bounds[:-1], pa.int64()),
-                        pa.array(np.diff(bounds), pa.int64()),
-                        pa.array(crc, pa.int64()),
-                    ],
-                    ["file", "doc_id", "inner", "n_tokens", "ids_crc32"],
-                )
+                for first in range(0, file.documents, AT_ONCE):
+                    last = min(first + AT_ONCE, file.documents)
+                    bounds = file.ends.select_range(first, last + 1)
+                    missing = max(0, min(file.missing, last) - first)
+                    names = [None] * missing + file.names.select_range(first + missing - file.missing, last - file.missing).tolist()
+                    tokens = file.tokens[bounds[0] : bounds[-1]].astype("<u4")
+                    edges = (bounds - bounds[0]).tolist()
+                    crc = [zlib.crc32(tokens[a:b]) for a, b in zip(edges[:-1], edges[1:])]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([path.rsplit("/", 1)[-1]] * len(names), pa.string()),
+                            pa.array(names, pa.int64()),
+                            pa.array(bounds[:-1], pa.int64()),
+                            pa.array(np.diff(bounds), pa.int64()),
+                            pa.array(crc, pa.int64()),
+                        ],
+                        ["file", "doc_id", "inner", "n_tokens", "ids_crc32"],
+                    )
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tokens").load(folder).select("path", "content")
     rows = files.mapInArrow(run, "file string, doc_id bigint, inner bigint, n_tokens bigint, ids_crc32 bigint")

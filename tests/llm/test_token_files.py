@@ -21,6 +21,8 @@ def test_elias_fano(values):
     coded, size = EliasFano.from_bytes(memoryview(EliasFano.of(np.array(values, np.int64)).to_bytes() + b"rest"))
     assert coded.all().tolist() == values
     assert all(coded.select(i) == values[i] for i in range(0, len(values), 17))
+    for first, last in ((0, len(values)), (0, 1), (3, 300), (255, 257), (256, 512), (700, 1400), (5, 5), (-2, 2)):
+        assert coded.select_range(first, min(last, len(values))).tolist() == values[max(first, 0) : max(min(last, len(values)), 0)]
     if len(values) > 1000:
         assert size < 4 * len(values)  # 64-bit offsets would take 8 bytes each
 
@@ -40,7 +42,7 @@ def test_encoder_equals_the_library():
     pool = ["It's", "ÉCOLE", "Σίσυφος", "ΟΔΟΣ", "İx", "½", "²", "一二", "a\x1cb", "é", "😀", "<|endoftext|>", "12a", "_x_", "\xa0", "ﬁ", "'S", "ß", "\n"]
     for _ in range(400):
         text = rng.choice(["", " ", "\n"]).join(rng.choices(pool, k=rng.randint(0, 12)))
-        assert encode(text) == library.encode(text, add_special_tokens=False).ids, repr(text)
+        assert encode(text).tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
 
 
 def _expected(rows):
