@@ -18,11 +18,8 @@ WITH base AS (
   FROM base, unnest(lines) AS u(x)
 ), norm AS (
   SELECT r, source, trim(y, ' ') AS line FROM spread
-), longest AS (
-  SELECT r, max(length(line)) AS n FROM norm GROUP BY r
 ), same AS (
-  SELECT r, max(line) AS same
-  FROM norm JOIN longest USING (r) WHERE length(line) = n GROUP BY r
+  SELECT r, [trim(regexp_replace(lower(x), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') FOR x IN lines] AS same FROM base WHERE len(lines) > 0
 ), hosts AS (
   SELECT source, count(DISTINCT same) AS of FROM base JOIN same USING (r) GROUP BY source
 ), common AS (

@@ -113,3 +113,25 @@ def test_a_line_that_is_the_longest_of_its_documents_is_boilerplate(spark):
     got = {r.doc_id: r for r in lq.judge(frame).collect()}
     assert all(got[k].n_removed_words == 70 and got[k].kept for k in range(20))
     assert all(got[100 + k].n_removed_words == 0 for k in range(20))  # copies but for case and blanks are one document
+
+
+def test_sql_states_the_same_rule_where_a_banner_is_the_longest_line(spark, tmp_path):
+    import duckdb
+
+    from spendframe.llm.oracles import oracle_sql
+    from spendframe.llm.queries import op8_line_quality
+
+    banner = " ".join(f"notice{i}" for i in range(70))
+    own = lambda k: "\n".join(" ".join(f"w{k}x{line}x{i}" for i in range(20)) for line in range(4))
+    rows = [(k, f"{banner}\n{own(k)}", "en", "site", 1) for k in range(20)]
+    rows += [(100 + k, own(200), "en", "site", 1) for k in range(30)]  # copies count once
+    rows += [(200 + k, own(300 + k), "en", "site", 1) for k in range(12)] + [(None, None, None, None, None), (300, banner, "de", None, 2)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    got = op8_line_quality(spark, str(tmp_path))
+    names = sorted(got.columns)
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = connection.execute(f"SELECT {', '.join(names)} FROM ({oracle_sql()['op8_line_quality']})").fetchall()
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got.select(*names).collect())
+    assert sum(r.n_removed_words == 70 for r in got.collect()) == 20
