@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spendframe.functions.dates import milestone_days
@@ -40,30 +40,28 @@ def milestone_summary(
 ) -> DataFrame:
     """Sum of each method's forecasts up to and including each milestone; nothing to sum is 0.
 
-    ``rows`` are ``forecast_rows`` (they carry ``last_date``).  One conditional aggregate takes all
-    sums: no join with the milestones, one exchange, and one row per series and task in it.
+    ``rows`` are ``forecast_rows`` (they carry ``last_date``).  A row's bucket is the number of milestones
+    before it; the methods are summed by bucket, a sum each and no condition, and a milestone takes the
+    buckets up to its own rank, a handful of rows a series.  Both aggregates keep the partitioning by
+    series that the fit has, so neither needs an exchange.
     """
     names = [*series_cols, LAST]
     ends = milestone_days(F.col(LAST))
-    sums = {
-        (method, label): F.sum(F.when(F.col(date_col) <= day, F.col(method))).alias(f"{method}:{label}")
-        for method in methods
-        for label, day in ends
-    }
-    totals = rows.groupBy(*names).agg(*sums.values())
-    unfolded = F.array(
-        *[
-            F.struct(
-                F.lit(method).alias("method"),
-                F.lit(label).alias("label"),
-                day.alias("milestone_date"),
-                F.coalesce(F.col(f"`{method}:{label}`"), F.lit(0.0)).alias("total"),
-            )
-            for method in methods
-            for label, day in ends
-        ]
+
+    def before(day: Column) -> Column:
+        return sum((end < day).cast("int") for _, end in ends)
+
+    sums = [F.sum(method).alias(method) for method in methods]
+    buckets = rows.groupBy(*names, before(F.col(date_col)).alias("_bucket")).agg(*sums)
+    each = F.array(*[F.struct(F.lit(label).alias("label"), end.alias("milestone_date"), before(end).alias("_rank")) for label, end in ends])
+    within = buckets.select(*names, "_bucket", *methods, F.inline(each))
+    totals = within.groupBy(*names, "label", "milestone_date").agg(
+        *[F.coalesce(F.sum(F.when(F.col("_bucket") <= F.col("_rank"), F.col(m))), F.lit(0.0)).alias(m) for m in methods]
+    )
+    unfolded = F.array(*[F.struct(F.lit(m).alias("method"), F.col(m).alias("total")) for m in methods])
+    return totals.select(*series_cols, "label", "milestone_date", F.inline(unfolded)).select(
+        *series_cols, "method", "label", "milestone_date", "total"
     )
-    return totals.select(*series_cols, F.inline(unfolded))
 
 
 def milestone_lines(summary: DataFrame, *, series_cols: Sequence[str] = ()) -> DataFrame:

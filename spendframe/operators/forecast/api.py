@@ -16,7 +16,7 @@ from spendframe.functions.dates import forecast_day
 from spendframe.functions.numbers import mean_of_present, nan_to_null
 from spendframe.operators.clean import long_enough, share_source
 from spendframe.operators.forecast import closed_forms as cf
-from spendframe.operators.forecast import auto_order, likelihood, network, numeric, sparse_trend, trees
+from spendframe.operators.forecast import auto_order, likelihood, network, numeric, smoothing, sparse_trend, trees
 from spendframe.operators.forecast.options import ForecastOptions
 from spendframe.operators.spine import GRAIN, LAST, grain_of, horizon
 from spendframe.params import FORECAST_COLUMNS, FORECAST_METHODS, require_columns
@@ -25,7 +25,7 @@ from spendframe.session import settle, shared_folder
 STEP, HORIZON, VALUES, DAYS = "step", "_horizon", "_values", "_days"
 _ARRAY_METHODS = ("arima", "sarima", "prophet", "neural_prophet")
 _TRAINED_FAMILIES = ("lag_forest", "lag_gbt")
-_MODEL_FAMILIES = ("arima", "auto_order", "lag_linear", *_TRAINED_FAMILIES)
+_MODEL_FAMILIES = ("arima", "auto_order", "lag_linear", "smoothing", "seasonal_theta", *_TRAINED_FAMILIES)
 
 
 def _uses(options: ForecastOptions, *names: str) -> bool:
@@ -118,6 +118,11 @@ def _model_columns(rows, options, *, series_cols, date_col, value_col) -> dict[s
         columns["_darts"] = _arma_column(options, (1, 1, 1))
     elif family == "auto_order":
         columns["_darts"] = F.col(auto_order.FORECAST)
+    elif family == "smoothing":
+        shape = smoothing.Shape(options.smoothing_periods, damped=options.smoothing_damped)
+        columns["_darts"] = smoothing.forecast_column(values, steps, shape)
+    elif family == "seasonal_theta":
+        columns["_darts"] = smoothing.seasonal_theta_column(values, steps, options.theta, options.theta_periods)
     elif family == "lag_linear":
         columns["_darts"] = numeric.lag_regression_column(values, steps, options.lags)
     elif family in _TRAINED_FAMILIES:
@@ -145,9 +150,7 @@ def _method_column(method: str, options: ForecastOptions, arrays: Sequence[str])
     """The forecast of one method; a method that is off is a missing column, not an absent one."""
     if method not in options.methods:
         return F.lit(None).cast("double").alias(method)
-    if method == "darts" and options.darts_family in ("hw", "theta"):
-        column = _closed_form(options.darts_family, options)
-    elif f"_{method}" in arrays:
+    if f"_{method}" in arrays:
         column = F.col(f"_{method}")
     else:
         column = _closed_form(method, options)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spendframe.operators.forecast import closed_forms as cf
-from spendframe.operators.forecast import likelihood, sparse_trend
+from spendframe.operators.forecast import likelihood, smoothing, sparse_trend
 from spendframe.params import MIN_POINTS, require_columns
 
 
@@ -45,3 +45,11 @@ def trend_models(
     arrays = _arrays(df, series_cols, date_col, value_col, min_points)
     model = sparse_trend.model_column(F.col("_values"), F.col("_days"), settings)
     return arrays.select(*series_cols, model.alias("_model")).select(*series_cols, "_model.*")
+
+
+def smoothing_models(
+    df: DataFrame, shape: smoothing.Shape = smoothing.Shape(), *, series_cols: Sequence[str] = (), date_col: str, value_col: str, min_points: int = MIN_POINTS
+) -> DataFrame:
+    """Series and ``alpha, beta, gamma, damping, first, error, fixed_error`` of the fitted smoothing."""
+    arrays = _arrays(df, series_cols, date_col, value_col, min_points)
+    return arrays.select(*series_cols, smoothing.model_column(F.col("_values"), shape).alias("_model")).select(*series_cols, "_model.*")

@@ -9,10 +9,10 @@ from spendframe.params import FORECAST_METHODS, MIN_POINTS, choice, model_order
 
 # Which model family each lag-model name stands for
 DARTS_FAMILIES = {
-    "exponential_smoothing": "hw",
+    "exponential_smoothing": "smoothing",
     "arima": "arima",
     "auto_arima": "auto_order",
-    "theta": "theta",
+    "theta": "seasonal_theta",
     "linear_regression": "lag_linear",
     "random_forest": "lag_forest",
     "xgboost": "lag_gbt",
@@ -31,7 +31,8 @@ class ForecastOptions:  # default values are fixed values
     lag of a seasonal product free).  ``first_stage_lags``, of the latter: lags beyond the model's own in
     the autoregression that estimates the shocks.  A series too short for the model has no forecast.
     ``max_order`` and ``max_differences`` bound the automatic order, ``auto_seasonal_periods`` is its season
-    (1: none).  ``yearly``, ``weekly`` and ``daily`` are obeyed whatever the history's length
+    (1: none).  ``smoothing_periods``, ``smoothing_damped`` and ``theta_periods`` shape the ``darts``
+    column's fitted smoothing and its theta method, which takes a season out where a test finds one.  ``yearly``, ``weekly`` and ``daily`` are obeyed whatever the history's length
     (daily terms are constant on daily series).  ``network_lags`` are those of the trained
     network (fewer on a series of under four times as many rows).  ``trees`` and ``tree_depth`` shape both tree families,
     which are one model over all series: adding a series changes the others' forecasts.
@@ -56,6 +57,9 @@ class ForecastOptions:  # default values are fixed values
     max_order: int = 2
     max_differences: int = 2
     auto_seasonal_periods: int = 1
+    smoothing_periods: int = 12
+    smoothing_damped: bool = False
+    theta_periods: int = 12
     yearly: bool = True
     weekly: bool = False
     daily: bool = False
@@ -75,7 +79,7 @@ class ForecastOptions:  # default values are fixed values
         for name in ("es_alpha", "hw_alpha", "hw_beta", "hw_gamma"):
             if not 0.0 <= getattr(self, name) <= 1.0:
                 raise ValueError(f"{name} must lie between 0 and 1")
-        for name in ("sma_window", "hw_seasonal_periods", "min_points", "network_lags", "lags", "trees", "tree_depth", "auto_seasonal_periods"):
+        for name in ("sma_window", "hw_seasonal_periods", "min_points", "network_lags", "lags", "trees", "tree_depth", "auto_seasonal_periods", "smoothing_periods", "theta_periods"):
             if getattr(self, name) < 1:
                 raise ValueError(f"{name} must be at least 1")
         if self.darts_algorithm is not None:

@@ -309,7 +309,7 @@ def test_auto_order_continues_a_line(daily_30):
     assert [r.darts for r in rows[:3]] == pytest.approx([70, 72, 74], abs=0.5)
 
 
-@pytest.mark.parametrize("name, column", [("exponential_smoothing", "hw"), ("theta", "theta"), ("arima", "arima")])
+@pytest.mark.parametrize("name, column", [("theta", "theta"), ("arima", "arima")])
 def test_lag_model_names_share_families(daily_30, name, column):
     options = ForecastOptions(methods=("hw", "theta", "arima"), darts_algorithm=name)
     assert all(r.darts == r[column] for r in forecast(daily_30, options))

@@ -9,6 +9,7 @@ from workload.queries import REGISTRY
 ROWS_ONLY = {
     "anomaly_fitted_trend",
     "forecast_network",
+    "forecast_smoothing",
     "forecast_sarima",
     "forecast_fourier_trend",
     "forecast_lag_linear",

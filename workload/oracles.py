@@ -209,6 +209,25 @@ x AS (SELECT *, {DAYS} FROM f)
 SELECT service, {DAILY_STEP} AS period_start, round(v + dl * phi * (1 - pow(phi, h)) / (1 - phi), 4) AS value FROM x"""
 
 
+#: Theta on the series without its season, where the autocorrelation at twelve steps is more than chance gives
+THETA_SEASONAL = f"""WITH k AS ({numbered(MONTHLY)}), c AS (SELECT *, cost - avg(cost) OVER (PARTITION BY service) AS d FROM k),
+lags AS (SELECT a.service, a.n, b.k - a.k AS lag, sum(a.d * b.d) AS s FROM c a JOIN c b ON a.service = b.service AND b.k - a.k BETWEEN 1 AND 12 GROUP BY ALL),
+total AS (SELECT service, sum(d * d) AS t FROM c GROUP BY 1),
+test AS (SELECT service, abs(max(s / t) FILTER (lag = 12)) > 1.645 * sqrt((1 + 2 * sum((s / t) * (s / t)) FILTER (lag < 12)) / max(n))
+  OR abs(min(s / t) FILTER (lag = 12)) > 1.645 * sqrt((1 + 2 * sum((s / t) * (s / t)) FILTER (lag < 12)) / max(n)) AS seasonal
+  FROM lags JOIN total USING (service) GROUP BY 1),
+smooth AS (SELECT *, (sum(cost) OVER (PARTITION BY service ORDER BY k ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)
+  + (lag(cost, 6) OVER (PARTITION BY service ORDER BY k) + lead(cost, 6) OVER (PARTITION BY service ORDER BY k)) / 2) / 12 AS trend FROM k),
+phases AS (SELECT service, k % 12 AS phase, avg(cost / trend) AS f FROM smooth WHERE trend IS NOT NULL GROUP BY 1, 2),
+factors AS (SELECT service, phase, CASE WHEN seasonal THEN f / avg(f) OVER (PARTITION BY service) ELSE 1 END AS f FROM phases JOIN test USING (service)),
+plain AS (SELECT k.*, cost / f AS v FROM k JOIN factors p ON p.service = k.service AND p.phase = k.k % 12),
+line AS (SELECT service, n, max(period_start) AS last, regr_slope(v, k - n + 1) AS b, regr_intercept(v, k - n + 1) AS a,
+  arg_max(v, k) AS v0, max(v) FILTER (k = n - 2) AS v1 FROM plain GROUP BY 1, 2),
+x AS (SELECT *, {MONTHS} FROM line)
+SELECT x.service, {MONTHLY_STEP} AS period_start, round(p.f * (a + b * h
+  + 2 * (2 * (v0 - a) + a) - (2 * (v1 - (a - b)) + a - b) - a), 2) AS value
+FROM x JOIN factors p ON p.service = x.service AND p.phase = (x.n + h - 1) % 12"""
+
 #: The exact likelihood of x ~ ARMA(1, 1) by its innovations: errors e with variances f of one for a variance of one,
 #: f[0] from the stationary variance; -2/n times the log-likelihood, but for constants.
 ARMA_11 = """list_reduce(list_prepend(
@@ -366,6 +385,8 @@ def oracle_sql() -> dict[str, str]:
               regr_intercept(cost, period_start - DATE '1995-01-01') AS b FROM s GROUP BY 1),
             x AS (SELECT *, {DAYS} FROM f)
             SELECT service, {DAILY_STEP} AS period_start, round(b + a * ({DAILY_STEP} - DATE '1995-01-01'), 2) AS value FROM x""",
+        "smoothing_models": f"SELECT DISTINCT service, true AS no_worse, true AS inside, 14 AS n_states FROM ({MONTHLY})",
+        "forecast_theta_seasonal": THETA_SEASONAL,
         "sarima_models": f"SELECT DISTINCT service, true AS inside, true AS at_maximum, 1 AS n_ar FROM ({MONTHLY})",
         "trend_models": f"SELECT DISTINCT service, 25 AS n_bends, true AS mostly_zero, true AS optimal FROM ({LINE_DAILY})",
         "lag_features": f"""SELECT * FROM (SELECT service, period_start, cost, {", ".join(

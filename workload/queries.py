@@ -344,6 +344,25 @@ def trend_models(spark, sf):
     )
 
 
+@query
+def smoothing_models(spark, sf):
+    """Whether fitted weights err no more than the fixed ones, series by series."""
+    found = models.smoothing_models(priority_monthly(spark, sf), **SERIES)
+    inside = (F.col("alpha") <= 1) & (F.col("beta") <= F.col("alpha")) & (F.col("gamma") <= 1 - F.col("alpha"))
+    return found.select("service", (F.col("error") <= F.col("fixed_error") * (1 + 1e-9)).alias("no_worse"), inside.alias("inside"), F.size("first").alias("n_states"))
+
+
+@query
+def forecast_theta_seasonal(spark, sf):
+    rows = forecast_rows(priority_monthly(spark, sf), only(darts_algorithm="theta"), **SERIES)
+    return rows.select("service", "period_start", F.round("darts", 2).alias("value"))
+
+
+@query
+def forecast_smoothing(spark, sf):
+    return darts_rows(priority_monthly(spark, sf), "exponential_smoothing")
+
+
 @query
 def forecast_network(spark, sf):
     return one_method(line_daily(spark, sf), "neural_prophet", weekly=True)
