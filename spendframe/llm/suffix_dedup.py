@@ -3,16 +3,19 @@
 1. Texts are told apart by digest; a text with copies is repeated as a whole and one of it goes on.
 2. Anchors: in every window of ``width`` bytes the place with the lowest hash of its next ``gram``
    bytes.  Equal windows have equal anchors, so a repeated string's anchor occurs at two places.
-3. The surroundings of repeated anchors (all windows around one) meet by anchor in shards: suffix
-   arrays by Larsson-Sadakane refinement and Kasai's common prefixes mark windows that occur at two
-   places.  An anchor with more surroundings than one shard holds is split over shards whose
-   arrays are merged by binary search.
-4. An anchor beyond ``anchor_places`` places is no single task's work: its windows are counted by
-   a 128-bit digest in an aggregate that combines on the map side.
-5. Marked ranges return to their texts.
+   An anchor's piece is the bytes of all windows around it; pieces are told apart by a hash.
+3. Places are counted by anchor and piece, in an aggregate that combines on the map side, so a passage
+   in a third of all texts is one row from there on, with its lowest and highest place.  An anchor
+   with one kind of piece needs no comparison; of all others one of each piece is fetched.
+4. Pieces meet by anchor in shards: suffix arrays by Larsson-Sadakane refinement and Kasai's common
+   prefixes mark windows that occur at two places.  An anchor with more pieces than one shard holds is
+   split over shards whose arrays are merged by binary search.
+5. An anchor with over ``anchor_pieces`` kinds of piece is no single task's work: its windows are
+   counted by a 128-bit digest, again in an aggregate that combines on the map side.
+6. Marked ranges of pieces go back to all their places, and from there to the texts.
 
 Texts move once, by digest (all later steps share that exchange); everything else is anchors, one in
-about eighty bytes.
+about eighty bytes, which are written once, and one of each piece.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendframe.llm.base import by_bytes, pick, texts_of
+from spendframe.llm.base import by_bytes, cut, pick, texts_of
 from spendframe.llm.suffix_array import DEPTH, SEPARATOR, common_prefixes, locate, suffix_array
 
 BLOCK_BYTES, SHARD_BYTES = 2 << 20, 1 << 19
@@ -64,83 +67,82 @@ def anchors(data: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.nda
     return places, mixed[places]
 
 
+def _around(data: bytes, place: int, width: int, gram: int) -> bytes:
+    """The bytes of all windows that hold the gram at ``place``."""
+    return data[max(0, place - (width - gram)) : place + width]
+
+
 def _anchor_rows(width: int, gram: int):
+    """(content, place, key, piece): anchors, and the hash of the bytes around each."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, BLOCK_BYTES):
             number, place, key = [], [], []
+            pieces: list[int] = []
             for k, text in enumerate(texts_of(batch)):
-                places, hashes = anchors(np.frombuffer(text.encode(), np.uint8), width, gram)
+                data = text.encode()
+                places, hashes = anchors(np.frombuffer(data, np.uint8), width, gram)
                 number.append(np.full(len(places), k))
                 place.append(places)
                 key.append(hashes)
+                pieces += [xxhash.xxh3_64_intdigest(_around(data, at, width, gram)) for at in places.tolist()]
             at = np.concatenate([np.empty(0, np.int64), *number]).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("content").take(pa.array(at)),
                     pa.array(np.concatenate([np.empty(0, np.int64), *place]), pa.int64()),
                     pa.array(np.concatenate([np.empty(0, np.uint64), *key]).view(np.int64)),
+                    pa.array(np.array(pieces, np.uint64).view(np.int64)),
                 ],
-                ["content", "place", "key"],
+                ["content", "place", "key", "piece"],
             )
 
     return run
 
 
-def _surroundings(width: int, gram: int):
-    """(key, content, start, bytes) of each wanted anchor: all windows that hold its gram."""
+def _fetched(width: int, gram: int):
+    """(key, piece, low, high, bytes) of the pieces that are fetched from a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, BLOCK_BYTES):
-            keys, number, starts, pieces = [], [], [], []
-            for k, (text, wanted) in enumerate(zip(texts_of(batch), batch.column("wanted").to_pylist())):
+            columns: list[list] = [[], [], [], [], []]
+            for text, wanted in zip(texts_of(batch), batch.column("wanted").to_pylist()):
                 data = text.encode() if wanted else b""
-                for anchor in wanted or []:
-                    low = max(0, anchor["place"] - (width - gram))
-                    keys.append(anchor["key"])
-                    number.append(k)
-                    starts.append(low)
-                    pieces.append(data[low : anchor["place"] + width])
+                for one in wanted or []:
+                    for column, value in zip(columns, (one["key"], one["piece"], one["low"], one["high"], _around(data, one["place"], width, gram))):
+                        column.append(value)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), batch.column("content").take(pa.array(number, pa.int64())), pa.array(starts, pa.int64()), pa.array(pieces, pa.binary())],
-                ["key", "content", "start", "piece"],
+                [*(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.binary())], ["key", "piece", "low", "high", "bytes"]
             )
 
     return run
 
 
-def _marked(pieces: list[bytes], origins: np.ndarray, groups: np.ndarray, width: int) -> list[np.ndarray]:
+def _marked(pieces: list[bytes], low: np.ndarray, high: np.ndarray, groups: np.ndarray, width: int) -> list[np.ndarray]:
     """For each piece, the starts of its windows that occur at two places or more.
 
-    ``origins``: the place of each piece's first byte, as one number; ``groups``: its anchor, rising.
-    Equal pieces of one anchor are one in the arrays, with the places of both ends."""
-    distinct: dict[tuple[int, bytes], list[int]] = {}
-    for k, (group, piece) in enumerate(zip(groups.tolist(), pieces)):
-        distinct.setdefault((group, piece), []).append(k)
-    members: dict[int, list[list[int]]] = {}
-    for (group, _), rows in distinct.items():
-        members.setdefault(group, []).append(rows)
+    ``low`` and ``high``: the lowest and highest place of each piece's first byte, as numbers that rise by
+    one with each byte; ``groups``: its anchor, rising.  Pieces of one anchor differ from each other."""
     marks = [np.empty(0, np.int64)] * len(pieces)
-    shards: list[list[list[int]]] = []
+    sizes = np.bincount(groups, minlength=int(groups[-1]) + 1) if len(groups) else groups
+    shards: list[list[int]] = []
     size, last = 0, None
-    for group, rows in members.items():
-        if len(rows) == 1:  # nothing to compare: equal pieces at several places, or a single one
-            if len(rows[0]) > 1:
-                every = np.arange(max(0, len(pieces[rows[0][0]]) - width + 1))
-                for k in rows[0]:
-                    marks[k] = every
+    for k, group in enumerate(groups.tolist()):
+        if sizes[group] == 1:  # nothing to compare with
+            if low[k] < high[k]:
+                marks[k] = np.arange(max(0, len(pieces[k]) - width + 1))
             continue
-        for row in rows:
-            length = len(pieces[row[0]]) + 1
-            if not shards or size + length > SHARD_BYTES or (last != group and size > SHARD_BYTES // 2):
-                shards.append([])
-                size = 0
-            shards[-1].append(row)
-            size, last = size + length, group
+        length = len(pieces[k]) + 1
+        if not shards or size + length > SHARD_BYTES or (last != group and size > SHARD_BYTES // 2):
+            shards.append([])
+            size = 0
+        shards[-1].append(k)
+        size, last = size + length, group
     pairs = _split_pairs(shards, groups)
     shared = {number for pair in pairs for number in pair}
     built = {}
     for number, shard in enumerate(shards):
-        made = _Shard(shard, pieces, origins, width)
+        made = _Shard(shard, pieces, low, high, width)
         if number in shared:
             built[number] = made
         else:
@@ -156,12 +158,11 @@ class _Shard:
     """Surroundings in one suffix array.  Equal windows are a run of it; ``low`` and ``high`` are the
     lowest and highest place of each run's windows."""
 
-    def __init__(self, rows: list[list[int]], pieces: list[bytes], origins: np.ndarray, width: int):
+    def __init__(self, rows: list[int], pieces: list[bytes], low: np.ndarray, high: np.ndarray, width: int):
         self.rows, self.width = rows, width
-        heads = [row[0] for row in rows]
-        data = b"".join(pieces[k] + bytes([SEPARATOR]) for k in heads) + bytes([SEPARATOR]) * DEPTH
+        data = b"".join(pieces[k] + bytes([SEPARATOR]) for k in rows) + bytes([SEPARATOR]) * DEPTH
         self.text = np.frombuffer(data, np.uint8)
-        sizes = np.array([len(pieces[k]) for k in heads])
+        sizes = np.array([len(pieces[k]) for k in rows])
         first = np.cumsum(sizes + 1) - sizes - 1
         self.order = suffix_array(self.text)
         fresh = common_prefixes(self.text, self.order) < width
@@ -175,9 +176,9 @@ class _Shard:
         self.inner = self.order[self.at] - first[self.owner]
         self.of = self.run[self.at]
         runs = int(self.run[-1]) + 1 if len(self.run) else 0
-        self.low, self.high = np.full(runs, np.iinfo(np.int64).max), np.full(runs, -1, np.int64)
-        np.minimum.at(self.low, self.of, np.array([min(origins[k] for k in row) for row in rows])[self.owner] + self.inner)
-        np.maximum.at(self.high, self.of, np.array([max(origins[k] for k in row) for row in rows])[self.owner] + self.inner)
+        self.low, self.high = np.full(runs, np.iinfo(np.int64).max), np.full(runs, np.iinfo(np.int64).min)
+        np.minimum.at(self.low, self.of, low[rows][self.owner] + self.inner)
+        np.maximum.at(self.high, self.of, high[rows][self.owner] + self.inner)
 
     def merge(self, other: _Shard) -> None:
         """Each run of ``other`` that also occurs here, found by binary search, shares its bounds with ours."""
@@ -192,17 +193,15 @@ class _Shard:
         hit = np.flatnonzero((self.low < self.high)[self.of])
         hit = hit[np.argsort(self.owner[hit], kind="stable")]
         edges = np.searchsorted(self.owner[hit], np.arange(len(self.rows) + 1))
-        for number, rows in enumerate(self.rows):
-            starts = np.sort(self.inner[hit[edges[number] : edges[number + 1]]])
-            for k in rows:
-                marks[k] = starts
+        for number, k in enumerate(self.rows):
+            marks[k] = np.sort(self.inner[hit[edges[number] : edges[number + 1]]])
 
 
-def _split_pairs(shards: list[list[list[int]]], groups: np.ndarray) -> list[tuple[int, int]]:
+def _split_pairs(shards: list[list[int]], groups: np.ndarray) -> list[tuple[int, int]]:
     """Pairs of shards that hold surroundings of the same anchor (twice over, so that bounds reach all)."""
     holders: dict[int, list[int]] = {}
     for number, shard in enumerate(shards):
-        for group in {int(groups[row[0]]) for row in shard}:
+        for group in set(groups[shard].tolist()):
             holders.setdefault(group, []).append(number)
     pairs = {(a, b) for held in holders.values() for a in held for b in held if a < b}
     return sorted(pairs) + sorted(pairs, reverse=True)
@@ -216,26 +215,21 @@ def _ranges(starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     return starts[new], starts[np.concatenate([new[1:], [True]])] + width
 
 
-RANGES = pa.schema([("content", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
+SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+MARKED = "key bigint, piece bigint, ranges array<struct<start:bigint,end:bigint>>"
 
 
 def _shards(width: int, rows_bytes: int = 4 * SHARD_BYTES):
-    """Marked ranges of surroundings that come sorted by anchor; whole anchors are held at a time."""
+    """(key, piece, marked ranges) of pieces that come sorted by anchor; whole anchors are held at a time."""
 
     def settle(rows: pa.Table) -> pa.RecordBatch:
-        content = rows.column("content").combine_chunks().dictionary_encode()
-        origin = content.indices.to_numpy().astype(np.int64) << 40 | rows.column("start").to_numpy()
         groups = np.unique(rows.column("key").to_numpy(), return_inverse=True)[1]
-        marks = _marked(rows.column("piece").to_pylist(), origin, groups, width)
-        at, low, high = [], [], []
-        starts = rows.column("start").to_numpy()
-        for k, windows in enumerate(marks):
-            a, b = _ranges(windows, width)
-            at += [k] * len(a)
-            low += (a + starts[k]).tolist()
-            high += (b + starts[k]).tolist()
-        names = content.take(pa.array(at, pa.int64())).dictionary_decode()
-        return pa.RecordBatch.from_arrays([names.cast(pa.string()), pa.array(low, pa.int64()), pa.array(high, pa.int64())], schema=RANGES)
+        low, high = (rows.column(name).to_numpy() for name in ("low", "high"))
+        marks = _marked(rows.column("bytes").to_pylist(), low, high, groups, width)
+        hit = [k for k, windows in enumerate(marks) if len(windows)]
+        ranges = [[{"start": a, "end": b} for a, b in zip(*(x.tolist() for x in _ranges(marks[k], width)))] for k in hit]
+        keys, pieces = (rows.column(name).take(pa.array(hit, pa.int64())).combine_chunks() for name in ("key", "piece"))
+        return pa.RecordBatch.from_arrays([keys, pieces, pa.array(ranges, pa.list_(SPAN))], ["key", "piece", "ranges"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -256,40 +250,49 @@ def _shards(width: int, rows_bytes: int = 4 * SHARD_BYTES):
 
 
 def _digests(width: int):
-    """(high, low, place, content, start) of every window of the surroundings, by two 64-bit hashes."""
+    """(one, two, key, piece, start, low, high) of every window of the pieces, by a 128-bit hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, BLOCK_BYTES // 64):
-            one, two, number, starts = [], [], [], []
-            for k, (start, piece) in enumerate(zip(batch.column("start").to_pylist(), batch.column("piece").to_pylist())):
+            one, two, starts, number = [], [], [], []
+            for k, piece in enumerate(batch.column("bytes").to_pylist()):
                 for i in range(len(piece) - width + 1):
                     digest = xxhash.xxh3_128_intdigest(piece[i : i + width])
                     one.append(digest >> 64)
                     two.append(digest & (1 << 64) - 1)
+                    starts.append(i)
                     number.append(k)
-                    starts.append(start + i)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.array(one, np.uint64).view(np.int64)),
-                    pa.array(np.array(two, np.uint64).view(np.int64)),
-                    batch.column("content").take(pa.array(number, pa.int64())),
-                    pa.array(starts, pa.int64()),
-                ],
-                ["one", "two", "content", "start"],
-            )
+            at, start = np.array(number, np.int64), np.array(starts, np.int64)
+            low, high = (batch.column(name).to_numpy()[at] + start for name in ("low", "high"))
+            names = [batch.column(name).take(pa.array(at)) for name in ("key", "piece")]
+            hashes = [pa.array(np.array(part, np.uint64).view(np.int64)) for part in (one, two)]
+            yield pa.RecordBatch.from_arrays([*hashes, *names, *map(pa.array, (start, low, high))], ["one", "two", "key", "piece", "start", "low", "high"])
 
     return run
 
 
-def _removed(width: int):
+def _spans(marks: list[dict], size: int, width: int, gram: int) -> list[tuple[int, int]]:
+    """Byte ranges of a text from the ranges within its pieces (none named: the whole piece), in order."""
+    spans = []
+    for mark in marks:
+        low = max(0, mark["place"] - (width - gram))
+        if mark["ranges"] is None:
+            if (high := min(size, mark["place"] + width)) - low >= width:
+                spans.append((low, high))
+        else:
+            spans += [(low + r["start"], low + r["end"]) for r in mark["ranges"]]
+    return sorted(spans)
+
+
+def _removed(width: int, gram: int):
     """What is left of each text when its marked ranges, or all of a text with copies, go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, BLOCK_BYTES):
             rows = []
-            for text, copies, ranges in zip(texts_of(batch), batch.column("copies").to_pylist(), batch.column("ranges").to_pylist()):
+            for text, copies, marks in zip(texts_of(batch), batch.column("copies").to_pylist(), batch.column("marks").to_pylist()):
                 data = text.encode()
-                spans = [(0, len(data))] if copies > 1 and len(data) >= width else sorted((r["start"], r["end"]) for r in ranges or [])
+                spans = [(0, len(data))] if copies > 1 and len(data) >= width else _spans(marks or [], len(data), width, gram)
                 merged: list[list[int]] = []
                 for low, high in spans:
                     if merged and low <= merged[-1][1]:
@@ -317,7 +320,7 @@ def _removed(width: int):
 
 
 def repeats(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 200, gram: int = 64, anchor_places: int = 4_000
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 200, gram: int = 64, anchor_pieces: int = 16_000
 ) -> DataFrame:
     """One row per input row: ``doc_id``, ``n_bytes``, ``n_removed``, ``removed`` (ranges of bytes), ``kept_sha256``.
 
@@ -326,36 +329,49 @@ def repeats(
     an empty table gives no rows.  ``gram`` is a multiple of 8 and less than ``width``.
     """
     plain = pick(docs, doc_id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
-    plain = plain.withColumn("content", F.coalesce(F.md5(F.encode("text", "UTF-8")), F.lit("")))
+    plain = plain.withColumn("content", F.unhex(F.md5(F.encode("text", "UTF-8"))))
     # the same three columns wherever the texts are used, so that all uses share one exchange of them
     texts = plain.groupBy("content").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-    found = texts.mapInArrow(_anchor_rows(width, gram), "content string, place bigint, key bigint")
-    at = F.xxhash64("content", "place")
-    counted = found.groupBy(F.col("key").alias("_key")).agg(F.min(at).alias("low"), F.max(at).alias("high"), F.count("*").alias("places"))
-    repeated = counted.where("low <> high").select("_key", "places")
-    wanted = found.join(repeated, F.col("key") == F.col("_key")).select("content", "place", "key", "places")
-    wanted = wanted.groupBy(F.col("content").alias("_content")).agg(F.collect_list(F.struct("place", "key", "places")).alias("wanted"))
-    surround = texts.join(wanted, F.col("content") == F.col("_content"), "left")
-
-    def around(condition: str) -> DataFrame:
-        chosen = F.expr(f"filter(wanted, w -> w.places {condition} {anchor_places})")
-        return surround.select("content", "text", "copies", chosen.alias("wanted")).mapInArrow(
-            _surroundings(width, gram), "key bigint, content string, start bigint, piece binary"
-        )
-
-    small = around("<=").repartition("key").sortWithinPartitions("key").mapInArrow(_shards(width), "content string, start bigint, end bigint")
-    digests = around(">").mapInArrow(_digests(width), "one bigint, two bigint, content string, start bigint")
-    spot = F.xxhash64("content", "start")
-    twice = digests.groupBy(F.col("one").alias("_one"), F.col("two").alias("_two")).agg(F.min(spot).alias("low"), F.max(spot).alias("high"))
-    large = digests.join(twice.where("low <> high"), (F.col("one") == F.col("_one")) & (F.col("two") == F.col("_two")), "left_semi")
-    ranges = small.union(large.select("content", "start", (F.col("start") + width).alias("end")).distinct())
-    marked = ranges.groupBy(F.col("content").alias("_content")).agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
+    found = cut(texts.mapInArrow(_anchor_rows(width, gram), "content binary, place bigint, key bigint, piece bigint"))
+
+    # places as numbers that rise with each byte; two bits less than a long has, so that no sum overflows
+    first = F.shiftright(F.xxhash64("content"), 2) + F.greatest(F.col("place") - (width - gram), F.lit(0))
+    kinds = found.groupBy("key", "piece").agg(F.min(first).alias("low"), F.max(first).alias("high"), F.max(F.struct("content", "place")).alias("one"))
+    kinds = cut(kinds)
+    twice = kinds.groupBy(F.col("key").alias("_key")).agg(F.count("*").alias("kinds"), F.min("low").alias("_low"), F.max("high").alias("_high"))
+    kinds = kinds.join(twice.where("_low <> _high").select("_key", "kinds"), F.col("key") == F.col("_key")).drop("_key")
+
+    wanted = kinds.where("kinds > 1").select("one.content", F.struct("key", "piece", "low", "high", "one.place", "kinds").alias("w"))
+    wanted = wanted.groupBy(F.col("content").alias("_content")).agg(F.collect_list("w").alias("wanted"))
+    asked = texts.join(wanted, F.col("content") == F.col("_content"))
+
+    def pieces(condition: str) -> DataFrame:
+        chosen = F.expr(f"filter(wanted, w -> w.kinds {condition} {anchor_pieces})")
+        return asked.select("text", chosen.alias("wanted")).mapInArrow(_fetched(width, gram), "key bigint, piece bigint, low bigint, high bigint, bytes binary")
+
+    alone = kinds.where("kinds = 1").select("key", "piece", F.lit(None).cast("array<struct<start:bigint,end:bigint>>").alias("ranges"))
+    small = pieces("<=").repartition("key").sortWithinPartitions("key").mapInArrow(_shards(width), MARKED)
+    marks = [alone, small]
+    if not kinds.where(F.col("kinds") > anchor_pieces).isEmpty():
+        windows = pieces(">").mapInArrow(_digests(width), "one bigint, two bigint, key bigint, piece bigint, start bigint, low bigint, high bigint")
+        same = windows.groupBy(F.col("one").alias("_one"), F.col("two").alias("_two")).agg(F.min("low").alias("_low"), F.max("high").alias("_high"))
+        large = windows.join(same.where("_low <> _high"), (F.col("one") == F.col("_one")) & (F.col("two") == F.col("_two")), "left_semi")
+        spans = F.transform(F.array_sort(F.collect_set("start")), lambda s: F.struct(s.alias("start"), (s + width).alias("end")))
+        marks.append(large.groupBy("key", "piece").agg(spans.alias("ranges")))
+    marked = marks[0].unionByName(marks[1])
+    for more in marks[2:]:
+        marked = marked.unionByName(more)
+    marked = marked.select(F.col("key").alias("_key"), F.col("piece").alias("_piece"), "ranges")
+    at = found.join(marked, (F.col("key") == F.col("_key")) & (F.col("piece") == F.col("_piece"))).select(
+        F.col("content").alias("_content"), F.struct("place", "ranges").alias("mark")
+    )
+    gone = at.groupBy("_content").agg(F.collect_list("mark").alias("marks"))
     judged = (
-        texts.join(marked, F.col("content") == F.col("_content"), "left")
-        .select("content", "text", "copies", "ranges")
+        texts.join(gone, F.col("content") == F.col("_content"), "left")
+        .select("content", "text", "copies", "marks")
         .mapInArrow(
-            _removed(width),
-            "content string, n_bytes bigint, n_removed bigint, removed array<struct<start:bigint,end:bigint>>, kept_sha256 string",
+            _removed(width, gram),
+            "content binary, n_bytes bigint, n_removed bigint, removed array<struct<start:bigint,end:bigint>>, kept_sha256 string",
         )
         .withColumnRenamed("content", "_content")
     )

@@ -66,7 +66,7 @@ def odd_texts():
 def test_removal(spark, texts, monkeypatch, width, gram, most, shard):
     monkeypatch.setattr(d, "SHARD_BYTES", shard)
     rows = [(None if k == 5 else k, t) for k, t in enumerate(odd_texts())]
-    got = d.repeats(texts(rows, content=1, copies=2), width=width, gram=gram, anchor_places=most).collect()
+    got = d.repeats(texts(rows, content=1, copies=2), width=width, gram=gram, anchor_pieces=most).collect()
     want = brute_force([(t or "").encode() for _, t in rows], width)
     found = sorted((str(r.doc_id), r.n_bytes, r.n_removed, len(r.removed), r.kept_sha256) for r in got)
     assert found == sorted((str(doc), len((t or "").encode()), *w) for (doc, t), w in zip(rows, want))
@@ -91,8 +91,9 @@ def test_shards_of_one_anchor_are_merged(monkeypatch):
     monkeypatch.setattr(d, "SHARD_BYTES", 900)
     rng = random.Random(2)
     core = bytes(rng.choices(b"abcdefghij", k=60))
-    pieces = [bytes(rng.choices(b"ab", k=9)) + core + bytes(rng.choices(b"ab", k=9)) for _ in range(60)]
-    marks = d._marked(pieces, np.arange(60) * 1000, np.zeros(60, np.int64), 62)
+    pieces = list(dict.fromkeys(bytes(rng.choices(b"ab", k=9)) + core + bytes(rng.choices(b"ab", k=9)) for _ in range(60)))
+    places = np.arange(len(pieces)) * 1000
+    marks = d._marked(pieces, places, places, np.zeros(len(pieces), np.int64), 62)
     counts = {}
     for piece in pieces:
         for i in range(len(piece) - 61):
