@@ -334,14 +334,17 @@ def repeats(
     texts = plain.groupBy("content").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     found = cut(texts.mapInArrow(_anchor_rows(width, gram), "content binary, place bigint, key bigint, piece bigint"))
 
+    # anchors at one place only are most of them and go first, by counts that combine on the map side
+    counts = found.groupBy(F.col("key").alias("_key")).agg(F.count("*").alias("places")).where("places > 1").select("_key")
+    again = cut(found.join(counts, F.col("key") == F.col("_key")).drop("_key"))
     # places as numbers that rise with each byte; two bits less than a long has, so that no sum overflows
     first = F.shiftright(F.xxhash64("content"), 2) + F.greatest(F.col("place") - (width - gram), F.lit(0))
-    kinds = found.groupBy("key", "piece").agg(F.min(first).alias("low"), F.max(first).alias("high"), F.max(F.struct("content", "place")).alias("one"))
-    kinds = cut(kinds)
-    twice = kinds.groupBy(F.col("key").alias("_key")).agg(F.count("*").alias("kinds"), F.min("low").alias("_low"), F.max("high").alias("_high"))
-    kinds = kinds.join(twice.where("_low <> _high").select("_key", "kinds"), F.col("key") == F.col("_key")).drop("_key")
+    kinds = again.groupBy("key", "piece").agg(F.min(first).alias("low"), F.max(first).alias("high"), F.first("content").alias("content"), F.first("place").alias("place"))
+    kinds = cut(kinds)  # settled: which place stands for a piece must not change
+    several = kinds.groupBy(F.col("key").alias("_key")).agg(F.count("*").alias("kinds"))
+    kinds = cut(kinds.join(several, F.col("key") == F.col("_key")).drop("_key"))
 
-    wanted = kinds.where("kinds > 1").select("one.content", F.struct("key", "piece", "low", "high", "one.place", "kinds").alias("w"))
+    wanted = kinds.where("kinds > 1").select("content", F.struct("key", "piece", "low", "high", "place", "kinds").alias("w"))
     wanted = wanted.groupBy(F.col("content").alias("_content")).agg(F.collect_list("w").alias("wanted"))
     asked = texts.join(wanted, F.col("content") == F.col("_content"))
 
@@ -362,7 +365,7 @@ def repeats(
     for more in marks[2:]:
         marked = marked.unionByName(more)
     marked = marked.select(F.col("key").alias("_key"), F.col("piece").alias("_piece"), "ranges")
-    at = found.join(marked, (F.col("key") == F.col("_key")) & (F.col("piece") == F.col("_piece"))).select(
+    at = again.join(marked, (F.col("key") == F.col("_key")) & (F.col("piece") == F.col("_piece"))).select(
         F.col("content").alias("_content"), F.struct("place", "ranges").alias("mark")
     )
     gone = at.groupBy("_content").agg(F.collect_list("mark").alias("marks"))
