@@ -16,13 +16,13 @@ from spendframe.functions.dates import forecast_day
 from spendframe.functions.numbers import mean_of_present, nan_to_null
 from spendframe.operators.clean import long_enough, share_source
 from spendframe.operators.forecast import closed_forms as cf
-from spendframe.operators.forecast import auto_order, likelihood, network, numeric, smoothing, sparse_trend, trees
+from spendframe.operators.forecast import auto_order, direct, likelihood, network, numeric, smoothing, sparse_trend
 from spendframe.operators.forecast.options import ForecastOptions
 from spendframe.operators.spine import GRAIN, LAST, grain_of, horizon
 from spendframe.params import FORECAST_COLUMNS, FORECAST_METHODS, require_columns
 from spendframe.session import settle, shared_folder
 
-STEP, HORIZON, VALUES, DAYS = "step", "_horizon", "_values", "_days"
+STEP, HORIZON, VALUES, DAYS, TRAINED = "step", "_horizon", "_values", "_days", "_trained"
 _ARRAY_METHODS = ("arima", "sarima", "prophet", "neural_prophet")
 _TRAINED_FAMILIES = ("lag_forest", "lag_gbt")
 _MODEL_FAMILIES = ("arima", "auto_order", "lag_linear", "smoothing", "seasonal_theta", *_TRAINED_FAMILIES)
@@ -78,8 +78,10 @@ def fit(
             fitted, series_cols=series_cols, values=VALUES, steps=HORIZON,
             max_order=options.max_order, max_differences=options.max_differences, period=options.auto_seasonal_periods,
         )
-    models = _model_columns(rows, options, series_cols=series_cols, date_col=date_col, value_col=value_col)
-    return fitted.withColumns(models).drop(VALUES, DAYS, auto_order.FORECAST)
+    if options.darts_family in _TRAINED_FAMILIES:
+        fitted = _with_trained(fitted, options, series_cols)
+    models = _model_columns(options)
+    return fitted.withColumns(models).drop(VALUES, DAYS, auto_order.FORECAST, TRAINED)
 
 
 def trend_settings(options: ForecastOptions) -> sparse_trend.Settings:
@@ -93,7 +95,29 @@ def _arma_column(options: ForecastOptions, order, seasonal=(0, 0, 0, 1)) -> Colu
     return numeric.sarima_column(values, steps, order, seasonal, options.first_stage_lags)
 
 
-def _model_columns(rows, options, *, series_cols, date_col, value_col) -> dict[str, Column]:
+def _with_trained(fitted: DataFrame, options: ForecastOptions, series_cols: Sequence[str]) -> DataFrame:
+    """The forecasts of one tree model over all series; training runs its jobs here."""
+    names = {"values": VALUES, "steps": HORIZON, "lags": options.lags}
+    rows = direct.design_rows(fitted, series_cols=series_cols, **names)
+    if shared_folder(fitted.sparkSession):
+        rows = settle(rows)  # each level or tree reads the rows again
+    if options.darts_family == "lag_gbt":
+        settings = direct.Boosting(options.trees, options.tree_depth)
+        model = direct.train_boosting(rows, settings)
+        return fitted.withColumn(TRAINED, direct.boosting_column(model, F.col(VALUES), F.col(HORIZON), options.lags, settings))
+    if rows.isEmpty():
+        return fitted.withColumn(TRAINED, F.lit(None).cast("array<double>"))
+    model = direct.train_forest(rows, series_cols, trees=options.trees, depth=options.forest_depth)
+    keys = list(series_cols) or ["_all"]
+    if not series_cols:  # one series: both sides have one row
+        fitted = fitted.withColumn("_all", F.lit(0))
+    found = direct.forest_forecasts(model, fitted, series_cols=keys, **names)
+    found = found.select(*[F.col(c).alias(f"_of_{c}") for c in keys], F.col("_forecast").alias(TRAINED))
+    joined = fitted.join(found, [F.col(f"_of_{c}").eqNullSafe(F.col(c)) for c in keys], "left")
+    return joined.drop("_all", *[f"_of_{c}" for c in keys])
+
+
+def _model_columns(options: ForecastOptions) -> dict[str, Column]:
     """Columns computed from the value array: Holt-Winters state and the array forecasts."""
     values, steps = F.col(VALUES), F.col(HORIZON)
     columns: dict[str, Column] = {}
@@ -126,10 +150,7 @@ def _model_columns(rows, options, *, series_cols, date_col, value_col) -> dict[s
     elif family == "lag_linear":
         columns["_darts"] = numeric.lag_regression_column(values, steps, options.lags)
     elif family in _TRAINED_FAMILIES:
-        names = {"series_cols": series_cols, "date_col": date_col, "value_col": value_col}
-        pool = long_enough(rows, series_cols=series_cols, min_points=max(options.min_points, options.lags + 1))
-        forest = trees.train(pool, family, lags=options.lags, trees=options.trees, depth=options.tree_depth, **names)
-        columns["_darts"] = trees.forest_column(forest, values, steps, options.lags, options.tree_depth)
+        columns["_darts"] = F.col(TRAINED)
     return columns
 
 

@@ -32,10 +32,11 @@ class ForecastOptions:  # default values are fixed values
     the autoregression that estimates the shocks.  A series too short for the model has no forecast.
     ``max_order`` and ``max_differences`` bound the automatic order, ``auto_seasonal_periods`` is its season
     (1: none).  ``smoothing_periods``, ``smoothing_damped`` and ``theta_periods`` shape the ``darts``
-    column's fitted smoothing and its theta method, which takes a season out where a test finds one.  ``yearly``, ``weekly`` and ``daily`` are obeyed whatever the history's length
-    (daily terms are constant on daily series).  ``network_lags`` are those of the trained
-    network (fewer on a series of under four times as many rows).  ``trees`` and ``tree_depth`` shape both tree families,
-    which are one model over all series: adding a series changes the others' forecasts.
+    column's fitted smoothing and its theta method, which takes a season out where a test finds one.
+    ``yearly``, ``weekly`` and ``daily`` are obeyed whatever the history's length (daily terms are
+    constant on daily series).  ``network_lags`` are those of the trained network (fewer on a series of
+    under four times as many rows).  ``trees`` and ``tree_depth`` shape the boosted trees, ``trees`` and
+    ``forest_depth`` the forest; both are one model over all series: adding one changes the others' forecasts.
     """
 
     methods: tuple[str, ...] = ALWAYS_ON
@@ -69,6 +70,7 @@ class ForecastOptions:  # default values are fixed values
     lags: int = 12
     trees: int = 20
     tree_depth: int = 5
+    forest_depth: int = 10
 
     def __post_init__(self):
         for method in self.methods:
@@ -79,7 +81,9 @@ class ForecastOptions:  # default values are fixed values
         for name in ("es_alpha", "hw_alpha", "hw_beta", "hw_gamma"):
             if not 0.0 <= getattr(self, name) <= 1.0:
                 raise ValueError(f"{name} must lie between 0 and 1")
-        for name in ("sma_window", "hw_seasonal_periods", "min_points", "network_lags", "lags", "trees", "tree_depth", "auto_seasonal_periods", "smoothing_periods", "theta_periods"):
+        counts = ("sma_window", "min_points", "network_lags", "lags", "trees", "tree_depth", "forest_depth")
+        periods = ("hw_seasonal_periods", "auto_seasonal_periods", "smoothing_periods", "theta_periods")
+        for name in (*counts, *periods):
             if getattr(self, name) < 1:
                 raise ValueError(f"{name} must be at least 1")
         if self.darts_algorithm is not None:

@@ -1,35 +1,11 @@
-"""Tree ensembles on lagged values: one MLlib model for all series, iterated forward per series.
-
-Training is pooled.  Each series is divided by its mean absolute value first, so that large and
-small series share one model; MLlib trains it distributed.  Fitting starts jobs when called.
-
-A recursive forecast feeds each step's value into the next, which MLlib's ``transform`` could only
-do with one job per step.  The trained trees are small (``trees x 2^depth`` nodes, whatever the
-data size), so they travel inside an Arrow UDF that steps a whole batch of series at once.
-"""
+"""Lagged values as columns, the design of the linear lag model; ``direct`` has that of the tree models."""
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import Column, DataFrame, Window
-from pyspark import cloudpickle
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from spendframe.functions.numbers import ratio
-
-SEED = 42
-# Parts of the training rows: the bootstrap draws by part, so the count must not follow the cluster
-TRAINING_PARTS = 32
-
-# Send these functions with the task: executors then need NumPy and pandas, but not this package
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def lag_features(
@@ -39,86 +15,3 @@ def lag_features(
     w = Window.partitionBy(*series_cols).orderBy(date_col, value_col)
     lagged = df.withColumns({f"lag_{i}": F.lag(value_col, i).over(w) for i in range(1, lags + 1)})
     return lagged.filter(F.col(f"lag_{lags}").isNotNull())
-
-
-def train(
-    df: DataFrame, family: str, *, series_cols: Sequence[str], date_col: str, value_col: str, lags: int, trees: int, depth: int
-) -> list[tuple[float, dict[str, np.ndarray]]]:
-    """Fit the pooled model; returns ``(weight, nodes)`` per tree.
-
-    Rows are dealt by a hash of their series and date into a fixed number of parts and sorted within,
-    so the model is a function of the data alone, whatever the shuffle width.
-    """
-    level = F.avg(F.abs(value_col)).over(Window.partitionBy(*series_cols))
-    scaled = df.withColumn(value_col, F.coalesce(ratio(F.col(value_col), level), F.lit(0.0)))
-    rows = lag_features(scaled, series_cols=series_cols, date_col=date_col, value_col=value_col, lags=lags)
-    assembler = VectorAssembler(inputCols=[f"lag_{i}" for i in range(1, lags + 1)], outputCol="features")
-    keys = [*series_cols, date_col]
-    dealt = rows.repartition(TRAINING_PARTS, F.xxhash64(*keys)).sortWithinPartitions(*keys, value_col)
-    frame = assembler.transform(dealt).select("features", F.col(value_col).alias("label"))
-    if family == "lag_forest":
-        model = RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=SEED).fit(frame)
-        weights = [1.0 / trees] * trees
-    else:
-        model = GBTRegressor(maxIter=trees, maxDepth=depth, seed=SEED).fit(frame)
-        weights = list(model.treeWeights)
-    return [(weight, _nodes(tree)) for weight, tree in zip(weights, model.trees, strict=True)]
-
-
-def _nodes(tree) -> dict[str, np.ndarray]:
-    """A trained tree as flat arrays; leaves point at themselves."""
-    feature, threshold, left, right, value = [], [], [], [], []
-
-    def add(node) -> int:
-        at = len(value)
-        value.append(node.prediction())
-        inner = node.subtreeDepth() > 0
-        feature.append(node.split().featureIndex() if inner else 0)
-        threshold.append(node.split().threshold() if inner else 0.0)
-        left.append(at)
-        right.append(at)
-        if inner:
-            left[at] = add(node.leftChild())
-            right[at] = add(node.rightChild())
-        return at
-
-    add(tree._java_obj.rootNode())
-    arrays = {"feature": feature, "threshold": threshold, "left": left, "right": right, "value": value}
-    return {name: np.array(items) for name, items in arrays.items()}
-
-
-def _predict(forest, x: np.ndarray, depth: int) -> np.ndarray:
-    rows = np.arange(len(x))
-    total = np.zeros(len(x))
-    for weight, nodes in forest:
-        at = np.zeros(len(x), dtype=int)
-        for _ in range(depth):
-            goes_left = x[rows, nodes["feature"][at]] <= nodes["threshold"][at]
-            at = np.where(goes_left, nodes["left"][at], nodes["right"][at])
-        total += weight * nodes["value"][at]
-    return total
-
-
-def forest_column(forest, values: Column, steps: Column, lags: int, depth: int) -> Column:
-    """Forecast arrays from the trained trees; NULL for a series without enough lags."""
-
-    def walk(series: pd.Series, horizon: pd.Series) -> pd.Series:
-        results: list[np.ndarray | None] = [None] * len(series)
-        usable = [i for i, v in enumerate(series) if len(v) >= lags]
-        if usable:
-            arrays = [np.asarray(series.iloc[i], dtype=float) for i in usable]
-            level = np.array([np.abs(a).mean() or 1.0 for a in arrays])
-            recent = np.stack([a[-lags:][::-1] for a in arrays]) / level[:, None]
-            wanted = horizon.iloc[usable].to_numpy()
-            out = np.empty((len(usable), int(wanted.max())))
-            for step in range(out.shape[1]):
-                out[:, step] = _predict(forest, recent, depth)
-                recent = np.column_stack([out[:, step], recent[:, :-1]])
-            for row, i in enumerate(usable):
-                results[i] = out[row, : wanted[row]] * level[row]
-        return pd.Series(results, dtype=object)
-
-    def typed(series: pd.Series, horizon: pd.Series) -> pd.Series:
-        return walk(series, horizon)
-
-    return F.pandas_udf(typed, T.ArrayType(T.DoubleType()))(values, steps)

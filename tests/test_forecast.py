@@ -236,7 +236,7 @@ def test_options_are_checked():
         with pytest.raises(ValueError):
             ForecastOptions(**bad)
     with pytest.warns(UserWarning):
-        assert ForecastOptions(darts_algorithm="nope").darts_family == "hw"
+        assert ForecastOptions(darts_algorithm="nope").darts_family == "smoothing"
     assert ForecastOptions(darts_algorithm="theta").methods[-1] == "darts"
 
 
@@ -323,18 +323,6 @@ def test_tree_models(series, name):
     assert [r.darts for r in rows] == pytest.approx(values[-12:], abs=12)
 
 
-def test_tree_walk_equals_mllib(spark):
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import RandomForestRegressor
-
-    df = spark.range(300).select(F.rand(1).alias("a"), F.rand(2).alias("b")).withColumn("label", F.col("a") * 3 - F.col("b"))
-    frame = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(df).cache()
-    model = RandomForestRegressor(numTrees=5, maxDepth=5, seed=1).fit(frame)
-    forest = [(1 / 5, trees._nodes(t)) for t in model.trees]
-    rows = model.transform(frame).collect()
-    assert trees._predict(forest, np.array([[r.a, r.b] for r in rows]), 5) == pytest.approx([r.prediction for r in rows])
-
-
 def test_lag_features(daily_30):
     rows = trees.lag_features(daily_30, series_cols=[], lags=3, **NAMES).orderBy("PeriodStart").collect()
     assert len(rows) == 27 and (rows[0].Cost, rows[0].lag_1, rows[0].lag_3) == (16.0, 14.0, 10.0)

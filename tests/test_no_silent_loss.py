@@ -112,9 +112,10 @@ def test_product_lags():
     assert numeric._product_lags(1, 1, 12) == [1, 12, 13]
 
 
-def test_forest_does_not_follow_the_shuffle_width(spark, series):
+@pytest.mark.parametrize("name", ["random_forest", "xgboost"])
+def test_trees_do_not_follow_the_shuffle_width(spark, series, name):
     df = series(days_from("2025-01-01", 60), [10 + (i * 7) % 13 for i in range(60)])
-    options = ForecastOptions(methods=("darts",), darts_algorithm="random_forest", trees=4)
+    options = ForecastOptions(methods=("darts",), darts_algorithm=name, trees=4)
     before, found = spark.conf.get("spark.sql.shuffle.partitions"), []
     try:
         for width in ("2", "8", "64"):

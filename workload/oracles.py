@@ -228,6 +228,18 @@ SELECT x.service, {MONTHLY_STEP} AS period_start, round(p.f * (a + b * h
   + 2 * (2 * (v0 - a) + a) - (2 * (v1 - (a - b)) + a - b) - a), 2) AS value
 FROM x JOIN factors p ON p.service = x.service AND p.phase = (x.n + h - 1) % 12"""
 
+#: Design rows of the tree models: twelve scaled values before an origin, a step, and the value so many steps on
+DIRECT = f"""WITH k AS ({numbered(MONTHLY)}), s AS (SELECT service, avg(abs(cost)) AS level FROM k GROUP BY 1),
+v AS (SELECT k.*, cost / level AS x FROM k JOIN s USING (service)),
+o AS (SELECT service, k + 1 AS origin, n, {", ".join(f"lag(x, {i}) OVER (PARTITION BY service ORDER BY k) AS lag_{i + 1}" if i else "x AS lag_1" for i in range(12))}
+  FROM v QUALIFY k >= 11 AND k < n - 1)
+SELECT o.service, o.origin, v.k + 1 - o.origin AS step, v.x AS label, {", ".join(f"lag_{i}" for i in range(1, 13))}
+FROM o JOIN v ON v.service = o.service AND v.k + 1 - o.origin BETWEEN 1 AND 12"""
+DIRECT_BINS = " UNION ALL ".join(
+    [f"SELECT {i - 1} AS feature, greatest(0, least(63, floor(lag_{i} * 8)))::BIGINT AS bin, label FROM d" for i in range(1, 13)]
+    + ["SELECT 12, greatest(0, least(63, ceil(step / 12 * 64) - 1))::BIGINT, label FROM d"]
+)
+
 #: The exact likelihood of x ~ ARMA(1, 1) by its innovations: errors e with variances f of one for a variance of one,
 #: f[0] from the stationary variance; -2/n times the log-likelihood, but for constants.
 ARMA_11 = """list_reduce(list_prepend(
@@ -385,6 +397,14 @@ def oracle_sql() -> dict[str, str]:
               regr_intercept(cost, period_start - DATE '1995-01-01') AS b FROM s GROUP BY 1),
             x AS (SELECT *, {DAYS} FROM f)
             SELECT service, {DAILY_STEP} AS period_start, round(b + a * ({DAILY_STEP} - DATE '1995-01-01'), 2) AS value FROM x""",
+        "direct_design": f"""SELECT service, origin::INTEGER AS origin, step::INTEGER AS step, round(label, 6) AS label,
+            {", ".join(f"round(lag_{i}, 6) AS lag_{i}" for i in range(1, 13))} FROM ({DIRECT})""",
+        "boosting_first_split": f"""WITH d AS ({DIRECT}), b AS ({DIRECT_BINS}),
+            h AS (SELECT feature, bin, sum(1 - label) AS g, count(*) AS h FROM b GROUP BY 1, 2),
+            c AS (SELECT feature, bin, sum(g) OVER w AS gl, sum(h) OVER w AS hl, sum(g) OVER (PARTITION BY feature) AS g,
+              sum(h) OVER (PARTITION BY feature) AS h FROM h WINDOW w AS (PARTITION BY feature ORDER BY bin))
+            SELECT feature, bin, hl::BIGINT AS rows_left,
+              round(0.5 * (gl * gl / (hl + 1) + (g - gl) * (g - gl) / (h - hl + 1) - g * g / (h + 1)), 3) AS gain FROM c WHERE hl < h""",
         "smoothing_models": f"SELECT DISTINCT service, true AS no_worse, true AS inside, 14 AS n_states FROM ({MONTHLY})",
         "forecast_theta_seasonal": THETA_SEASONAL,
         "sarima_models": f"SELECT DISTINCT service, true AS inside, true AS at_maximum, 1 AS n_ar FROM ({MONTHLY})",

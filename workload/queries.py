@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from functools import partial
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spendframe.functions.numbers import amount_text
 from spendframe.operators import anomalies, budgets, clean, combine, events, generate, spine
 from spendframe.operators.forecast import closed_forms as cf
-from spendframe.operators.forecast import forecast_rows, models, trees
+from spendframe.operators.forecast import direct, forecast_rows, models, trees
 from spendframe.operators.forecast import forecast_table as actuals_and_forecasts
 from spendframe.operators.forecast.options import ForecastOptions
 from spendframe.params import FORECAST_COLUMNS
@@ -383,6 +384,40 @@ def forecast_lag_linear(spark, sf):
     return darts_rows(line_daily(spark, sf), "linear_regression")
 
 
+def monthly_arrays(spark, sf) -> DataFrame:
+    series = priority_monthly(spark, sf).select("service", "period_start", "cost")
+    numbered = cf.number_from_newest(series, **SERIES)
+    return numbered.groupBy("service").agg(cf.values_oldest_first(F.col("cost")).alias("v"), F.lit(12).alias("steps"))
+
+
+@query
+def direct_design(spark, sf):
+    """The rows that the tree models learn from."""
+    rows = direct.design_rows(monthly_arrays(spark, sf), series_cols=["service"], values="v", steps="steps")
+    lags = [F.round(F.col("features")[k], 6).alias(f"lag_{k + 1}") for k in range(12)]
+    return rows.select("service", "origin", "step", F.round("label", 6).alias("label"), *lags)
+
+
+@query
+def boosting_first_split(spark, sf):
+    """Gain of each split of the first tree's root, from the histograms that the boosting is grown on."""
+    rows = direct.design_rows(monthly_arrays(spark, sf), series_cols=["service"], values="v", steps="steps")
+    settings = direct.Boosting()
+    root = direct.Tree(np.array([-1]), np.array([0]), np.array([0.0]))
+    found = direct.histograms(rows, 1.0, [], root, 0, settings)
+    window = Window.partitionBy("feature").orderBy("bin")
+    g, h = F.col("g") / 2.0**direct.UNIT, F.col("h")
+    each = found.select("feature", "bin", F.sum(g).over(window).alias("gl"), F.sum(h).over(window).alias("hl"))
+    whole = found.groupBy("feature").agg(F.sum(g).alias("g"), F.sum(h).alias("h"))
+    each = each.join(whole, "feature").where("hl < h")
+
+    def term(a, b):
+        return a * a / (b + settings.ridge)
+
+    gain = 0.5 * (term(F.col("gl"), F.col("hl")) + term(F.col("g") - F.col("gl"), F.col("h") - F.col("hl")) - term(F.col("g"), F.col("h")))
+    return each.select("feature", "bin", F.col("hl").cast("long").alias("rows_left"), F.round(gain, 3).alias("gain"))
+
+
 @query
 def forecast_lag_forest(spark, sf):
     return darts_rows(priority_monthly(spark, sf), "random_forest")
