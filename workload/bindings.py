@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendframe.operators.forecast.options import ForecastOptions
+from spendframe.session import shared_folder
 from spendframe.sources.reports import parse_report_pages
 from spendframe.sources.usage import cost_by_period, dimension, everything, tag
 
@@ -115,6 +118,27 @@ def report_pages(costs: DataFrame, metric: str = "UnblendedCost") -> DataFrame:
     return parse_report_pages(costs.select(page.alias("page")), "page")
 
 
+def monthly_pages(costs: DataFrame, metric: str = "UnblendedCost") -> DataFrame:
+    """Report JSON with a page a month: several periods, several groups each, and on the 13th another metric only."""
+    named = F.when(F.dayofmonth("period_start") == 13, "Other").otherwise(metric)
+    measures = F.create_map(named, F.struct(F.col("cost").cast("string").alias("Amount"), F.lit("USD").alias("Unit")))
+    groups = F.collect_list(F.struct(F.array("service").alias("Keys"), measures.alias("Metrics"))).alias("Groups")
+    whole = F.struct(F.count("*").cast("string").alias("Amount"), F.lit("lines").alias("Unit"))
+    start = F.col("period_start").cast("string")
+    periods = costs.groupBy("period_start").agg(groups, whole.alias("_whole")).select(
+        F.trunc("period_start", "month").alias("month"),
+        F.struct(F.struct(start.alias("Start"), start.alias("End")).alias("TimePeriod"), F.create_map(F.lit(metric), F.col("_whole")).alias("Total"), "Groups").alias("_period"),
+    )
+    pages = periods.groupBy("month").agg(F.collect_list("_period").alias("ResultsByTime"))
+    return parse_report_pages(pages.select(F.to_json(F.struct("ResultsByTime")).alias("page")), "page")
+
+
+def scratch(spark, name: str) -> str:
+    """A path of its own in the folder that executors share, else in the warehouse."""
+    folder = shared_folder(spark) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def total_daily(spark, sf_dir) -> DataFrame:
     return cost_by_period(
         table(spark, sf_dir, "events"), ts_col="ts", amount="value", group=everything(), group_col="service"

@@ -303,6 +303,8 @@ def report_sql(series: str, key: str = "service", name: str = "Service") -> str:
 printf('%.6f', cost) AS "UnblendedCost" FROM ({series})"""
 
 
+PAGES = f"""SELECT CAST(period_start AS VARCHAR) AS "PeriodStart", service AS "Service",
+CASE WHEN day(period_start) = 13 THEN '' ELSE printf('%.6f', cost) END AS "UnblendedCost" FROM ({SERVICE_DAILY})"""
 TOTAL_DAILY = """SELECT 'Total' AS service, CAST(ts AS DATE) AS period_start, round(sum(value), 6) AS cost
 FROM events GROUP BY 2"""
 STEP_TABLES = {
@@ -338,6 +340,14 @@ def oracle_sql() -> dict[str, str]:
             o_orderpriority AS "Service", round(sum(o_totalprice), 6) AS "UnblendedCost" FROM orders
             WHERE o_orderdate >= DATE '2000-07-01' AND o_orderdate < DATE '2000-11-21' GROUP BY 1, 2""",
         "report_json_grouped": report_sql(SERVICE_DAILY),
+        "report_json_pages": PAGES,
+        "report_pages_files": PAGES,
+        "report_json_pages_total": f"""SELECT CAST(period_start AS VARCHAR) AS "PeriodStart", 'Total' AS "Group",
+            printf('%.6f', count(*)::DOUBLE) AS "UnblendedCost" FROM ({SERVICE_DAILY}) GROUP BY 1""",
+        "csv_files": SERVICE_DAILY,
+        "json_document": f"SELECT 'costs' AS command, * FROM ({SERVICE_DAILY})",
+        "cost_explicit_range": """SELECT event_type AS "Service", CAST(ts AS DATE) AS "PeriodStart", round(sum(value), 6) AS "UnblendedCost"
+            FROM events WHERE ts >= DATE '2024-01-05' AND ts < DATE '2024-01-20' GROUP BY 1, 2""",
         "report_json_total": report_sql(TOTAL_DAILY, name="Group"),
         "report_pages_union": f"{report_sql(SERVICE_DAILY)} UNION ALL {report_sql(MONTHLY)}",
         "report_amount_fmt": """SELECT event_id, CASE event_type WHEN 'error' THEN 'n/a error' WHEN 'signup' THEN ''

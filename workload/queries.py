@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from functools import partial
 
 import numpy as np
@@ -17,20 +18,25 @@ from spendframe.operators.forecast.options import ForecastOptions
 from spendframe.params import FORECAST_COLUMNS
 from spendframe.plans import anomaly_report, cost_report, what_if
 from spendframe.plans.reports import fitted_values
+from spendframe.sinks.document import write_json_document
+from spendframe.sinks.files import write_csv, write_report_pages
 from spendframe.sources import reports
 from spendframe.sources.budgets import parse_budgets
+from spendframe.sources.files import read_input
 from spendframe.sources.usage import cost_by_period, dimension
 from workload.bindings import (
     SERIES,
     account_service_daily,
     line_daily,
     mixed_grains,
+    monthly_pages,
     only,
     order_days,
     priority_monthly,
     region_budgets,
     report_pages,
     rounded,
+    scratch,
     service_daily,
     supplier_daily,
     table,
@@ -131,6 +137,50 @@ def report_json_total(spark, sf):
     return reports.total_rows(report_pages(total_daily(spark, sf)), "UnblendedCost")
 
 
+@query
+def report_json_pages(spark, sf):
+    return reports.grouped_rows(monthly_pages(service_daily(spark, sf)), "UnblendedCost", "Service")
+
+
+@query
+def report_json_pages_total(spark, sf):
+    return reports.total_rows(monthly_pages(service_daily(spark, sf)), "UnblendedCost")
+
+
+@query
+def report_pages_files(spark, sf):
+    """Pages written raw and read back."""
+    path = scratch(spark, "pages")
+    write_report_pages(monthly_pages(service_daily(spark, sf)), path)
+    return reports.grouped_rows(reports.read_report_pages(spark, path, lines=True), "UnblendedCost", "Service")
+
+
+@query
+def csv_files(spark, sf):
+    """A series written as CSV, read back as text with its columns checked, and its dates held to be dates."""
+    path = scratch(spark, "csv")
+    write_csv(service_daily(spark, sf), path)
+    rows = clean.strict_dates(read_input(spark, path, ["period_start", "cost"]), date_col="period_start")
+    return rows.select("service", "period_start", F.col("cost").cast("double").alias("cost"))
+
+
+@query
+def json_document(spark, sf):
+    """A report as one JSON document, read back."""
+    path = f"{scratch(spark, 'document')}.json"
+    write_json_document(service_daily(spark, sf), path, command="costs", parameters={"grain": "daily"}, as_of=dt.datetime(2001, 8, 1))
+    rows = spark.read.option("multiLine", True).json(path).select("command", F.explode("data").alias("d"))
+    return rows.select("command", "d.service", F.col("d.period_start").cast("date").alias("period_start"), "d.cost")
+
+
+@query
+def cost_explicit_range(spark, sf):
+    return cost_report(
+        table(spark, sf, "events"), ts_col="ts", amount="value", as_of=AS_OF, group=dimension("event_type", "Service"),
+        start="2024-01-05", end="2024-01-20",
+    )
+
+
 @query
 def report_pages_union(spark, sf):
     daily = report_pages(service_daily(spark, sf))
