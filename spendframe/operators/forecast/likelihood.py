@@ -83,7 +83,7 @@ def coefficients(partials: np.ndarray) -> np.ndarray:
 
 def unfold(points: np.ndarray, order: Order) -> list[np.ndarray]:
     """The four coefficient tables (order, N) at the search's points (N, parameters): p, P, q, Q."""
-    partials = LIMIT * np.tanh(points.T)
+    partials = LIMIT * np.sin(points.T)  # bounds are reached at finite points, where the search ends as fast as inside
     ends = np.cumsum([0, *order.sizes])
     parts = [coefficients(partials[a:b]) for a, b in zip(ends[:-1], ends[1:])]
     return [parts[0], parts[1], -parts[2], -parts[3]]

@@ -36,7 +36,7 @@ def start_points(count: int, spread: float = 0.8, most: int = 64) -> np.ndarray:
 
 
 def minimize(
-    objective: Callable[[np.ndarray, np.ndarray], np.ndarray], problems: int, starts: np.ndarray, *, rounds: int = 80, enough: float = 1e-10
+    objective: Callable[[np.ndarray, np.ndarray], np.ndarray], problems: int, starts: np.ndarray, *, rounds: int = 80, enough: float = 1e-13
 ) -> tuple[np.ndarray, np.ndarray]:
     """(points, values): the lowest point found for each problem.
 

@@ -108,6 +108,7 @@ class DocumentWriter(DataSourceWriter):
         self._clear(store, folder)
 
     def abort(self, messages: list[Part | None]) -> None:
+        """Removes the parts; a task that is killed after this may leave one beside the document's place."""
         self._clear(*_store(self.parts))
 
     @staticmethod

@@ -283,7 +283,7 @@ SARIMA_111_010 = arma_11(
     f"""SELECT service, max(period_start) AS last, list(cost ORDER BY k) AS c, list(d ORDER BY k) FILTER (d IS NOT NULL) AS x
     FROM (SELECT *, s - lag(s) OVER (PARTITION BY service ORDER BY k) AS d FROM (
       SELECT *, cost - lag(cost, 12) OVER (PARTITION BY service ORDER BY k) AS s FROM ({numbered(MONTHLY)}))) GROUP BY service""",
-    "round(c[len(c) - 12 + h] + c[len(c)] - c[len(c) - 12] + next * (1 - pow(p, h)) / (1 - p), -3)", MONTHS, MONTHLY_STEP,
+    "round(c[len(c) - 12 + h] + c[len(c)] - c[len(c) - 12] + next * (1 - pow(p, h)) / (1 - p), -4)", MONTHS, MONTHLY_STEP,
 )
 #: AR(1) of differences: the derivative of its exact likelihood is a cubic with one root inside (-1, 1), found by halving
 ARIMA_110_EXACT = f"""WITH RECURSIVE k AS ({numbered(LINE_DAILY)}),

@@ -350,7 +350,7 @@ def forecast_arima(spark, sf):
 def forecast_sarima_111_010(spark, sf):
     """The seasonal difference and a plain ARMA: with no seasonal coefficient, SQL can search for the rest."""
     settings = {"sarima_order": (1, 1, 1), "sarima_seasonal_order": (0, 1, 0, 12)}
-    return one_method(priority_monthly(spark, sf), "sarima", digits=-3, **settings)
+    return one_method(priority_monthly(spark, sf), "sarima", digits=-4, **settings)
 
 
 @query
