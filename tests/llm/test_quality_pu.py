@@ -16,11 +16,37 @@ def test_prior_and_weights_without_negatives():
         n = int(4000 * share)
         unlabelled = np.concatenate([positive[:n][::-1], negative[: 4000 - n]])
         rng.shuffle(unlabelled)
-        weights, prior = q.fit_pu(positive, unlabelled, q.PuOptions())
+        options = q.PuOptions()
+        p, u = q._spread(positive), q._spread(unlabelled)
+        half = q.first_fit(p[::2], u[::2], options)
+        bins = [np.bincount(np.floor(q._sigmoid(z[1::2] @ half) * q.BINS).astype(int), minlength=q.BINS + 1) for z in (p, u)]
+        prior = q.class_prior(*bins, options.confidence)
+        weights = q.fit_risk(p, u, prior, options)
         assert abs(prior - share) < 0.08
         assert (q._spread(positive) @ weights > 0).mean() > 0.97 and (q._spread(negative) @ weights < 0).mean() > 0.97
 
 
+def test_refined_weights_are_the_minimum_over_all_rows(spark):
+    """The risk of all unlabelled rows, in NumPy: no moved weight has a lower one; a sample's minimum has a higher."""
+    rng = np.random.default_rng(2)
+    positive = np.clip(rng.normal(0.35, 0.15, (800, len(q.MEASURES))), 0, 1)
+    unlabelled = np.clip(np.concatenate([rng.normal(0.35, 0.15, (900, len(q.MEASURES))), rng.normal(0.6, 0.15, (2100, len(q.MEASURES)))]), 0, 1)
+    options, prior = q.PuOptions(decay=1e-2, passes=12), 0.3
+    p, u = q._spread(positive), q._spread(unlabelled)
+
+    def risk(w):
+        sp, su = q._sigmoid(p @ w), q._sigmoid(u @ w)
+        negative = -np.log(1 - su + 1e-12).mean() + prior * np.log(1 - sp + 1e-12).mean()
+        return max(0.0, negative) - prior * np.log(sp + 1e-12).mean() + options.decay * w @ w / 2
+
+    start = q.fit_risk(p, u[::10], prior, options)
+    frame = spark.createDataFrame([(row.tolist(),) for row in unlabelled], "x array<double>")
+    got = q.refine(start, prior, p, u[::10], frame, options)
+    assert risk(got) < risk(start)
+    assert all(risk(got + rng.normal(scale=s, size=len(got))) > risk(got) - 1e-7 for s in (1e-3, 0.1) for _ in range(200))
+    assert (q.refine(start, prior, p, u[::10], frame.limit(0), options) == start).all()
+
+
 def test_held_out_rows(spark):
     docs, labels = (table(spark, "/root/testdata/sf0.1", n) for n in ("documents", "labels"))
     got = {r.doc_id: r for r in q.score(docs, labels).collect()}
