@@ -6,12 +6,18 @@ hash to template and place.  All grams of a document probe the index, so any sha
 window + gram - 1 words is found.  An alignment in a band around a hit's diagonal counts the
 template's words that occur there in order; from a place found, the search goes on in the words left.
 
+Coverage is matched words over the longer of template and place, so words that stand between count
+against a place as missing ones do.  Words that tell relatives apart (``KEYS``, and versions in short
+templates) must be the template's own, no more and no fewer.  Of places that share words, the best
+covered one names them.
+
 The index travels to every task: templates are limited to ``INDEX_BYTES`` of text, checked, which is
 hundreds of licenses.  Documents are never shuffled.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import itertools
 import re
@@ -27,6 +33,46 @@ from spendframe.llm.base import by_bytes, pick, texts_of
 INDEX_BYTES = 4 << 20
 WORDS = re.compile(r"[^\W_]+")
 
+#: Parts of the templates below that several licenses share.
+_GNU = (
+    ("GPL-3.0", "General Public License", "3"),
+    ("GPL-2.0", "General Public License", "2"),
+    ("LGPL-3.0", "Lesser General Public License", "3"),
+    ("LGPL-2.1", "Lesser General Public License", "2.1"),
+    ("AGPL-3.0", "Affero General Public License", "3"),
+)
+_GNU_LINE = "This work is licensed under the GNU {}, version {}."
+_GNU_NOTICE = (
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published "
+    "by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+)
+_BSD_HEAD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
+    "are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+    "documentation and/or other materials provided with the distribution."
+)
+_BSD_THIRD = (
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this "
+    "software without specific prior written permission."
+)
+_BSD_END = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED '
+    "TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR "
+    "CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, "
+    "PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF "
+    "LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS "
+    "SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_CREATIVE = (
+    ("BY", "Attribution"),
+    ("BY-SA", "Attribution-ShareAlike"),
+    ("BY-NC", "Attribution-NonCommercial"),
+    ("BY-ND", "Attribution-NoDerivatives"),
+    ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
+    ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"),
+)
+
 #: Names of licenses and the words they are announced with.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -45,24 +91,40 @@ TEMPLATES = (
         "publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
         "subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or "
         'substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING '
-        "BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
+        "BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE "
+        "AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, "
+        "ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     ),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     (
-        "GPL-3.0",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published "
-        "by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that "
+        'the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS '
+        "ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE "
+        "AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, "
+        "DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE "
+        "OR PERFORMANCE OF THIS SOFTWARE.",
     ),
+    *((name, _GNU_LINE.format(kind, version)) for name, kind, version in _GNU),
+    *((name, _GNU_NOTICE.format(kind, version)) for name, kind, version in _GNU),
+    ("BSD-2-Clause", f"{_BSD_HEAD} {_BSD_END}"),
+    ("BSD-3-Clause", f"{_BSD_HEAD} {_BSD_THIRD} {_BSD_END}"),
+    *((f"CC-{short}-4.0", f"Licensed under CC {short} 4.0.") for short, _ in _CREATIVE),
+    *((f"CC-{short}-4.0", f"This work is licensed under a Creative Commons {long} 4.0 International License.") for short, long in _CREATIVE),
     (
-        "BSD-3-Clause",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
-        "are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "MPL-2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this "
+        "file, You can obtain one at http://mozilla.org/MPL/2.0.",
     ),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("All-Rights-Reserved", "All rights reserved."),
 )
 
+#: Words that tell relatives of a license apart.  A place must hold just those of its template;
+#: of templates with fewer than NUMBERED words also the same numbers, which are versions there.
+KEYS = frozenset(
+    "affero lesser library mit bsd isc apache mozilla gnu by nc nd sa attribution noncommercial noderivatives noderivs sharealike".split()
+)
+NUMBERED = 60
 
 def words_of(text: str) -> tuple[list[str], list[tuple[int, int]]]:
     found = list(WORDS.finditer(text))
@@ -109,8 +171,12 @@ class Scanner:
         self.gram, self.band, self.coverage = gram, band, coverage
         self.names = [name for name, _ in templates]
         texts = [words_of(text)[0] for _, text in templates]
-        self.numbers = {word: k + 1 for k, word in enumerate(sorted({w for t in texts for w in t}))}
+        self.numbers = {word: k + 1 for k, word in enumerate(sorted({w for t in texts for w in t} | KEYS))}
+        digits = {n for w, n in self.numbers.items() if w.isdecimal()}
+        keys = {self.numbers[w] for w in KEYS}
+        self.keys = [keys | digits if len(t) < NUMBERED else keys for t in texts]
         self.templates = [[self.numbers[w] for w in t] for t in texts]
+        self.own_keys = [Counter(n for n in t if n in k) for t, k in zip(self.templates, self.keys)]
         self.base = len(self.numbers) + 1
         places: dict[int, list[tuple[int, int]]] = {}
         for number, template in enumerate(self.templates):
@@ -144,33 +210,39 @@ class Scanner:
                 shifts.setdefault(number, []).append((place, place - own))
         return shifts
 
-    def _align(self, template: list[int], numbers: np.ndarray, low: int, high: int, shift: int):
-        """(matched, first, last) within words ``low`` to ``high``, None below the coverage."""
+    def _align(self, which: int, numbers: np.ndarray, low: int, high: int, shift: int):
+        """(matched, first, last) within words ``low`` to ``high``, None below the coverage or with another license's words."""
+        template = self.templates[which]
         low, high = max(0, low, shift - self.band), min(high, shift + len(template) + self.band)
         part, least = numbers[low : max(low, high)].tolist(), self.coverage * len(template)
         if (Counter(template) & Counter(part)).total() < least:
             return None
         matched, first, last = align(template, part, shift - low, self.band)
-        return (matched, low + first, low + last) if matched >= least else None
+        if matched < max(least, self.coverage * (last - first + 1)):
+            return None
+        keys = self.keys[which]
+        if Counter(n for n in part[first : last + 1] if n in keys) != self.own_keys[which]:
+            return None
+        return matched, low + first, low + last
 
-    def _places(self, template, hits, numbers, low: int, high: int, failed: set[int]) -> Iterator[tuple[int, int, int]]:
+    def _places(self, which: int, hits, numbers, low: int, high: int, failed: set[int]) -> Iterator[tuple[int, int, int]]:
         """Places between words ``low`` and ``high`` that share no word.
 
         From the first hit that is left, the diagonals of the hits within reach are tried, those with most hits
         first.  The search goes on in the words before the place found and from its last word."""
-        reach = len(template) + 2 * self.band
+        reach = len(self.templates[which]) + 2 * self.band
         for k, (place, _) in enumerate(hits):
             while place >= low:
                 near = list(itertools.takewhile(lambda hit: hit[0] < place + reach, itertools.islice(hits, k, None)))
                 for shift, _ in Counter(shift for at, shift in near if at >= low and shift not in failed).most_common():
-                    if found := self._align(template, numbers, low, high, shift):
+                    if found := self._align(which, numbers, low, high, shift):
                         break
                     failed.add(shift)
                 else:
                     break
                 before = [hit for hit in near if low <= hit[0] and hit[0] + self.gram <= found[1]]
                 if before:
-                    yield from self._places(template, before, numbers, low, found[1], set(failed))
+                    yield from self._places(which, before, numbers, low, found[1], set(failed))
                 yield found
                 low = found[2] + 1
 
@@ -182,19 +254,22 @@ class Scanner:
         found = []
         for number, hits in self.candidates(numbers).items():
             size = len(self.templates[number])
-            for matched, first, last in self._places(self.templates[number], hits, numbers, 0, len(words), set()):
-                found.append((self.names[number], matched / size, matched, spans[first][0], spans[last][1]))
-        return _without_covered(found)
+            for matched, first, last in self._places(number, hits, numbers, 0, len(words), set()):
+                found.append((self.names[number], matched / max(size, last - first + 1), matched, spans[first][0], spans[last][1]))
+        return _best_of(found)
 
 
-def _without_covered(found):
-    """Of the same license, places inside a longer one are left out."""
-    found.sort(key=lambda f: (f[3] - f[4], f[3], f[0], -f[1]))
+def _best_of(found):
+    """Places that share no words: of those that do, the one with most matched words, then the best covered."""
     kept: list[tuple[str, float, int, int, int]] = []
-    for one in found:
-        if not any(k[0] == one[0] and k[3] <= one[3] and one[4] <= k[4] for k in kept):
-            kept.append(one)
-    return sorted(kept, key=lambda f: (f[3], f[4], f[0]))
+    starts: list[int] = []
+    for one in sorted(found, key=lambda f: (-f[2], -f[1], f[3], f[0])):
+        at = bisect.bisect_left(starts, one[4])  # kept places are apart, so only the last one that starts before can touch
+        if at and kept[at - 1][4] > one[3]:
+            continue
+        kept.insert(at, one)
+        starts.insert(at, one[3])
+    return kept
 
 
 def scan(
@@ -208,7 +283,8 @@ def scan(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """One row per place: ``doc_id``, ``license``, ``coverage``, ``n_matched`` (template words), ``start``, ``end`` (code points).
+    """One row per place: ``doc_id``, ``license``, ``coverage`` (matched words over the longer of template and place),
+    ``n_matched`` (template words), ``start``, ``end`` (code points).  Places share no words.
 
     Null and empty texts hold none; null ids are kept; repeated rows are reported each; templates without
     words are left out; other columns are ignored; an empty table gives no rows."""
