@@ -99,8 +99,8 @@ def _with_trained(fitted: DataFrame, options: ForecastOptions, series_cols: Sequ
     """The forecasts of one tree model over all series; training runs its jobs here."""
     names = {"values": VALUES, "steps": HORIZON, "lags": options.lags}
     rows = direct.design_rows(fitted, series_cols=series_cols, **names)
-    if shared_folder(fitted.sparkSession):
-        rows = settle(rows)  # each level or tree reads the rows again
+    # each level or tree reads the rows again
+    rows = settle(rows) if shared_folder(fitted.sparkSession) else rows.persist()
     if options.darts_family == "lag_gbt":
         settings = direct.Boosting(options.trees, options.tree_depth)
         model = direct.train_boosting(rows, settings)
@@ -134,7 +134,8 @@ def _model_columns(options: ForecastOptions) -> dict[str, Column]:
         shape = network.Shape(lags=options.network_lags, yearly=options.yearly, weekly=options.weekly, daily=options.daily)
         constant = F.transform(F.sequence(F.lit(1), steps), lambda _: F.col("constant_value"))
         trained = network.forecast_column(values, F.col(DAYS), future, shape)
-        columns["_neural_prophet"] = F.when(F.col("constant_value").isNotNull(), constant).otherwise(trained)
+        kept = F.when(F.col("constant_value").isNotNull(), constant)
+        columns["_neural_prophet"] = kept.otherwise(trained) if options.network_trained else kept
     if "prophet" in options.methods:
         columns["_prophet"] = sparse_trend.trend_column(values, F.col(DAYS), future, trend_settings(options))
     family = options.darts_family

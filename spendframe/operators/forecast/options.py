@@ -35,7 +35,7 @@ class ForecastOptions:  # default values are fixed values
     column's fitted smoothing and its theta method, which takes a season out where a test finds one.
     ``yearly``, ``weekly`` and ``daily`` are obeyed whatever the history's length (daily terms are
     constant on daily series).  ``network_lags`` are those of the trained network (fewer on a series of
-    under four times as many rows).  ``trees`` and ``tree_depth`` shape the boosted trees, ``trees`` and
+    under four times as many rows); with ``network_trained`` off its column has constant series only.  ``trees`` and ``tree_depth`` shape the boosted trees, ``trees`` and
     ``forest_depth`` the forest; both are one model over all series: adding one changes the others' forecasts.
     """
 
@@ -66,6 +66,7 @@ class ForecastOptions:  # default values are fixed values
     daily: bool = False
     changepoint_scale: float = 0.05
     season_scale: float = 10.0
+    network_trained: bool = True
     network_lags: int = 14
     lags: int = 12
     trees: int = 20

@@ -227,6 +227,7 @@ def test_constant_guard(series):
     flat = series(days_from("2025-01-01", 12), [100 + 0.0001 * (i % 2) for i in range(12)])
     assert forecast(flat, on)[0].neural_prophet == pytest.approx(100.0001)
     bumpy = series(days_from("2025-01-01", 12), [100 + 0.1 * (i % 2) for i in range(12)])
+    assert forecast(bumpy, ForecastOptions(methods=("neural_prophet",), network_trained=False))[0].neural_prophet is None
     trained = [r.neural_prophet for r in forecast(bumpy, on)]
     assert all(v == pytest.approx(100.05, abs=1) for v in trained[:30]) and len(set(trained)) > 1
 

@@ -318,7 +318,7 @@ def forecast_constant_guard(spark, sf):
     both = costs.select(F.lit("cost").alias("kind"), "service", "period_start", "cost").unionByName(
         flat.select(F.lit("flat").alias("kind"), "service", "period_start", "cost")
     )
-    return one_method(both, "neural_prophet", {**SERIES, "series_cols": ["kind", "service"]})
+    return one_method(both, "neural_prophet", {**SERIES, "series_cols": ["kind", "service"]}, network_trained=False)
 
 
 @query
