@@ -192,7 +192,8 @@ def learn(measured: DataFrame, labels: DataFrame, options: PuOptions = PuOptions
     known = labels.where("quality IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.max("quality").alias("quality"))
     rows = measured.where(~held_out(options) & F.col("doc_id").isNotNull()).join(known, F.col("doc_id") == F.col("_id"), "left")
 
-    hashed = rows.select("x", "quality", F.xxhash64("doc_id").alias("at"))
+    # joined with the labels once; every pass reads what it needs of this
+    hashed = cut(rows.select("x", "quality", F.xxhash64("doc_id").alias("at")))
 
     def drawn(part: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         """(hashes, spread measures) of the rows with the lowest hashes; the hashes are chosen first, so that
