@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendframe.llm.base import pick, texts_of
+from spendframe.llm.base import cut, pick, texts_of
 
 
 def normal(text: str | None) -> str:
@@ -123,12 +123,17 @@ def original_span(raw: str, start: int, end: int) -> tuple[int, int]:
     return first or 0, last[1]
 
 
-def _slices(benchmark: DataFrame, slice_bytes: int) -> Iterator[pa.Table]:
+def _slices(benchmark: DataFrame, slice_bytes: int) -> tuple[int, Iterator[pa.Table]]:
+    """How many slices the items make, and the slices, fetched one after another."""
     total = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count = -(-total // slice_bytes)
-    for number in range(count):
-        part = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == number)
-        yield part.orderBy("item_id", "text").toArrow()
+
+    def fetched() -> Iterator[pa.Table]:
+        for number in range(count):
+            part = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == number)
+            yield part.orderBy("item_id", "text").toArrow()
+
+    return count, fetched()
 
 
 def leaks(
@@ -154,8 +159,11 @@ def leaks(
     id_type, item_type = (f.schema[0].dataType.simpleString() for f in (plain, wanted))
     schema = f"doc_id {id_type}, item_id {item_type}, distance int, start int, end int"
     result = None
-    for part in _slices(wanted, slice_bytes):
+    count, slices = _slices(wanted, slice_bytes)
+    for part in slices:
         found = plain.mapInArrow(_finder(part, rate), schema)
+        # of several slices each is a pass of its own, written before the next is fetched: the driver holds one
+        found = cut(found) if count > 1 else found
         result = found if result is None else result.union(found)
     return docs.sparkSession.createDataFrame([], schema) if result is None else result
 
