@@ -47,11 +47,14 @@ FROM failed
 
 OP10 = r"""
 WITH turns AS (
-  SELECT conv_id, turn, replace(coalesce(role, 'unknown'), '<|', '< |') AS role, replace(coalesce(text, ''), '<|', '< |') AS text,
-         floor(coalesce(turn, 0) / 256)::BIGINT AS part
+  SELECT conv_id, turn, replace(coalesce(role, 'unknown'), '<|', '< |') AS role, replace(coalesce(text, ''), '<|', '< |') AS text
   FROM conversations
+), sized AS (
+  SELECT *, length(role) + length(text) + CASE WHEN role = 'system' THEN 13 ELSE 18 END AS size,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n
+  FROM turns
 ), numbered AS (
-  SELECT *, row_number() OVER (PARTITION BY conv_id, part ORDER BY turn NULLS FIRST, role, text) AS n FROM turns
+  SELECT *, ((sum(size) OVER (PARTITION BY conv_id ORDER BY n) - size) // 262144)::BIGINT AS part FROM sized
 ), speakers AS (
   SELECT DISTINCT conv_id, role AS speaker FROM turns WHERE role <> 'system'
 ), pieces AS (
@@ -60,11 +63,12 @@ WITH turns AS (
               ELSE '<|user:' || role || '|>' END || chr(10) AS head, '<|end|>' || chr(10) AS tail
   FROM numbered t JOIN speakers s ON t.conv_id IS NOT DISTINCT FROM s.conv_id
 ), placed AS (
-  SELECT *, sum(length(head) + length(text) + length(tail)) OVER (PARTITION BY conv_id, part, speaker ORDER BY n)
+  SELECT *, sum(length(head) + length(text) + length(tail)) OVER (PARTITION BY conv_id, speaker ORDER BY n)
             - length(tail) AS stop
   FROM pieces
 )
-SELECT conv_id, part, speaker, count(*) AS n_turns, string_agg(head || text || tail, '' ORDER BY n) AS text,
+SELECT conv_id, part, speaker, count(*) AS n_turns, min(stop - length(text) - length(head))::BIGINT AS start,
+       string_agg(head || text || tail, '' ORDER BY n) AS text,
        coalesce(string_agg((stop - length(text))::BIGINT || ':' || stop::BIGINT, ',' ORDER BY n) FILTER (own), '') AS mask
 FROM placed GROUP BY conv_id, part, speaker
 """
