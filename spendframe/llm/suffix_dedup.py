@@ -1,9 +1,10 @@
 """Removing every byte under a string of ``width`` bytes that also starts anywhere else.
 
 1. Texts are told apart by digest; a text with copies is repeated as a whole and one of it goes on.
-2. Anchors: in every window of ``width`` bytes the place with the lowest hash of its next ``gram``
+2. Anchors: in every window of ``width`` bytes the first place with the lowest hash of its next ``gram``
    bytes.  Equal windows have equal anchors, so a repeated string's anchor occurs at two places.
-   An anchor's piece is the bytes of all windows around it; pieces are told apart by a hash.
+   An anchor's windows follow one another; their bytes are its piece, told apart by a hash.  Each window
+   is in one piece, and what lies outside an anchor's own windows does not tell pieces apart.
 3. Places are counted by anchor and piece, in an aggregate that combines on the map side, so a passage
    in a third of all texts is one row from there on, with its lowest and highest place.  An anchor
    with one kind of piece needs no comparison; of all others one of each piece is fetched.
@@ -45,10 +46,11 @@ def _slide(values: np.ndarray, size: int, pick_of) -> np.ndarray:
     return pick_of(values[: len(values) - rest], values[rest:]) if rest else values
 
 
-def anchors(data: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places, hashes): gram starts that are lowest in some window of ``width`` bytes (all of them, where equal)."""
+def segments(data: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, hashes): pieces, the bytes of neighbouring windows of ``width`` bytes that have one
+    anchor, the first of the grams with the window's lowest hash.  Every window is in one piece."""
     if len(data) < width:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
     word = data.astype(np.uint64)
     for size in (1, 2, 4):
         word = (word[:-size] << np.uint64(8 * size)) | word[size:]
@@ -59,63 +61,57 @@ def anchors(data: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.nda
         mixed ^= mixed >> np.uint64(29)
     mixed *= np.uint64(0xBF58476D1CE4E5B9)
     mixed ^= mixed >> np.uint64(32)
-    each = width - gram + 1
-    lowest = _slide(mixed, each, np.minimum)
-    edge = np.zeros(each - 1, np.uint64)
-    highest = _slide(np.concatenate([edge, lowest, edge]), each, np.maximum)
-    places = np.flatnonzero(highest == mixed)
-    return places, mixed[places]
-
-
-def _around(data: bytes, place: int, width: int, gram: int) -> bytes:
-    """The bytes of all windows that hold the gram at ``place``."""
-    return data[max(0, place - (width - gram)) : place + width]
+    lowest = _slide(mixed, width - gram + 1, np.minimum)
+    # another anchor: another lowest hash, or the gram that left the window had it and an equal one has it now
+    fresh = (lowest[1:] != lowest[:-1]) | (mixed[: len(lowest) - 1] == lowest[1:])
+    starts = np.concatenate([[0], np.flatnonzero(fresh) + 1])
+    ends = np.concatenate([starts[1:], [len(lowest)]]) - 1 + width
+    return starts, ends, lowest[starts]
 
 
 def _anchor_rows(width: int, gram: int):
-    """(content, place, key, piece): anchors, and the hash of the bytes around each."""
+    """(content, place, size, key, piece): where each piece is, its anchor's hash and that of its bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, BLOCK_BYTES):
-            number, place, key = [], [], []
+            none = np.empty(0, np.int64)
+            number, place, size, key = [none], [none], [none], [none.view(np.uint64)]
             pieces: list[int] = []
             for k, text in enumerate(texts_of(batch)):
                 data = text.encode()
-                places, hashes = anchors(np.frombuffer(data, np.uint8), width, gram)
-                number.append(np.full(len(places), k))
-                place.append(places)
+                starts, ends, hashes = segments(np.frombuffer(data, np.uint8), width, gram)
+                number.append(np.full(len(starts), k))
+                place.append(starts)
+                size.append(ends - starts)
                 key.append(hashes)
-                pieces += [xxhash.xxh3_64_intdigest(_around(data, at, width, gram)) for at in places.tolist()]
-            at = np.concatenate([np.empty(0, np.int64), *number]).astype(np.int64)
+                pieces += [xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(starts.tolist(), ends.tolist())]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("content").take(pa.array(at)),
-                    pa.array(np.concatenate([np.empty(0, np.int64), *place]), pa.int64()),
-                    pa.array(np.concatenate([np.empty(0, np.uint64), *key]).view(np.int64)),
+                    batch.column("content").take(pa.array(np.concatenate(number))),
+                    pa.array(np.concatenate(place)),
+                    pa.array(np.concatenate(size).astype(np.int32)),
+                    pa.array(np.concatenate(key).view(np.int64)),
                     pa.array(np.array(pieces, np.uint64).view(np.int64)),
                 ],
-                ["content", "place", "key", "piece"],
+                ["content", "place", "size", "key", "piece"],
             )
 
     return run
 
 
-def _fetched(width: int, gram: int):
+def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, piece, low, high, bytes) of the pieces that are fetched from a text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, BLOCK_BYTES):
-            columns: list[list] = [[], [], [], [], []]
-            for text, wanted in zip(texts_of(batch), batch.column("wanted").to_pylist()):
-                data = text.encode() if wanted else b""
-                for one in wanted or []:
-                    for column, value in zip(columns, (one["key"], one["piece"], one["low"], one["high"], _around(data, one["place"], width, gram))):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays(
-                [*(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.binary())], ["key", "piece", "low", "high", "bytes"]
-            )
-
-    return run
+    for batch in by_bytes(batches, BLOCK_BYTES):
+        columns: list[list] = [[], [], [], [], []]
+        for text, wanted in zip(texts_of(batch), batch.column("wanted").to_pylist()):
+            data = text.encode() if wanted else b""
+            for one in wanted or []:
+                held = data[one["place"] : one["place"] + one["size"]]
+                for column, value in zip(columns, (one["key"], one["piece"], one["low"], one["high"], held)):
+                    column.append(value)
+        yield pa.RecordBatch.from_arrays(
+            [*(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.binary())], ["key", "piece", "low", "high", "bytes"]
+        )
 
 
 def _marked(pieces: list[bytes], low: np.ndarray, high: np.ndarray, groups: np.ndarray, width: int) -> list[np.ndarray]:
@@ -271,20 +267,19 @@ def _digests(width: int):
     return run
 
 
-def _spans(marks: list[dict], size: int, width: int, gram: int) -> list[tuple[int, int]]:
+def _spans(marks: list[dict]) -> list[tuple[int, int]]:
     """Byte ranges of a text from the ranges within its pieces (none named: the whole piece), in order."""
     spans = []
     for mark in marks:
-        low = max(0, mark["place"] - (width - gram))
+        place = mark["place"]
         if mark["ranges"] is None:
-            if (high := min(size, mark["place"] + width)) - low >= width:
-                spans.append((low, high))
+            spans.append((place, place + mark["size"]))
         else:
-            spans += [(low + r["start"], low + r["end"]) for r in mark["ranges"]]
+            spans += [(place + r["start"], place + r["end"]) for r in mark["ranges"]]
     return sorted(spans)
 
 
-def _removed(width: int, gram: int):
+def _removed(width: int):
     """What is left of each text when its marked ranges, or all of a text with copies, go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,7 +287,7 @@ def _removed(width: int, gram: int):
             rows = []
             for text, copies, marks in zip(texts_of(batch), batch.column("copies").to_pylist(), batch.column("marks").to_pylist()):
                 data = text.encode()
-                spans = [(0, len(data))] if copies > 1 and len(data) >= width else _spans(marks or [], len(data), width, gram)
+                spans = [(0, len(data))] if copies > 1 and len(data) >= width else _spans(marks or [])
                 merged: list[list[int]] = []
                 for low, high in spans:
                     if merged and low <= merged[-1][1]:
@@ -332,25 +327,26 @@ def repeats(
     plain = plain.withColumn("content", F.unhex(F.md5(F.encode("text", "UTF-8"))))
     # the same three columns wherever the texts are used, so that all uses share one exchange of them
     texts = plain.groupBy("content").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-    found = cut(texts.mapInArrow(_anchor_rows(width, gram), "content binary, place bigint, key bigint, piece bigint"))
+    found = cut(texts.mapInArrow(_anchor_rows(width, gram), "content binary, place bigint, size int, key bigint, piece bigint"))
 
     # anchors at one place only are most of them and go first, by counts that combine on the map side
     counts = found.groupBy(F.col("key").alias("_key")).agg(F.count("*").alias("places")).where("places > 1").select("_key")
     again = cut(found.join(counts, F.col("key") == F.col("_key")).drop("_key"))
     # places as numbers that rise with each byte; two bits less than a long has, so that no sum overflows
-    first = F.shiftright(F.xxhash64("content"), 2) + F.greatest(F.col("place") - (width - gram), F.lit(0))
-    kinds = again.groupBy("key", "piece").agg(F.min(first).alias("low"), F.max(first).alias("high"), F.first("content").alias("content"), F.first("place").alias("place"))
+    first = F.shiftright(F.xxhash64("content"), 2) + F.col("place")
+    one = [F.first(name).alias(name) for name in ("content", "place", "size")]
+    kinds = again.groupBy("key", "piece").agg(F.min(first).alias("low"), F.max(first).alias("high"), *one)
     kinds = cut(kinds)  # settled: which place stands for a piece must not change
     several = kinds.groupBy(F.col("key").alias("_key")).agg(F.count("*").alias("kinds"))
     kinds = cut(kinds.join(several, F.col("key") == F.col("_key")).drop("_key"))
 
-    wanted = kinds.where("kinds > 1").select("content", F.struct("key", "piece", "low", "high", "place", "kinds").alias("w"))
+    wanted = kinds.where("kinds > 1").select("content", F.struct("key", "piece", "low", "high", "place", "size", "kinds").alias("w"))
     wanted = wanted.groupBy(F.col("content").alias("_content")).agg(F.collect_list("w").alias("wanted"))
     asked = texts.join(wanted, F.col("content") == F.col("_content"))
 
     def pieces(condition: str) -> DataFrame:
         chosen = F.expr(f"filter(wanted, w -> w.kinds {condition} {anchor_pieces})")
-        return asked.select("text", chosen.alias("wanted")).mapInArrow(_fetched(width, gram), "key bigint, piece bigint, low bigint, high bigint, bytes binary")
+        return asked.select("text", chosen.alias("wanted")).mapInArrow(_fetched, "key bigint, piece bigint, low bigint, high bigint, bytes binary")
 
     alone = kinds.where("kinds = 1").select("key", "piece", F.lit(None).cast("array<struct<start:bigint,end:bigint>>").alias("ranges"))
     small = pieces("<=").repartition("key").sortWithinPartitions("key").mapInArrow(_shards(width), MARKED)
@@ -366,14 +362,14 @@ def repeats(
         marked = marked.unionByName(more)
     marked = marked.select(F.col("key").alias("_key"), F.col("piece").alias("_piece"), "ranges")
     at = again.join(marked, (F.col("key") == F.col("_key")) & (F.col("piece") == F.col("_piece"))).select(
-        F.col("content").alias("_content"), F.struct("place", "ranges").alias("mark")
+        F.col("content").alias("_content"), F.struct("place", "size", "ranges").alias("mark")
     )
     gone = at.groupBy("_content").agg(F.collect_list("mark").alias("marks"))
     judged = (
         texts.join(gone, F.col("content") == F.col("_content"), "left")
         .select("content", "text", "copies", "marks")
         .mapInArrow(
-            _removed(width, gram),
+            _removed(width),
             "content binary, n_bytes bigint, n_removed bigint, removed array<struct<start:bigint,end:bigint>>, kept_sha256 string",
         )
         .withColumnRenamed("content", "_content")
