@@ -27,10 +27,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_type
 
-from spendframe.llm.base import by_bytes, pick, texts_of
+from spendframe.llm.base import by_bytes, pick, release, released, texts_of
 from spendframe.llm.pretokens import splitter
 
 BLOCK_BYTES = 4 << 20
+#: Words of a block that are Python strings at a time (those of one text at least).
+WORDS_AT_ONCE = 1 << 16
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -51,9 +53,15 @@ def unpack(blob: bytes) -> np.ndarray:
 
 def _block(batch: pa.RecordBatch, split, number: int):
     """(name, words per document, places, distinct words) of one block."""
-    found = [split(text) for text in texts_of(batch)]
-    counts = np.array([len(x) for x in found], np.uint32)
-    coded = pa.array([word for words in found for word in words], pa.string()).dictionary_encode()
+    counts, held, columns = np.empty(batch.num_rows, np.uint32), [], []
+    for row, text in enumerate(texts_of(batch)):
+        found = split(text)
+        counts[row] = len(found)
+        held += found
+        if len(held) >= WORDS_AT_ONCE:
+            columns.append(pa.array(held, pa.string()))
+            held = []
+    coded = pa.chunked_array([*columns, pa.array(held, pa.string())]).dictionary_encode().combine_chunks()
     digest = xxhash.xxh64_intdigest(batch.column("text").fill_null("").cast(pa.binary()).to_pylist().__repr__()) & 0xFFFFFFFF
     name = f"{TaskContext.get().partitionId()}:{number}:{digest}"
     return name, counts, coded.indices.to_numpy(), coded.dictionary
@@ -135,7 +143,7 @@ def _reassemble(id_type: pa.DataType):
     """Documents of one block from their places and its words' ids."""
     out = pa.schema([("doc_id", id_type), ("ids", pa.list_(pa.int32()))])
 
-    def run(documents: pa.Table, words: pa.Table) -> pa.Table:
+    def assemble(documents: pa.Table, words: pa.Table) -> pa.Table:
         if documents.num_rows != 1:
             raise ValueError("words were encoded for a block that is not there now: the input changed between reads")
         block = documents.to_pylist()[0]
@@ -155,6 +163,12 @@ def _reassemble(id_type: pa.DataType):
         lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))
         return pa.table([pa.array(block["ids"], id_type), lists], schema=out)
 
+    def run(documents: pa.Table, words: pa.Table) -> pa.Table:
+        try:
+            return assemble(documents, words)
+        finally:  # its arrays are gone by now; a worker doesn't know its last block
+            release()
+
     return run
 
 
@@ -172,12 +186,12 @@ def encode(
     kind = plain.schema["doc_id"].dataType
     id_type, name = to_arrow_type(kind), kind.simpleString()
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = plain.mapInArrow(_documents(pattern, block_bytes, id_type), f"block string, ids array<{name}>, counts binary, places binary")
+    blocks = plain.mapInArrow(released(_documents(pattern, block_bytes, id_type)), f"block string, ids array<{name}>, counts binary, places binary")
     words = plain.mapInArrow(
-        _words(pattern, block_bytes, parts), "part bigint, block string, places binary, sizes binary, letters binary"
+        released(_words(pattern, block_bytes, parts)), "part bigint, block string, places binary, sizes binary, letters binary"
     )
     encoded = words.repartition(parts, "part").mapInArrow(
-        _encode_words(ranks, pattern), "block string, places binary, counts binary, tokens binary"
+        released(_encode_words(ranks, pattern)), "block string, places binary, counts binary, tokens binary"
     )
     return (
         blocks.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(_reassemble(id_type), f"doc_id {name}, ids array<int>")
@@ -198,10 +212,12 @@ def decode(encoded: DataFrame, *, ranks: str, ids_col: str = "ids") -> DataFrame
         for token, rank in known.items():
             by_id[rank] = token
         tokens = pa.array(by_id, pa.binary())
-        for batch in batches:
+        for batch in by_bytes(batches, BLOCK_BYTES):
             ids = batch.column(ids_col)
-            lists = pa.ListArray.from_arrays(ids.offsets, tokens.take(ids.values), mask=pc.is_null(ids) if ids.null_count else None)
+            first, last = (ids.offsets[k].as_py() for k in (0, -1))  # of a slice, whose values are those of the whole
+            own = tokens.take(ids.values.slice(first, last - first))
+            lists = pa.ListArray.from_arrays(pc.subtract(ids.offsets, first), own, mask=pc.is_null(ids) if ids.null_count else None)
             yield pa.RecordBatch.from_arrays([*batch.columns, pc.binary_join(lists, b"")], [*columns, "decoded"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema)
-    return frame.mapInArrow(run, f"{fields}, decoded binary")
+    return frame.mapInArrow(released(run), f"{fields}, decoded binary")

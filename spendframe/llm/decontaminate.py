@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendframe.llm.base import cut, pick, texts_of
+from spendframe.llm.base import cut, pick, released, texts_of
 
 
 def normal(text: str | None) -> str:
@@ -161,7 +161,7 @@ def leaks(
     result = None
     count, slices = _slices(wanted, slice_bytes)
     for part in slices:
-        found = plain.mapInArrow(_finder(part, rate), schema)
+        found = plain.mapInArrow(released(_finder(part, rate)), schema)
         # of several slices each is a pass of its own, written before the next is fetched: the driver holds one
         found = cut(found) if count > 1 else found
         result = found if result is None else result.union(found)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spendframe.llm import char_tagger
-from spendframe.llm.base import by_bytes, pick, send_package, texts_of
+from spendframe.llm.base import by_bytes, pick, released, send_package, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -256,7 +256,7 @@ def find(
             columns = [[[{"start": s, "kind": KINDS[k], "end": e} for s, k, e in row] for row in rows] for rows in (base, every)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, kind) for c in columns)], ["doc_id", "base", "spans"])
 
-    return plain.mapInArrow(run, f"doc_id {plain.schema['doc_id'].dataType.simpleString()}, base {SPANS}, spans {SPANS}")
+    return plain.mapInArrow(released(run), f"doc_id {plain.schema['doc_id'].dataType.simpleString()}, base {SPANS}, spans {SPANS}")
 
 
 def mask(docs: DataFrame, model: char_tagger.Tagger | None, *, text_col: str = "text", reading: Reading = Reading()) -> DataFrame:
@@ -280,4 +280,4 @@ def mask(docs: DataFrame, model: char_tagger.Tagger | None, *, text_col: str = "
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
     send_package(docs.sparkSession)
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)

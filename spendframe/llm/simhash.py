@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendframe.llm.base import cut, pick, texts_of
+from spendframe.llm.base import cut, pick, released, texts_of
 from spendframe.llm.bit_planes import lowest_labels, near, near_pairs
 from spendframe.llm.components import components
 
@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints)], ["doc_id", "print"])
 
     plain = pick(docs, doc_id=id_col, text=text_col)
-    return plain.mapInArrow(compute, f"doc_id {plain.schema['doc_id'].dataType.simpleString()}, print bigint")
+    return plain.mapInArrow(released(compute), f"doc_id {plain.schema['doc_id'].dataType.simpleString()}, print bigint")
 
 
 def _keyed(classes: DataFrame, radius: int, bucket: int) -> DataFrame:
@@ -135,7 +135,7 @@ def links(classes: DataFrame, *, radius: int = 2, bucket: int = 4096) -> DataFra
             yield settle(np.concatenate(held), True)[0]
 
     keyed = _keyed(classes, radius, bucket)
-    return keyed.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(compare, "a bigint, b bigint")
+    return keyed.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(released(compare), "a bigint, b bigint")
 
 
 def near_duplicates(
